@@ -86,11 +86,10 @@ def web_vitals(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("r", F.from_json("body", f"struct<{_VITALS}>")["record"])
 
     def day(name: str):
-        d = F.col("r.collectionPeriod")[name]
+        d = f"r.collectionPeriod.{name}"
         return F.expr(
-            f"try_make_timestamp_ntz(r.collectionPeriod.{name}.year, "
-            f"r.collectionPeriod.{name}.month, r.collectionPeriod.{name}.day, 0, 0, 0)"
-        ).cast("date") if d is not None else None
+            f"cast(try_make_timestamp_ntz({d}.year, {d}.month, {d}.day, 0, 0, 0) AS date)"
+        )
 
     return (
         rows.select(
