@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom import fixed_values as fv
+from rankloom.functions.binding import bind
 from rankloom.settings import GapSettings, Thresholds
 
 
@@ -47,11 +48,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    norm = F.sqrt(
-        F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    )
-    scale = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(vector, lambda x: x / scale)
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(
+            F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+        )
+        scale = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+        return bind(
+            F.struct(v.alias("v"), scale.alias("scale")),
+            lambda p: F.transform(p["v"], lambda x: x / p["scale"]),
+        )
+
+    return bind(vector, scaled)
 
 
 def saturation(n: Column, k: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom import fixed_values as fv
+from rankloom.functions.binding import bind
 
 _SPACE = r"(?U)\s+"
 _STOP = fv.STOPWORDS
@@ -55,22 +56,24 @@ def variant_key(phrase: Column) -> Column:
 def clean_phrase(text: Column, max_words: int = 7, max_chars: int = 80) -> Column:
     """A searchable lower-case phrase, or null for URLs, markup, numbers, overlong and
     navigational phrases."""
-    low = F.lower(text)
-    bad = F.lit(False)
-    for part in ("http", "www.", "@", "<", ">"):
-        bad = bad | F.contains(low, F.lit(part))
-    spaced = squeeze(F.regexp_replace(low, "(?U)" + fv.NOT_PHRASE_CHAR, " "))
+    def judge(x: Column) -> Column:
+        low, phrase = x["low"], x["phrase"]
+        bad = F.lit(False)
+        for part in ("http", "www.", "@", "<", ">"):
+            bad = bad | F.contains(low, F.lit(part))
+        keep = (
+            ~bad
+            & (phrase != "")
+            & (word_count(phrase) <= max_words)
+            & (F.length(phrase) <= max_chars)
+            & ~F.replace(phrase, F.lit(" "), F.lit("")).rlike(r"(?U)^\d+$")
+            & ~phrase.rlike("(?U)" + fv.NAVIGATIONAL)
+        )
+        return F.when(keep, phrase)
+
+    spaced = squeeze(F.regexp_replace(F.lower(text), "(?U)" + fv.NOT_PHRASE_CHAR, " "))
     phrase = F.regexp_replace(F.regexp_replace(spaced, r"^[ .'-]+", ""), r"[ .'-]+$", "")
-    n = word_count(phrase)
-    keep = (
-        ~bad
-        & (phrase != "")
-        & (n <= max_words)
-        & (F.length(phrase) <= max_chars)
-        & ~F.replace(phrase, F.lit(" "), F.lit("")).rlike(r"(?U)^\d+$")
-        & ~phrase.rlike("(?U)" + fv.NAVIGATIONAL)
-    )
-    return F.when(keep, phrase)
+    return bind(F.struct(F.lower(text).alias("low"), phrase.alias("phrase")), judge)
 
 
 def regex_literal(text: Column) -> Column:
@@ -103,8 +106,7 @@ def truncate_words(text: Column, n: int) -> Column:
         F.array().cast("array<string>").alias("kept"), F.lit(n).cast("int").alias("left")
     )
 
-    def step(acc: Column, line: Column) -> Column:
-        tokens = split_words(line)
+    def take(acc: Column, tokens: Column) -> Column:
         room = acc["left"] > 0
         piece = F.array_join(F.slice(tokens, F.lit(1), F.greatest(acc["left"], F.lit(0))), " ")
         return F.struct(
@@ -112,6 +114,9 @@ def truncate_words(text: Column, n: int) -> Column:
             F.when(room, acc["left"] - F.size(tokens)).otherwise(acc["left"]).alias("left"),
         )
 
+    def step(acc: Column, line: Column) -> Column:
+        return bind(split_words(line), lambda tokens: take(acc, tokens))
+
     return F.aggregate(lines_of(text), start, step, lambda acc: F.array_join(acc["kept"], "\n"))
 
 
@@ -153,17 +158,14 @@ def sentence_grams(text: Column, low: int = 2, high: int = 4) -> Column:
         lambda s: F.regexp_extract_all(s, F.lit(fv.WORD_PATTERN), F.lit(0)),
     )
 
+    def windows(tokens: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+        return F.when(
+            F.size(tokens) >= n, F.transform(starts, lambda i: F.slice(tokens, i, n))
+        ).otherwise(F.array().cast("array<array<string>>"))
+
     def grams(tokens: Column) -> Column:
-        sized = []
-        for n in range(low, high + 1):
-            windows = F.when(
-                F.size(tokens) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                    lambda i, n=n: F.slice(tokens, i, n),
-                ),
-            ).otherwise(F.array().cast("array<array<string>>"))
-            sized.append(windows)
+        sized = [windows(tokens, n) for n in range(low, high + 1)]
         good = F.filter(
             F.concat(*sized),
             lambda g: ~F.element_at(g, 1).isin(_STOP)
@@ -181,7 +183,9 @@ def passages(text: Column, max_words: int = 120) -> Column:
     start = F.struct(empty.alias("done"), empty.alias("open"))
 
     def step(acc: Column, paragraph: Column) -> Column:
-        w = split_words(paragraph)
+        return bind(split_words(paragraph), lambda w: pack(acc, w))
+
+    def pack(acc: Column, w: Column) -> Column:
         size = F.size(w)
         flush = (
             (size > 0) & (F.size(acc["open"]) > 0) & (F.size(acc["open"]) + size > max_words)

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom import fixed_values as fv
-from rankloom.settings import GapSettings
+from rankloom.functions.binding import bind
 
 _AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -71,15 +71,17 @@ def owns(domain: Column, target: Column) -> Column:
 
 def domain_parents(domain: Column) -> Column:
     """a.b.co -> [a.b.co, b.co]: the domain, then its parents down to two labels."""
-    labels = F.split(no_www(F.lower(domain)), r"\.")
-    n = F.size(labels)
-    return F.when(
-        n >= 2,
-        F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    def chain(labels: Column) -> Column:
+        n = F.size(labels)
+        return F.when(
+            n >= 2,
+            F.transform(
+                F.sequence(F.lit(1), n - 1),
+                lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return bind(F.split(no_www(F.lower(domain)), r"\."), chain)
 
 
 def ownership_names(domain: Column) -> Column:
@@ -187,13 +189,21 @@ def canonical_from_link_header(link: Column, base: Column) -> Column:
     return resolve(F.regexp_extract(first, r"^\s*<([^>]+)>", 1), base)
 
 
-def skip_reason(url: Column, domain: Column, _: GapSettings | None = None) -> Column:
+def skip_reason(url: Column, domain: Column) -> Column:
     """Why a sitemap URL is not a page worth reading; null keeps it."""
-    path = F.lower(path_of(url))
-    segs = segments(url)
-    ends = F.lit(False)
-    for ext in fv.SKIP_EXTENSIONS:
-        ends = ends | F.endswith(path, F.lit(ext))
+    parts = F.struct(
+        scheme_of(url).alias("scheme"),
+        domain_of(url).alias("domain"),
+        query_of(url).alias("query"),
+        F.lower(path_of(url)).alias("path"),
+        segments(url).alias("segs"),
+    )
+    return bind(parts, lambda x: _skip_rules(x, domain))
+
+
+def _skip_rules(x: Column, site: Column) -> Column:
+    path, segs = x["path"], x["segs"]
+    endings = "|".join(e.replace(".", "[.]") for e in fv.SKIP_EXTENSIONS)
 
     def unwanted(seg: Column) -> Column:
         hit = seg.isin(fv.SKIP_SEGMENTS)
@@ -205,10 +215,10 @@ def skip_reason(url: Column, domain: Column, _: GapSettings | None = None) -> Co
 
     bad = F.try_element_at(F.filter(segs, unwanted), F.lit(1))
     return (
-        F.when(~scheme_of(url).isin("http", "https") | (domain_of(url) != domain), "other site")
-        .when(query_of(url) != "", "query string")
+        F.when(~x["scheme"].isin("http", "https") | (x["domain"] != site), "other site")
+        .when(x["query"] != "", "query string")
         .when(F.contains(path, F.lit("http:")) | F.contains(path, F.lit("https:")), "broken link")
-        .when(ends | path.rlike(fv.VERIFICATION_PATH), "not a web page")
+        .when(path.rlike(f"({endings})$") | path.rlike(fv.VERIFICATION_PATH), "not a web page")
         .when(path.rlike(fv.PAGINATION_PATH), "pagination")
         .when(
             (F.size(segs) == 1) & F.try_element_at(segs, F.lit(1)).isin(fv.LISTING_SECTIONS),

@@ -52,26 +52,39 @@ def keyword_metrics(
 
 
 def gap_rows(metrics: DataFrame, s: GapSettings) -> DataFrame:
-    """Adds categories, proof and traffic lift: a projection, no shuffle."""
-    ours = F.try_element_at("sites", F.lit(1))["position"]
+    """Adds our_position, categories, proof and traffic lift: projections only, no shuffle."""
     rivals = F.filter("sites", lambda x: x["ord"] > 0)
-    ranked = F.filter(rivals, lambda x: x["position"].isNotNull())
-    best = F.array_min(F.transform(ranked, lambda x: x["position"]))
-    worst = F.array_max(F.transform(ranked, lambda x: x["position"]))
-    proof = F.aggregate(
-        ranked, F.lit(0.0), lambda acc, x: acc + ctr_at(x["position"], s)
+    places = F.array_sort(
+        F.array_compact(F.transform(F.col("rivals"), lambda x: x["position"]))
+    )
+    placed = (
+        metrics.withColumns(
+            {"our_position": F.try_element_at("sites", F.lit(1))["position"], "rivals": rivals}
+        )
+        .withColumn("places", places)
+        .withColumns(
+            {
+                "best": F.try_element_at("places", F.lit(1)),
+                "worst": F.try_element_at("places", F.lit(-1)),
+                "proof": half_even(
+                    F.aggregate("places", F.lit(0.0), lambda acc, p: acc + ctr_at(p, s)), 4
+                ),
+            }
+        )
+    )
+    ours, best = F.col("our_position"), F.col("best")
+    lift = F.greatest(
+        F.lit(0), half_even_int(F.col("estimate") * (ctr_at(best, s) - ctr_at(ours, s)))
     )
-    gain = ctr_at(best, s) - ctr_at(ours, s)
-    lift = F.greatest(F.lit(0), half_even_int(F.col("estimate") * gain))
     known = F.col("estimate").isNotNull() & best.isNotNull()
-    return metrics.withColumns(
+    return placed.withColumns(
         {
-            "our_position": ours,
-            "categories": gap_categories(ours, F.size(ranked), F.size(rivals), best, worst),
-            "proof": half_even(proof, 4),
+            "categories": gap_categories(
+                ours, F.size("places"), F.size("rivals"), best, F.col("worst")
+            ),
             "traffic_lift": F.when(known, lift),
         }
-    )
+    ).drop("rivals", "places", "best", "worst")
 
 
 def gap_reason(rows: DataFrame, category: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rankloom.functions.binding import bind
 from rankloom.functions.numeric import half_even, unit
 from rankloom.functions.text import content_words, passages, sentence_grams, truncate_words
 from rankloom.settings import Thresholds
@@ -24,32 +25,64 @@ Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 def hashed_entries(text: Column) -> Column:
     """Sparse unit vector: array of (bucket, weight). The bucket of a word is the last byte of its
-    MD5, which is its MD5 modulo 256."""
+    MD5, which is its MD5 modulo 256. Sorting makes equal buckets neighbours, so counting is a
+    position difference instead of a scan per bucket."""
     buckets = F.transform(
         content_words(text),
         lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(2)), 16, 10).cast("int"),
     )
-    counts = F.transform(
-        F.array_distinct(buckets),
-        lambda b: F.struct(
-            b.alias("bucket"),
-            F.size(F.filter(buckets, lambda x: x == b)).cast("double").alias("weight"),
-        ),
-    )
-    norm = F.sqrt(
-        F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["weight"] * c["weight"])
-    )
-    return F.transform(
-        counts,
-        lambda c: F.struct(c["bucket"].alias("bucket"), (c["weight"] / norm).alias("weight")),
-    )
+
+    def counts(b: Column) -> Column:
+        ends = F.filter(
+            F.transform(
+                b,
+                lambda x, i: F.struct(
+                    x.alias("bucket"),
+                    i.alias("at"),
+                    (F.try_element_at(b, i + 2).isNull() | (F.try_element_at(b, i + 2) != x)).alias(
+                        "last"
+                    ),
+                ),
+            ),
+            lambda e: e["last"],
+        )
+        return bind(
+            ends,
+            lambda e: F.transform(
+                e,
+                lambda x, j: F.struct(
+                    x["bucket"].alias("bucket"),
+                    (x["at"] - F.coalesce(F.when(j > 0, F.try_element_at(e, j)["at"]), F.lit(-1)))
+                    .cast("double")
+                    .alias("weight"),
+                ),
+            ),
+        )
+
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(
+            F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"])
+        )
+        return bind(
+            F.struct(c.alias("c"), norm.alias("norm")),
+            lambda p: F.transform(
+                p["c"],
+                lambda x: F.struct(
+                    x["bucket"].alias("bucket"), (x["weight"] / p["norm"]).alias("weight")
+                ),
+            ),
+        )
+
+    return bind(bind(F.array_sort(buckets), counts), scaled)
 
 
 def dense(entries: Column, dims: int = DIMS) -> Column:
-    lookup = F.map_from_entries(entries)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)),
+    return bind(
+        F.map_from_entries(entries),
+        lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)),
+        ),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom import fixed_values as fv
+from rankloom.functions.binding import bind
 from rankloom.functions.numeric import half_even_int, ordered_sum
 from rankloom.functions.text import newest_year
 from rankloom.functions.url import domain_parents, no_www, ownership_names
@@ -111,15 +112,18 @@ def strength(page_type: Column, site_rank: Column, t: Thresholds) -> Column:
 
 def most_common(values: Column) -> Column:
     """struct(n, value) of the most frequent entry; ties go to the one seen first."""
-    scored = F.transform(
-        F.array_distinct(values),
-        lambda x: F.struct(
-            F.size(F.filter(values, lambda y: y == x)).alias("n"),
-            (-F.array_position(values, x)).alias("first"),
-            x.alias("value"),
-        ),
-    )
-    return F.array_max(scored)
+
+    def scored(v: Column) -> Column:
+        return F.transform(
+            F.array_distinct(v),
+            lambda x: F.struct(
+                F.size(F.filter(v, lambda y: y == x)).alias("n"),
+                (-F.array_position(v, x)).alias("first"),
+                x.alias("value"),
+            ),
+        )
+
+    return F.array_max(bind(values, scored))
 
 
 def intent_of_types(page_types: Column) -> Column:
@@ -180,20 +184,29 @@ def known_difficulty(difficulty: Column, results: Column, s: GapSettings) -> Col
 
 def intent_verdict(page_types: Column, our_type: Column, t: Thresholds) -> Column:
     """struct(mix, dominant, dominant_share, verdict, flag) of the page types shown."""
-    known = F.filter(page_types, lambda p: ~p.isin(fv.NO_INTENT_TYPES))
-    mix = F.transform(
-        F.array_sort(
-            F.transform(
-                F.array_distinct(known),
-                lambda x: F.struct(
-                    (-F.size(F.filter(known, lambda y: y == x))).alias("n"),
-                    F.array_position(known, x).alias("first"),
-                    x.alias("type"),
-                ),
-            )
+    shown = F.filter(page_types, lambda p: ~p.isin(fv.NO_INTENT_TYPES))
+    parts = bind(
+        shown, lambda known: F.struct(known.alias("known"), _type_mix(known).alias("mix"))
+    )
+    return bind(parts, lambda x: _verdict(x["known"], x["mix"], our_type, t))
+
+
+def _type_mix(known: Column) -> Column:
+    """Page types with their counts, most frequent first, then first seen."""
+    counted = F.transform(
+        F.array_distinct(known),
+        lambda x: F.struct(
+            (-F.size(F.filter(known, lambda y: y == x))).alias("n"),
+            F.array_position(known, x).alias("first"),
+            x.alias("type"),
         ),
-        lambda e: F.struct(e["type"].alias("type"), (-e["n"]).alias("n")),
     )
+    return F.transform(
+        F.array_sort(counted), lambda e: F.struct(e["type"].alias("type"), (-e["n"]).alias("n"))
+    )
+
+
+def _verdict(known: Column, mix: Column, our_type: Column, t: Thresholds) -> Column:
     lead = F.try_element_at(mix, F.lit(1))
     share = lead["n"] / F.size(known)
     verdict = (

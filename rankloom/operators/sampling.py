@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rankloom import fixed_values as fv
+from rankloom.functions.binding import bind
 from rankloom.functions.robots import allowed_by
 from rankloom.functions.url import (
     domain_of,
@@ -67,7 +68,9 @@ def with_robots(
     out = urls.withColumn("host", host_of(F.col("url"))).join(
         host_rules(rules, agent), "host", "left"
     )
-    by_rule = F.when(F.col("rules").isNull(), True).otherwise(allowed_by(target, F.col("rules")))
+    by_rule = F.when(F.col("rules").isNull(), True).otherwise(
+        bind(target, lambda path: allowed_by(path, F.col("rules")))
+    )
     if outcomes is None:
         return out.withColumn("allowed", by_rule).drop("rules", "host")
     return (

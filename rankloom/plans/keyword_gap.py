@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +11,44 @@ from rankloom.operators import clusters, gap, ranks
 from rankloom.settings import GapSettings
 
 
-@dataclass(frozen=True)
 class GapResult:
-    rows: DataFrame
-    top: DataFrame
-    counts: DataFrame
-    tiles: DataFrame
-    panels: DataFrame
-    panel_top: DataFrame
-    suggested: DataFrame
+    """The analysis of every run; each table is planned when it is first asked for."""
+
+    def __init__(
+        self,
+        rows: DataFrame,
+        keywords: DataFrame,
+        serp: DataFrame,
+        run_domains: DataFrame,
+        s: GapSettings,
+    ) -> None:
+        self.rows = rows
+        self._inputs = (serp, keywords, run_domains)
+        self._s = s
+
+    @cached_property
+    def top(self) -> DataFrame:
+        return gap.top_keywords(self.rows, self._s)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return gap.category_counts(self.rows)
+
+    @cached_property
+    def tiles(self) -> DataFrame:
+        return gap.site_tiles(self.rows)
+
+    @cached_property
+    def panels(self) -> DataFrame:
+        return gap.competitor_panels(self.rows)
+
+    @cached_property
+    def panel_top(self) -> DataFrame:
+        return gap.competitor_top(self.rows, self._s)
+
+    @cached_property
+    def suggested(self) -> DataFrame:
+        return gap.suggested_competitors(*self._inputs, self._s)
 
 
 def metric_rows(
@@ -68,12 +97,4 @@ def keyword_gap(
     )
     if cluster:
         rows = with_clusters(rows, keywords, serp, s)
-    return GapResult(
-        rows=rows,
-        top=gap.top_keywords(rows, s),
-        counts=gap.category_counts(rows),
-        tiles=gap.site_tiles(rows),
-        panels=gap.competitor_panels(rows),
-        panel_top=gap.competitor_top(rows, s),
-        suggested=gap.suggested_competitors(serp, keywords, run_domains, s),
-    )
+    return GapResult(rows, keywords, serp, run_domains, s)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -11,14 +12,33 @@ from rankloom.plans.keyword_gap import metric_rows
 from rankloom.settings import SnapshotSettings
 
 
-@dataclass(frozen=True)
 class Snapshot:
-    keywords: DataFrame
-    groups: DataFrame
-    top_pages: DataFrame
-    page_keywords: DataFrame
-    totals: DataFrame
-    competitors: DataFrame
+    """The snapshot of every run; each table is planned when it is first asked for."""
+
+    def __init__(self, listing: DataFrame, suggest: Callable[[], DataFrame], s: SnapshotSettings):
+        self.keywords = listing
+        self._suggest = suggest
+        self._s = s
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return snapshot.position_groups(self.keywords, self._s)
+
+    @cached_property
+    def top_pages(self) -> DataFrame:
+        return snapshot.top_pages(self.keywords, self._s.top_pages)
+
+    @cached_property
+    def page_keywords(self) -> DataFrame:
+        return snapshot.top_page_keywords(self.keywords, self.top_pages)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return snapshot.totals(self.keywords)
+
+    @cached_property
+    def competitors(self) -> DataFrame:
+        return self._suggest()
 
 
 def site_snapshot(
@@ -33,13 +53,8 @@ def site_snapshot(
     that really rank."""
     ours = run_domains.filter("ord = 0")
     rows = metric_rows(keywords, serp, ours, site_ranks, s.gap, has_source)
-    listing = snapshot.snapshot_keywords(rows)
-    pages = snapshot.top_pages(listing, s.top_pages)
     return Snapshot(
-        keywords=listing,
-        groups=snapshot.position_groups(listing, s),
-        top_pages=pages,
-        page_keywords=snapshot.top_page_keywords(listing, pages),
-        totals=snapshot.totals(listing),
-        competitors=gap.suggested_competitors(serp, keywords, ours, s.gap),
+        snapshot.snapshot_keywords(rows),
+        lambda: gap.suggested_competitors(serp, keywords, ours, s.gap),
+        s,
     )

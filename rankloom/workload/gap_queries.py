@@ -38,7 +38,7 @@ def measured(spark: SparkSession, d: str) -> DataFrame:
 def inputs(spark: SparkSession, d: str):
     return (
         measured(spark, d),
-        v.serp(spark, d),
+        v.shared_serp(spark, d),
         v.run_domains(spark, d),
         v.site_ranks(spark, d),
     )
@@ -345,7 +345,7 @@ def run_notes(spark, d):
 
 @query("difficulty", sql("profile", body="SELECT * FROM profile"))
 def difficulty(spark, d):
-    return ranks.serp_profile(v.serp(spark, d), v.site_ranks(spark, d), T).select(
+    return ranks.serp_profile(v.shared_serp(spark, d), v.site_ranks(spark, d), T).select(
         "run_id", "keyword", "results", "difficulty", "small_sites"
     )
 
@@ -353,7 +353,7 @@ def difficulty(spark, d):
 @query("serp_intent", sql("intents", body="SELECT * FROM intents"))
 def serp_intent(spark, d):
     return (
-        ranks.serp_profile(v.serp(spark, d), v.site_ranks(spark, d), T)
+        ranks.serp_profile(v.shared_serp(spark, d), v.site_ranks(spark, d), T)
         .select("run_id", "keyword", "intent")
         .filter("intent <> 'unknown'")
     )
@@ -391,7 +391,7 @@ FROM (SELECT *, CASE WHEN lead / known >= {T.clear_share} THEN 'clear'
     ),
 )
 def intent_verdict(spark, d):
-    profile = ranks.serp_profile(v.serp(spark, d), v.site_ranks(spark, d), T)
+    profile = ranks.serp_profile(v.shared_serp(spark, d), v.site_ranks(spark, d), T)
     types = F.transform("top", lambda x: x["page_type"])
     judged = profile.join(v.keywords(spark, d), ["run_id", "keyword"]).withColumn(
         "iv", ranks.intent_verdict(types, _our_type(), T)
@@ -432,7 +432,7 @@ SELECT run_id, keyword, array_to_string(list_filter([
     ),
 )
 def weak_spots(spark, d):
-    profile = ranks.serp_profile(v.serp(spark, d), v.site_ranks(spark, d), T)
+    profile = ranks.serp_profile(v.shared_serp(spark, d), v.site_ranks(spark, d), T)
     return profile.withColumn(
         "w", ranks.weak_spots(F.col("top"), F.col("small_sites"), v.YEAR, T)
     ).select(

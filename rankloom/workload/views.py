@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -91,22 +92,33 @@ def ranked_suppliers(spark: SparkSession, folder: str, depth: int = DEPTH) -> Da
 
 def serp(spark: SparkSession, folder: str, depth: int = DEPTH) -> DataFrame:
     k = F.col("k")
-    url = result_url(k)
-    title = F.concat(F.lit("Review "), (2010 + k % 20).cast("string"))
-    return (
+    rows = (
         ranked_suppliers(spark, folder, depth)
         .join(keywords(spark, folder).select("run_id", "keyword", "ord"), "ord")
         .select(
             "run_id",
             "keyword",
             "pos",
-            F.col("pos").alias("rank"),
-            url.alias("url"),
-            domain_of(url).alias("domain"),
-            title.alias("title"),
-            guess_page_type(url, title).alias("page_type"),
+            result_url(k).alias("url"),
+            F.concat(F.lit("Review "), (2010 + k % 20).cast("string")).alias("title"),
         )
     )
+    return rows.select(
+        "run_id",
+        "keyword",
+        "pos",
+        F.col("pos").alias("rank"),
+        "url",
+        domain_of(F.col("url")).alias("domain"),
+        "title",
+        guess_page_type(F.col("url"), F.col("title")).alias("page_type"),
+    )
+
+
+def shared_serp(spark: SparkSession, folder: str) -> DataFrame:
+    """The result pages kept for a plan that reads them several times. Spark recomputes lost
+    parts from the tables; drop it with unpersist or clearCache."""
+    return serp(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def impressions(spark: SparkSession, folder: str) -> DataFrame:
