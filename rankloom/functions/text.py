@@ -152,28 +152,43 @@ def in_autocomplete(phrase: Column, suggestions: Column) -> Column:
 
 
 def sentence_grams(text: Column, low: int = 2, high: int = 4) -> Column:
-    """All word n-grams inside sentences, without stopword edges or all-digit words."""
-    sentences = F.transform(
-        F.split(F.lower(text), fv.SENTENCE_BREAK),
-        lambda s: F.regexp_extract_all(s, F.lit(fv.WORD_PATTERN), F.lit(0)),
-    )
+    """All word n-grams inside sentences, without stopword edges or all-digit words. Each word is
+    judged once; grams are then read off the flags."""
+
+    def flagged(sentence: Column) -> Column:
+        tokens = F.regexp_extract_all(sentence, F.lit(fv.WORD_PATTERN), F.lit(0))
+        return F.transform(
+            tokens,
+            lambda t: F.struct(
+                t.alias("w"),
+                (~t.isin(_STOP) & ~t.rlike(r"^\d+$")).alias("edge"),
+                t.rlike(r"^\d+$").alias("digits"),
+            ),
+        )
 
-    def windows(tokens: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        return F.when(
-            F.size(tokens) >= n, F.transform(starts, lambda i: F.slice(tokens, i, n))
-        ).otherwise(F.array().cast("array<array<string>>"))
+    def sized(tokens: Column, starts: Column, n: int) -> Column:
+        def fits(i: Column) -> Column:
+            ok = (i + (n - 1) <= F.size(tokens)) & F.try_element_at(tokens, i + (n - 1))["edge"]
+            for k in range(1, n - 1):
+                ok = ok & ~F.try_element_at(tokens, i + k)["digits"]
+            return ok
+
+        def gram(i: Column) -> Column:
+            return F.concat_ws(" ", *[F.element_at(tokens, i + k)["w"] for k in range(n)])
+
+        return F.transform(F.filter(starts, fits), gram)
 
     def grams(tokens: Column) -> Column:
-        sized = [windows(tokens, n) for n in range(low, high + 1)]
-        good = F.filter(
-            F.concat(*sized),
-            lambda g: ~F.element_at(g, 1).isin(_STOP)
-            & ~F.element_at(g, -1).isin(_STOP)
-            & ~F.exists(g, lambda t: t.rlike(r"^\d+$")),
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
+            lambda i: F.coalesce(F.try_element_at(tokens, i)["edge"], F.lit(False)),
+        )
+        return bind(
+            starts,
+            lambda st: F.concat(*[sized(tokens, st, n) for n in range(low, high + 1)]),
         )
-        return F.transform(good, lambda g: F.array_join(g, " "))
 
+    sentences = F.transform(F.split(F.lower(text), fv.SENTENCE_BREAK), flagged)
     return F.flatten(F.transform(sentences, grams))
 
 

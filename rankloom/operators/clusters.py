@@ -336,6 +336,9 @@ def best_match(
     Right vectors are hashed into blocks, left vectors into chunks; each task multiplies one chunk
     by one block and returns one row per left vector, and a minimum over blocks finishes the job.
     """
+    # fresh column identities, so that both sides may come from one table
+    left = left.select(*[F.col(c).alias(c) for c in ("run_id", "item", "vector")])
+    right = right.select(*[F.col(c).alias(c) for c in ("run_id", "item", "order", "vector")])
     sizes = right.groupBy("run_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     chunks = left.groupBy("run_id").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     grid = sizes.join(chunks, "run_id")

@@ -96,18 +96,19 @@ def page_passages(pages: DataFrame, t: Thresholds) -> DataFrame:
     """(run_id, page, passage_no, passage) of the first page_words words of each page."""
     cut = truncate_words(F.col("text"), t.page_words)
     return pages.select(
-        "run_id", "page", F.posexplode(passages(cut, t.passage_words)).alias("n", "passage")
-    ).select("run_id", "page", (F.col("n") + 1).alias("passage_no"), "passage")
+        "run_id", "page", F.posexplode_outer(passages(cut, t.passage_words)).alias("n", "passage")
+    ).filter(F.col("passage").isNotNull()).select("run_id", "page", (F.col("n") + 1).alias("passage_no"), "passage")
 
 
 def page_vectors(pages: DataFrame, t: Thresholds) -> DataFrame:
     """(run_id, page, vector): normalised mean of the passage vectors, summed per word bucket so
     the shuffle carries partial sums, not vectors."""
     chunks = pages.select(
-        "run_id", "page", F.explode(passages(F.col("text"), t.passage_words)).alias("passage")
+        "run_id", "page", F.explode_outer(passages(F.col("text"), t.passage_words)).alias("passage")
     )
     weights = (
-        chunks.select("run_id", "page", F.inline(hashed_entries(F.col("passage"))))
+        chunks.select("run_id", "page", F.inline_outer(hashed_entries(F.col("passage"))))
+        .filter(F.col("bucket").isNotNull())
         .groupBy("run_id", "page", "bucket")
         .agg(F.sum("weight").alias("weight"))
     )
@@ -137,7 +138,9 @@ def ngrams(docs: DataFrame, limit: int = 200) -> DataFrame:
     """(run_id, page, gram, n, place): the most frequent phrases of each page. All grams of a page
     start in one task, so partial aggregation leaves one row per distinct gram to shuffle."""
     counts = (
-        docs.select("run_id", "page", F.explode(sentence_grams(F.col("text"))).alias("gram"))
+        # the outer form keeps the optimizer from evaluating the grams again in a size filter
+        docs.select("run_id", "page", F.explode_outer(sentence_grams(F.col("text"))).alias("gram"))
+        .filter(F.col("gram").isNotNull())
         .groupBy("run_id", "page", "gram")
         .agg(F.count("*").alias("n"))
     )

@@ -53,3 +53,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "step")
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A raw table scan with at least one partition per core. Small tables often come in one
+    split, which would leave CPU-heavy text expressions on one core; tables with enough splits
+    stay as they are, so large inputs are never shuffled for this."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

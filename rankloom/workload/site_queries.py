@@ -12,6 +12,7 @@ from rankloom.functions.robots import robots_outcome
 from rankloom.functions.snippet import snippet_check
 from rankloom.operators import checks, sampling
 from rankloom.plans.page_sample import page_sample
+from rankloom.session import spread
 from rankloom.settings import GapSettings
 from rankloom.sources import pages as page_source
 from rankloom.workload import views as v
@@ -308,12 +309,12 @@ _TITLE = """replace(replace(replace(replace(
     f"""SELECT page_id, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title FROM pages""",
 )
 def page_titles(spark, d):
-    return page_source.page_features(_pages(spark, d), T).select("page_id", "title")
+    return page_source.page_features(spread(_pages(spark, d)), T).select("page_id", "title")
 
 
 @query("page_features")
 def page_features(spark, d):
-    return page_source.page_features(_pages(spark, d), T).select(
+    return page_source.page_features(spread(_pages(spark, d)), T).select(
         "page_id", "title", "words", "status", F.size("headings").alias("headings"), "schema_type",
         F.size("links").alias("links"), "text",
     )
@@ -326,7 +327,7 @@ def page_features(spark, d):
     GROUP BY 1""",
 )
 def link_counts(spark, d):
-    links = page_source.link_table(page_source.page_features(_pages(spark, d), T))
+    links = page_source.link_table(page_source.page_features(spread(_pages(spark, d)), T))
     return links.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
@@ -341,7 +342,7 @@ def link_counts(spark, d):
 )
 def site_links(spark, d):
     return page_source.site_links(
-        page_source.link_table(page_source.page_features(_pages(spark, d), T))
+        page_source.link_table(page_source.page_features(spread(_pages(spark, d)), T))
     )
 
 
@@ -370,7 +371,7 @@ def _width_sql(text: str) -> str:
         AS reasons FROM w""",
 )
 def title_check(spark, d):
-    features = page_source.page_features(_pages(spark, d), T)
+    features = page_source.page_features(spread(_pages(spark, d)), T)
     checked = features.withColumn(
         "c", snippet_check(F.col("title"), F.col("description"), None, T)
     )

@@ -15,6 +15,7 @@ from rankloom.operators.ranks import competitor_ranks, with_positions
 from rankloom.plans import discovery as disc
 from rankloom.plans.phrase_research import phrase_research
 from rankloom.plans.topic_coverage import topic_coverage as coverage_plan
+from rankloom.session import cut_lineage, spread
 from rankloom.settings import GapSettings
 from rankloom.workload import views as v
 from rankloom.workload.gap_queries import measured
@@ -36,7 +37,7 @@ from rankloom.workload.views_sql import (
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents as pages: run = source, ours = the lowest doc_id of the run."""
-    rows = v.table(spark, d, "documents").select(
+    rows = spread(v.table(spark, d, "documents")).select(
         F.col("source").alias("run_id"), F.col("doc_id").alias("page"), "text"
     )
     ours = rows.groupBy("run_id").agg(F.min("page").alias("first"))
@@ -233,14 +234,16 @@ def _plain_groups(t: DataFrame) -> DataFrame:
 
 def _counts(spark, d):
     listed_topics = topics(spark, d)
-    listed = coverage.topic_pages(listed_topics, _plain_groups(listed_topics))
-    ranked = coverage.labelled_topics(listed, T)
+    listed = cut_lineage(
+        coverage.topic_pages(listed_topics, _plain_groups(listed_topics))
+    )
+    ranked = cut_lineage(coverage.labelled_topics(listed, T))
     wanted = ranked.filter(F.col("place").isNotNull()).select(
         "run_id", F.col("topic").alias("label")
     )
     pages = docs(spark, d)
-    per_page = coverage.page_counts(
-        coverage.passage_hits(line_passages(spark, d), wanted), pages
+    per_page = cut_lineage(
+        coverage.page_counts(coverage.passage_hits(line_passages(spark, d), wanted), pages)
     )
     return coverage.topic_counts(ranked, listed, per_page, pages, T), per_page
 
