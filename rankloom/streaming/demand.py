@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.numeric import half_even_int
 from rankloom.session import scratch_path
@@ -31,6 +32,11 @@ def windowed_demand(
     )
 
 
+def numbered_schema(stream: DataFrame) -> T.StructType:
+    """The stream's columns plus the micro-batch folder they were written under."""
+    return T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
+
+
 def run_available(stream: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
     """Run a streaming aggregation over everything that has arrived, then stop.
 
@@ -53,7 +59,7 @@ def run_available(stream: DataFrame, keys: list[str], path: str | None = None) -
         .start()
     )
     query.awaitTermination()
-    landed = spark.read.schema(stream.schema.add("batch_id", "int")).parquet(out)
+    landed = spark.read.schema(numbered_schema(stream)).parquet(out)
     rest = [c for c in stream.columns if c not in keys]
     return (
         landed.groupBy(*keys)

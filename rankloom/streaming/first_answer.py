@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.session import scratch_path
+from rankloom.streaming.demand import numbered_schema
 
 KEYS = ["namespace", "request", "day"]
 
@@ -33,7 +34,7 @@ def land_first_answers(stream: DataFrame, order: list[str], path: str | None = N
     spark = stream.sparkSession
     path = path or scratch_path(spark, "answers")
     table = f"{path}/rows"
-    schema = stream.schema.add("batch_id", "int")
+    schema = numbered_schema(stream)
 
     def land(batch: DataFrame, number: int) -> None:
         rest = [c for c in batch.columns if c not in KEYS]

@@ -278,8 +278,8 @@ def topic_counts(spark, d):
       list_reduce(list(covered_by / total * {T.saturation_target}e0 ORDER BY listed DESC, topic),
         lambda a, b: a + b) AS den
       FROM counts WHERE bucket IN ('must', 'worth') GROUP BY 1)
-    SELECT r.run_id, coalesce(least(100, CAST(round_even(100e0 * num / den, 0) AS INTEGER)), 0)
-      AS score FROM (SELECT DISTINCT run_id FROM counts) r LEFT JOIN s USING (run_id)""",
+    SELECT r.run_id, CASE WHEN s.run_id IS NULL THEN 0
+      ELSE least(100, CAST(round_even(100e0 * num / den, 0) AS INTEGER)) END AS score FROM (SELECT DISTINCT run_id FROM counts) r LEFT JOIN s USING (run_id)""",
 )
 def content_score(spark, d):
     return coverage.content_scores(_counts(spark, d)[0], T).select("run_id", "score")
