@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from rankloom import fixed_values as fv
 from rankloom.functions.url import domain_of, in_domains, url_key
+from rankloom.session import cut_lineage
 from rankloom.settings import Thresholds
 
 
@@ -78,7 +79,10 @@ def competitor_cascade(
         F.col("read_type").isin(fv.WRONG_FORMAT_TYPES),
         F.concat(F.lit("wrong format ("), F.col("read_type"), F.lit(")")),
     )
-    read = fetched.withColumn("reason", F.when(open_, fetch_reason).otherwise(F.col("reason")))
+    # each stage is read by its own statistics and by the next stage, so it is written once
+    read = cut_lineage(
+        fetched.withColumn("reason", F.when(open_, fetch_reason).otherwise(F.col("reason")))
+    )
 
     readable = read.filter(open_).select(
         "run_id", F.col("read_type").alias("page_type"), "rank", "url"
@@ -116,7 +120,7 @@ def competitor_cascade(
         )
         .drop("median")
     )
-    return _cap(measured, t)
+    return _cap(cut_lineage(measured), t)
 
 
 def _cap(rows: DataFrame, t: Thresholds) -> DataFrame:

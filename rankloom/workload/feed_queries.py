@@ -643,7 +643,7 @@ def event_stream(spark, d) -> DataFrame:
 
 @query(
     "demand_stream",
-    f"""WITH e AS (SELECT event_type AS keyword, CAST(value AS INTEGER) AS n,
+    f"""WITH e AS (SELECT event_type AS keyword, CAST(floor(value) AS INTEGER) AS n,
       CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events),
     w AS (SELECT keyword, n, unnest(range(0, 12)) AS back, day FROM e)
     SELECT keyword, CAST(DATE '1970-01-01' + CAST((day // 7) * 7 - back * 7 + 83 AS INTEGER) AS DATE)
