@@ -21,6 +21,7 @@ from rankloom.functions.text import (
 )
 from rankloom.functions.url import brand_label
 from rankloom.operators.demand import has_demand
+from rankloom.session import cut_lineage
 from rankloom.settings import GapSettings, Thresholds
 
 
@@ -97,7 +98,8 @@ def mark_brands(
     per_run = tokens.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "token", "domain"))).alias("tokens")
     )
-    hits = (
+    # read twice below: for the generic words and for the marks
+    hits = cut_lineage(
         candidates.join(per_run, "run_id", "left")
         .withColumn(
             "hits",
@@ -108,7 +110,7 @@ def mark_brands(
         )
         .drop("tokens")
     )
-    pool = candidates.groupBy("run_id").agg(F.count("*").alias("pool"))
+    pool = hits.groupBy("run_id").agg(F.count("*").alias("pool"))
     generic = (
         hits.select("run_id", F.inline("hits"))
         .groupBy("run_id", "ord", "token", "domain")

@@ -112,14 +112,16 @@ def _add_related(pool, checked, sites, related, tokens, generic, s: GapSettings)
         sites.withColumnRenamed("domain", "site"), ["run_id", "site"]
     )
     none = F.lit(None).cast("string")
-    rows = found.select(
-        "run_id",
-        "phrase",
-        F.lit("bing related").alias("source"),
-        none.alias("domain"),
-        none.alias("url"),
-        _order(1, F.col("site_ord"), F.col("n"), F.col("place")).alias("ord"),
-        "volume",
+    rows = cut_lineage(
+        found.select(
+            "run_id",
+            "phrase",
+            F.lit("bing related").alias("source"),
+            none.alias("domain"),
+            none.alias("url"),
+            _order(1, F.col("site_ord"), F.col("n"), F.col("place")).alias("ord"),
+            "volume",
+        )
     )
     merged = c.merge_variants(rows)
     keyed = rows.withColumn("variant_key", c.variant_key(F.col("phrase")))
@@ -161,7 +163,7 @@ def second_pass(
     """More keywords where competitors are proven to rank. related_searches: run_id, keyword, pos,
     query; rankings: run_id, keyword, ord, proven."""
     known = discovery.pool.select("run_id", "variant_key")
-    fresh = c.new_related_searches(related_searches, rankings, known, s)
+    fresh = cut_lineage(c.new_related_searches(related_searches, rankings, known, s))
     marked, _ = c.mark_brands(fresh, discovery.tokens, s)
     order = W.partitionBy("run_id").orderBy("ord")
     checks = (

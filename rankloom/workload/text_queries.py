@@ -667,6 +667,7 @@ def phrase_volumes(spark, d) -> DataFrame:
         .groupBy(phrase.alias("keyword"))
         .agg((F.max("sold") % 40).alias("searches"))
         .filter(F.col("keyword").isNotNull())
+        .persist()  # read by the volume, suggestion and related inputs of one plan
     )
 
 
