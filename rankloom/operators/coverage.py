@@ -6,7 +6,7 @@ Pages are (run_id, page, ours, text[, domain]); topics (run_id, page, topic); ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -119,7 +119,9 @@ def passage_hits(passages: DataFrame, wanted: DataFrame) -> DataFrame:
     labels per run are limited (topics plus open questions), so no word joins everything.
     """
     need = F.array_sort(F.array_distinct(content_words(F.col("label"))))
-    longest = F.array_max(F.transform("need", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    longest = F.array_max(
+        F.transform("need", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    )
     labels = (
         wanted.select("run_id", "label").distinct()
         .withColumn("need", need)
@@ -192,21 +194,20 @@ def mark_noise(
 ) -> DataFrame:
     """Topics that hold a competitor's name (run_id, brand: at most competitors_max per run) or
     were judged noise (run_id, topic, reason) leave the buckets."""
-    out = counts.withColumn("noise_reason", F.lit("")).withColumn("brands", F.lit(None).cast("array<string>"))
+    out = counts.withColumn("brands", F.lit(None).cast("array<string>"))
     if brand_names is not None:
         per_run = brand_names.groupBy("run_id").agg(
             F.array_sort(F.collect_set("brand")).alias("brands")
         )
-        out = counts.withColumn("noise_reason", F.lit("")).join(per_run, "run_id", "left")
-    hit = F.try_element_at(
-        F.filter(
-            "brands",
-            lambda b: F.when(F.contains(F.col("topic"), b),
-                F.regexp_like(F.col("topic"), F.concat(F.lit(r"(?U)\b"), regex_literal(b), F.lit(r"\b")))
-            ).otherwise(False),
-        ),
-        F.lit(1),
-    )
+        out = counts.join(per_run, "run_id", "left")
+
+    def named(b: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?U)\b"), regex_literal(b), F.lit(r"\b"))
+        return F.when(
+            F.contains(F.col("topic"), b), F.regexp_like(F.col("topic"), pattern)
+        ).otherwise(False)
+
+    hit = F.try_element_at(F.filter("brands", named), F.lit(1))
     out = out.withColumn("hit", hit).withColumns(
         {
             "bucket": F.when(F.col("hit").isNotNull(), "noise").otherwise(F.col("bucket")),
@@ -293,7 +294,7 @@ def stuffing(counts: DataFrame, per_page: DataFrame, t: Thresholds) -> DataFrame
     used = (
         per_page.filter(~F.col("ours"))
         .withColumnRenamed("label", "topic")
-        .join(suspects.filter(F.lit(True)), ["run_id", "topic"], "left_semi")
+        .join(suspects, ["run_id", "topic"], "left_semi")
         .groupBy("run_id", "topic", "n")
         .agg(F.count("*").alias("freq"))
     )

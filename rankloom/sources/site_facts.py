@@ -130,7 +130,7 @@ def first_captures(raw: DataFrame) -> DataFrame:
     """(domain, body) -> the first readable capture after the header row: date and URL."""
     rows = F.from_json("body", "array<array<string>>")
     readable = F.filter(
-        F.slice(rows, 2, 1_000_000),
+        F.slice(rows, F.lit(2), F.size(rows)),
         lambda r: (F.size(r) >= 2)
         & F.try_to_timestamp(F.substring(F.element_at(r, 1), 1, 8), F.lit("yyyyMMdd")).isNotNull(),
     )

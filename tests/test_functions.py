@@ -62,7 +62,7 @@ def test_same_page_and_link_header(values):
         ("https://x.com/a?b=1", "query string"),
         ("https://x.com/https:/cal.com/z", "broken link"),
         ("https://x.com/file.PDF", "not a web page"),
-        ("https://x.com/google385b42146547b16e.html", "not a web page"),
+        ("https://x.com/google0123456789abcdef.html", "not a web page"),
         ("https://x.com/blog/page/2/", "pagination"),
         ("https://x.com/blog/", "list page"),
         ("https://x.com/blog/post", None),

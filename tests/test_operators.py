@@ -46,7 +46,7 @@ def test_clusters_match_brute_force(spark, small_run):
 
 
 def test_clusters_do_not_chain(spark):
-    sets = {"a": "1234", "b": "2345", "c": "4567"}  # b joins a; c shares two with a, three with b
+    # b joins a; c shares three with b but none with a, so it leads its own group
     sets = {"a": set("123x"), "b": set("123") | set("456"), "c": set("456y")}
     rows = spark.createDataFrame(
         [("r", k, e) for k, s in sets.items() for e in s], "run_id string, item string, element string"
