@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm.common import table
+from rankloom.llm.decontamination import decontaminate
 from rankloom.llm.quality_rules import BOILERPLATE, Rules, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +77,48 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words",
         "base_failed", "kept",
     )
+
+
+DECONTAMINATION_SQL = r"""
+WITH dw AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), bw AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + 9], ' ') AS g
+    FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM bw WHERE len(w) > 0)
+), places AS (
+    SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+    FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+          FROM dw, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)
+), hits AS (
+    SELECT doc_id, item_id, i, p.m FROM places p JOIN windows v ON p.g = v.g AND p.m = v.m
+), covered AS (
+    SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(k.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM dw LEFT JOIN covered c ON dw.doc_id = c.doc_id LEFT JOIN named k ON dw.doc_id = k.doc_id
+"""
+
+
+@query("op7_decontamination", DECONTAMINATION_SQL)
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_words").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
