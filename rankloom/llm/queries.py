@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import table
 from rankloom.llm.decontamination import decontaminate
+from rankloom.llm.packing import pack
 from rankloom.llm.quality_rules import BOILERPLATE, Rules, quality_rules
 from rankloom.llm.token_counts import token_counts
 
@@ -129,3 +130,8 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
