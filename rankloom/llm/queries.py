@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.chat_format import format_paths, read_back, reply_paths, turn_chains
 from rankloom.llm.common import table
 from rankloom.llm.decontamination import decontaminate
 from rankloom.llm.packing import pack
@@ -135,3 +136,44 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + 17
+                + len(regexp_extract_all(text, '<\\*(\|turn\|>|\|end\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+@query("op9_chat_format", CHAT_SQL)
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    control = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        control.alias("text"),
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    turns = read_back(format_paths(reply_paths(turn_chains(rows))))
+
+    def joined(parts) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct("place", parts.alias("part"))))
+        return F.array_join(F.transform(listed, lambda x: x["part"]), "")
+
+    text = F.col("text")
+    return turns.groupBy(F.col("tree").alias("conv_id")).agg(
+        F.count("*").alias("n_turns"),
+        F.sha2(joined(F.concat("role", F.lit("\n"), "text", F.lit("\n"))), 256).alias("turns_sha256"),
+        F.coalesce(F.sum(F.when(F.col("masked"), F.length("text"))), F.lit(0)).alias("loss_chars"),
+        F.sha2(joined(F.when(F.col("masked"), text).otherwise("")), 256).alias("loss_sha256"),
+        F.max("n_formatted").cast("long").alias("formatted_chars"),
+    )
