@@ -13,6 +13,7 @@ from rankloom.llm.common import table
 from rankloom.llm.decontamination import decontaminate
 from rankloom.llm.packing import pack
 from rankloom.llm.quality_rules import BOILERPLATE, Rules, quality_rules
+from rankloom.llm.rlz_dedup import substring_dedup
 from rankloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +178,29 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(F.when(F.col("masked"), text).otherwise("")), 256).alias("loss_sha256"),
         F.max("n_formatted").cast("long").alias("formatted_chars"),
     )
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)
+), later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM windows) WHERE f < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM later
+), kept AS (
+    SELECT w.doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) w
+    ANTI JOIN gone USING (doc_id, i) GROUP BY w.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op6_substring_dedup", SUBSTRING_SQL)
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup(table(spark, folder, "documents"))
