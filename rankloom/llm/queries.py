@@ -14,6 +14,7 @@ from rankloom.llm.decontamination import decontaminate
 from rankloom.llm.packing import pack
 from rankloom.llm.quality_rules import BOILERPLATE, Rules, quality_rules
 from rankloom.llm.rlz_dedup import substring_dedup
+from rankloom.llm.suffix_dedup import suffix_dedup
 from rankloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +205,43 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 @query("op6_substring_dedup", SUBSTRING_SQL)
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(table(spark, folder, "documents"))
+
+
+# bytes as pairs of hexadecimal digits: a window is 200 of them
+SUFFIX_SQL = r"""
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+    SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) AS a, md5_number(substr(h, 2 * i + 1, 200)) AS b
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)
+), later AS (
+    SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS n FROM windows
+    ) WHERE n > 1
+), edges AS (
+    SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e
+    FROM later
+), numbered AS (
+    SELECT doc_id, i, sum(CASE WHEN e IS NULL OR i > e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span
+    FROM edges
+), spans AS (
+    SELECT doc_id, span, min(i) AS s, max(i) + 100 AS e FROM numbered GROUP BY doc_id, span
+), kept AS (
+    SELECT p.doc_id, string_agg(substr(h, 2 * p.at + 1, 2 * (p.until - p.at)), '' ORDER BY p.at) AS k
+    FROM (
+        SELECT doc_id, coalesce(lag(e) OVER w, 0) AS at, s AS until FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+        UNION ALL
+        SELECT s.doc_id, max(e), any_value(length(h) // 2) FROM spans s JOIN d ON s.doc_id = d.doc_id GROUP BY s.doc_id
+    ) p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id
+), totals AS (
+    SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, CASE WHEN t.doc_id IS NULL THEN h ELSE '' END))) AS kept_sha256
+FROM d LEFT JOIN totals t ON d.doc_id = t.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op3_suffix_dedup", SUFFIX_SQL)
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup(table(spark, folder, "documents"))
