@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.chat_format import format_paths, read_back, reply_paths, turn_chains
 from rankloom.llm.common import table
 from rankloom.llm.decontamination import decontaminate
+from rankloom.llm.minhash_dedup import near_duplicates
 from rankloom.llm.packing import pack
 from rankloom.llm.quality_rules import BOILERPLATE, Rules, quality_rules
 from rankloom.llm.rlz_dedup import substring_dedup
@@ -245,3 +246,40 @@ FROM d LEFT JOIN totals t ON d.doc_id = t.doc_id LEFT JOIN kept ON d.doc_id = ke
 @query("op3_suffix_dedup", SUFFIX_SQL)
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(table(spark, folder, "documents"))
+
+
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, hash(g) AS g FROM (
+        SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0))
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+    FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+    SELECT a, b FROM shared JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+    WHERE 100 * k >= 85 * (s.n + t.n - k)
+), reach AS (
+    SELECT a AS node, b AS other FROM links
+    UNION
+    SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+    SELECT node, min(other) AS m FROM reach GROUP BY node
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id,
+       w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.node = w.doc_id
+"""
+
+
+@query("op1_minhash_dedup", MINHASH_SQL)
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
