@@ -15,6 +15,7 @@ from rankloom.llm.minhash_dedup import near_duplicates
 from rankloom.llm.packing import pack
 from rankloom.llm.quality_rules import BOILERPLATE, Rules, quality_rules
 from rankloom.llm.rlz_dedup import substring_dedup
+from rankloom.llm.secret_scan import secret_spans
 from rankloom.llm.suffix_dedup import suffix_dedup
 from rankloom.llm.token_counts import token_counts
 
@@ -283,3 +284,21 @@ FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.nod
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_spans(table(spark, folder, "documents"))
+    span = F.col("spans")
+
+    def many(kind: str) -> Column:
+        return F.size(F.filter(span, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter(span, lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", many("assign"), many("access"), many("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(span).alias("spans"),
+    )
