@@ -18,6 +18,7 @@ from rankloom.llm.rlz_dedup import substring_dedup
 from rankloom.llm.secret_scan import secret_spans
 from rankloom.llm.suffix_dedup import suffix_dedup
 from rankloom.llm.token_counts import token_counts
+from rankloom.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -302,3 +303,8 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", many("assign"), many("access"), many("hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(span).alias("spans"),
     )
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
