@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.session import cut_lineage
 
-__all__ = ["cut_lineage", "documents", "lists", "map_batches", "table"]
+__all__ = ["cut_lineage", "documents", "lists", "map_batches", "rewrite_texts", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,3 +66,35 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, type=kind))
 
 
+
+
+def rewrite_texts(
+    docs: DataFrame,
+    step: Callable[[pa.RecordBatch], Iterator[tuple[int, pa.Array, np.ndarray]]],
+    text_col: str = "text",
+    size_col: str = "n_chars",
+) -> DataFrame:
+    """The rows of `docs`, all columns, with new texts; no shuffle. `step` gets a batch of
+    (doc_id, text), null texts empty, and yields for runs of rows: their number, their new texts and
+    which of them stay. A column named by `size_col` gets the new length in code points."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(text_col).fill_null("")
+            at = 0
+            for n, texts, stays in step(pa.RecordBatch.from_arrays([batch.column("doc_id"), text], ["doc_id", "text"])):
+                columns = []
+                for i, field in enumerate(fields):
+                    column = batch.column(i).slice(at, n)
+                    if field.name == text_col:
+                        column = _array(texts, field.type)
+                    elif field.name == size_col and pa.types.is_integer(field.type):
+                        column = pa.compute.utf8_length(texts).cast(field.type)
+                    columns.append(column.filter(pa.array(stays, pa.bool_())))
+                at += n
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
+
+    return docs.mapInArrow(run, docs.schema)

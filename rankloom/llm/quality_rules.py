@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.common import documents, map_batches
+from rankloom.llm.common import documents, map_batches, rewrite_texts
 from rankloom.llm.text_arrays import LOWER, NOT_SPACE, Words, gram_hashes, mix, pieces, span_hashes, split_words
 
 SYMBOLS = b"#*$%&|<>"
@@ -63,6 +63,17 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = False
     return map_batches(documents(docs), step, schema)
 
 
+def cleaned_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The documents that are kept, all columns, their texts without failing lines."""
+
+    def step(batch: pa.RecordBatch):
+        for lo, hi, data, offsets in pieces(batch.column("text")):
+            columns, lines = assess(data, offsets, rules)
+            yield hi - lo, clean(data, offsets, *lines), columns["kept"]
+
+    return rewrite_texts(docs, step)
+
+
 def assess(data: np.ndarray, offsets: np.ndarray, rules: Rules):
     """Counts and verdicts of a piece's documents, and its lines (starts, ends, documents, which to drop)."""
     words = split_words(data, offsets, NOT_SPACE)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, map_batches
+from rankloom.llm.common import documents, map_batches, rewrite_texts
 from rankloom.llm.crf import BEGIN, INSIDE, Crf
 from rankloom.llm.text_arrays import LOWER, Words, pieces, span_hashes, split_words
 
@@ -76,23 +76,42 @@ def secret_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def step(batch: pa.RecordBatch):
         for lo, hi, data, offsets in pieces(batch.column("text")):
-            found = base_spans(data, offsets)
-            model = held.value
-            if model is not None:
-                words, features = token_features(data, offsets)
-                tags = model.decode(model.emissions(features), words.first)
-                _add(found, words, tags, offsets)
-            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            out = []
-            for d, own in enumerate(found):
-                own.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-                base = points[offsets[d]]
-                out.append([{"kind": k, "start": int(points[a] - base), "end": int(points[b] - base)} for k, a, b, _ in own])
-            yield {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "spans": out}
+            spans = _scan(data, offsets, held.value)
+            yield {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "spans": spans}
 
     return map_batches(source, step, SPANS)
 
 
+def redacted_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """All documents, all columns, with their secrets masked in the text."""
+    held = docs.sparkSession.sparkContext.broadcast(_fitted(documents(docs), sample))
+
+    def step(batch: pa.RecordBatch):
+        for lo, hi, data, offsets in pieces(batch.column("text")):
+            texts = batch.column("text").slice(lo, hi - lo).to_pylist()
+            spans = _scan(data, offsets, held.value)
+            masked = [redacted(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            yield hi - lo, pa.array(masked, pa.string()), np.ones(hi - lo, bool)
+
+    return rewrite_texts(docs, step)
+
+
+def _scan(data: np.ndarray, offsets: np.ndarray, model: Crf | None) -> list[list[dict]]:
+    """Spans of a piece's documents, in code points."""
+    found = base_spans(data, offsets)
+    if model is not None:
+        words, features = token_features(data, offsets)
+        tags = model.decode(model.emissions(features), words.first)
+        _add(found, words, tags, offsets)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    out = []
+    for d, own in enumerate(found):
+        own.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+        base = points[offsets[d]]
+        out.append([{"kind": k, "start": int(points[a] - base), "end": int(points[b] - base)} for k, a, b, _ in own])
+    return out
+
+
 def redacted(text: str, spans: list, mark: str = "<secret>") -> str:
     """`text` with `mark` in the place of each run of overlapping spans."""
     out, at = [], 0

@@ -34,7 +34,7 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 HELD_OUT = 2  # remainder modulo 4 of crc32(doc_id as text) that is never learnt from
 LEXICON = 5_000  # words kept, by weight
-LEAST_Z = 5.0  # standard deviations by which a word must lean to toxic documents
+LEAST_Z = 8.0  # standard deviations by which a word must lean to toxic documents
 
 # what a mark may stand for; the empty reading drops it
 LOOKALIKES = {
