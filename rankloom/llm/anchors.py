@@ -5,9 +5,9 @@ hash among the `gram`-symbol substrings it holds, so equal windows have equal an
 places, and neighbouring windows mostly share one. The windows of one anchor are neighbours, and the
 symbols they span are the anchor's context.
 
-Anchors with equal keys meet. If all contexts of a key are equal, every occurrence but the first
-repeats it whole (DUPLICATE). If contexts differ, the windows need a closer look (CANDIDATE). A key
-met once says that none of its windows is met twice.
+Anchors with equal keys meet. An occurrence whose context equals that of the key's first occurrence
+repeats it whole (DUPLICATE). If contexts differ, the windows of the others need a closer look
+(CANDIDATE). A key met once says that none of its windows is met twice.
 
 Each Arrow batch of documents settles what it can by itself: copies of a context beyond the first
 are duplicates whatever other batches hold, so a passage in a third of all documents sends one
@@ -30,18 +30,19 @@ from rankloom.llm.text_arrays import U, mix, pieces
 
 PENDING, DUPLICATE, CANDIDATE_HOT, WITNESS = 0, 1, 2, 3
 CANDIDATE = PENDING  # after the meeting
-HOT = 64
+HOT = 16
 
-# `at` holds a run of windows in one number: first window << 16 | how many << 2 | kind
+# `at` holds a run of windows in one number: first window, how many (below MOST), kind
+MOST = 1 << 24
 AT = "key long, ctx long, doc_id long, at long"
 
 
 def packed(start, count, kind):
-    return (start << 16) | (count << 2) | kind
+    return (start << 26) | (count << 2) | kind
 
 
 def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return at >> 16, (at >> 2) & 0x3FFF, at & 3
+    return at >> 26, (at >> 2) & (MOST - 1), at & 3
 
 
 def by_id(docs: DataFrame) -> DataFrame:
@@ -126,19 +127,21 @@ def verdicts(rows: DataFrame, across_only: bool) -> DataFrame:
         "*",
         F.min("ctx").over(group).alias("low"),
         F.max("ctx").over(group).alias("high"),
-        F.min(F.struct("doc_id", "at")).over(group).alias("first"),
+        F.min(F.struct("doc_id", "at", "ctx")).over(group).alias("first"),
         F.max(kind == WITNESS).over(group).alias("hot"),
     )
-    later = F.col("doc_id") > F.col("first.doc_id") if across_only else F.struct("doc_id", "at") > F.col("first")
+    place = F.struct("doc_id", "at", "ctx")
+    later = F.col("doc_id") > F.col("first.doc_id") if across_only else place > F.col("first")
+    later = later & (F.col("ctx") == F.col("first.ctx"))
     own = F.col("at") - kind
     return (
         seen.select(
             "key",
             "doc_id",
             F.when(kind.isin(DUPLICATE, CANDIDATE_HOT), F.col("at"))
+            .when(later, own + DUPLICATE)
             .when(F.col("hot"), own + CANDIDATE_HOT)
             .when(F.col("low") != F.col("high"), own + CANDIDATE)
-            .when(later, own + DUPLICATE)
             .alias("at"),
         )
     ).filter("at IS NOT NULL")
@@ -168,17 +171,19 @@ def settle_windows(h1, h2, doc, at, across_only: bool):
     return out
 
 
-def runs(doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """DUPLICATE rows (doc, at) for sorted windows of documents, neighbours in one row."""
-    if not len(doc):
-        return doc, window
+def runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """DUPLICATE rows (doc, at) for the runs of windows of documents, neighbouring runs in one."""
+    count = np.broadcast_to(np.asarray(count, np.int64), start.shape)
+    order = np.lexsort((start, doc))
+    doc, start, count = doc[order], start[order], count[order]
     opens = np.ones(len(doc), bool)
-    opens[1:] = (doc[1:] != doc[:-1]) | (window[1:] != window[:-1] + 1)
-    group = np.cumsum(opens) - 1
-    start = np.flatnonzero(opens)
-    opens |= (np.arange(len(doc)) - start[group]) % 0x3FFF == 0
-    start = np.flatnonzero(opens)
-    return doc[start], packed(window[start], np.diff(np.append(start, len(doc))), DUPLICATE)
+    opens[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    first = np.flatnonzero(opens)
+    total = np.add.reduceat(count, first) if len(first) else count
+    parts = -(-total // (MOST - 1))
+    doc, start, total = (np.repeat(x, parts) for x in (doc[first], start[first], total))
+    done = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * (MOST - 1)
+    return doc, packed(start + done, np.minimum(total - done, MOST - 1), DUPLICATE)
 
 
 def covered(size: int, at: np.ndarray, width: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from rankloom.llm.common import map_batches
 from rankloom.llm.text_arrays import NOT_SPACE, U, gram_hashes, mix, pieces, powers, span_hashes, split_words
 
 WIDTH = 13
-GRAM = 5
+GRAM = 4
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
@@ -70,12 +70,11 @@ def _parser(width: int):
             at = spans.flatten().to_numpy()
             doc = np.repeat(np.arange(hi - lo), spans.value_lengths().to_numpy())
             start, count, kind = A.unpacked(at)
+            whole = kind == A.DUPLICATE
+            done.append((ids[lo + doc[whole]], start[whole], count[whole]))
+            doc, start, count = doc[~whole], start[~whole], count[~whole]
             place = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            owner, whole = np.repeat(doc, count), np.repeat(kind == A.DUPLICATE, count)
-            order = np.lexsort((place, owner))
-            owner, place, whole = owner[order], place[order], whole[order]
-            done.append((ids[lo + owner[whole]], place[whole]))
-            owner, place = owner[~whole], place[~whole]
+            owner = np.repeat(doc, count)
             words, first = _word_hashes(data, offsets)
             second = span_hashes(data, words.starts, words.ends, 1)
             g1, g2 = gram_hashes(first, width), gram_hashes(second, width, 1)
@@ -83,9 +82,8 @@ def _parser(width: int):
             asked.append((ids[lo + owner], place, g1[where], g2[where]))
         doc, place, h1, h2 = (np.concatenate(x) for x in zip(*asked, strict=True))
         known = A.settle_windows(h1, h2, doc, place, True)
-        fine, windows = (np.concatenate(x) for x in zip(*done, (doc[known], place[known]), strict=True))
-        order = np.lexsort((windows, fine))
-        fine, spans = A.runs(fine[order], windows[order])
+        done.append((doc[known], place[known], np.ones(known.sum(), np.int64)))
+        fine, spans = A.runs(*(np.concatenate(x) for x in zip(*done, strict=True)))
         spread = mix(mix(fine.astype(U)) + spans.astype(U))
         left = ~known
         return {

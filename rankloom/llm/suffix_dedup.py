@@ -31,7 +31,7 @@ from rankloom.llm.common import map_batches
 from rankloom.llm.text_arrays import U, mix, pieces, powers, span_hashes
 
 WIDTH = 100
-GRAM = 32
+GRAM = 20
 BLOCK_BYTES = 2 << 20
 
 CONTEXTS = "key long, doc_id long, at long, context binary"
@@ -88,16 +88,16 @@ def _contexts(width: int):
             doc = np.repeat(np.arange(hi - lo), spans.value_lengths().to_numpy())
             start, count, kind = A.unpacked(at)
             settled = kind == A.DUPLICATE
-            where = offsets[doc] + start
-            raw = data.tobytes()
+            done, run = A.runs(ids[lo + doc[settled]], start[settled], count[settled])
+            doc, start, count, at, key = (x[~settled] for x in (doc, start, count, at, key))
+            where, raw = offsets[doc] + start, data.tobytes()
+            context = [raw[a:b] for a, b in zip(where.tolist(), (where + count + width - 1).tolist(), strict=True)]
+            spread = mix(mix(done.astype(U)) + run.astype(U)).view(np.int64)
             yield {
-                "key": key,
-                "doc_id": ids[lo + doc],
-                "at": at,
-                "context": pa.array(
-                    [None if s else raw[a:b] for s, a, b in zip(settled, where, where + count + width - 1, strict=True)],
-                    pa.binary(),
-                ),
+                "key": np.concatenate([spread, key]),
+                "doc_id": np.concatenate([done, ids[lo + doc]]),
+                "at": np.concatenate([run, at]),
+                "context": pa.array([None] * len(done) + context, pa.binary()),
             }
 
     return step
