@@ -68,7 +68,7 @@ def test_defined_results_for_odd_tables(spark):
     empty = spark.createDataFrame([], schema)
     assert suffix_dedup(empty).count() == 0 and substring_dedup(empty).count() == 0
     text = " ".join("w%d" % i for i in range(40))
-    odd = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text), (2, "zz " + text)], schema)
+    odd = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text), (2, text)], schema)
     assert {(r["doc_id"], r["n_removed"]) for r in substring_dedup(odd).collect()} == {(1, 0), (2, 40)}
     got = {r["doc_id"]: r for r in suffix_dedup(odd, texts=True).collect()}
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == len(text) and bytes(got[2]["kept"]) == b""
