@@ -205,7 +205,7 @@ def passages(text: Column, max_words: int = 120) -> Column:
         flush = (
             (size > 0) & (F.size(acc["open"]) > 0) & (F.size(acc["open"]) + size > max_words)
         )
-        full = F.greatest(F.ceil((size - 1) / max_words).cast("int"), F.lit(0))
+        full = F.greatest(F.floor((size - 1) / max_words).cast("int"), F.lit(0))
         full = F.when(size > max_words, full).otherwise(0)
         whole = F.when(
             full > 0,

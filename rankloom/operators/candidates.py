@@ -22,7 +22,7 @@ from rankloom.functions.text import (
 from rankloom.functions.url import brand_label
 from rankloom.operators.demand import has_demand
 from rankloom.session import cut_lineage
-from rankloom.settings import GapSettings, Thresholds
+from rankloom.settings import GapSettings, Thresholds, within
 
 
 def merge_variants(phrases: DataFrame, key: Column | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def demand_checks(candidates: DataFrame, s: GapSettings) -> DataFrame:
     return (
         candidates.filter(F.col("brand_of").isNull())
         .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= s.demand_checks)
+        .filter(within("n", s.demand_checks))
         .drop("n")
     )
 
@@ -184,7 +184,7 @@ def site_seeds(checked: DataFrame, s: GapSettings) -> DataFrame:
         checked.filter(has_demand(F.col("searches"), F.col("autocomplete"), s.thresholds))
     )
     order = W.partitionBy("run_id", "site").orderBy(*rank_order())
-    return own.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= s.seeds_per_site)
+    return own.withColumn("n", F.row_number().over(order)).filter(within("n", s.seeds_per_site))
 
 
 def keeps_topic(seed: Column, phrase: Column, shared: int) -> Column:
@@ -198,7 +198,7 @@ def keeps_topic(seed: Column, phrase: Column, shared: int) -> Column:
 def related_phrases(seeds: DataFrame, related: DataFrame, s: GapSettings) -> DataFrame:
     """Cleaned related keywords of the seeds: (run_id, phrase, volume, seed, pos). `related` is
     (phrase, keyword, volume, place) as related_demand returns it."""
-    lists = related.filter(F.col("place") <= s.related_per_seed).select(
+    lists = related.filter(within("place", s.related_per_seed)).select(
         F.col("phrase").alias("seed"), F.col("keyword").alias("phrase"), "volume", "place"
     )
     joined = seeds.select("run_id", F.col("keyword").alias("seed"), "n", "site").join(lists, "seed")
@@ -378,13 +378,13 @@ def pre_score(fit: Column, volume: Column, difficulty: Column | None = None) ->
     return score * (F.lit(1.0) - F.coalesce(difficulty, F.lit(0)) / F.lit(100.0))
 
 
-def best_by_score(candidates: DataFrame, score: Column, keep: int) -> DataFrame:
-    """Adds `place` to the best rows of each run and drops the rest of the ranking."""
+def best_by_score(candidates: DataFrame, score: Column, keep: int | None) -> DataFrame:
+    """Adds `place` to the rows of each run, best first, and drops those beyond `keep`."""
     order = W.partitionBy("run_id").orderBy(F.desc("score"), "keyword")
     return (
         candidates.withColumn("score", score)
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= keep)
+        .filter(within("place", keep))
     )
 
 

@@ -15,7 +15,8 @@ from rankloom.functions.numeric import bucket_for, fixed_text, ordered_sum, satu
 from rankloom.functions.text import content_words, normalise_phrase, regex_literal
 from rankloom.operators.clusters import best_match, greedy_vector_heads
 from rankloom.operators.phrases import Embedder, hashed_embedder
-from rankloom.settings import Thresholds
+from rankloom.session import cut_lineage
+from rankloom.settings import Thresholds, within
 
 
 def evidence_union(rows: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def labelled_topics(listed: DataFrame, t: Thresholds) -> DataFrame:
     order = W.partitionBy("run_id").orderBy(F.desc("listed"), "topic")
     best = (
         counts.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= t.labelled_topics)
+        .filter(within("place", t.labelled_topics))
         .select("run_id", "topic", "place")
     )
     return counts.join(best, ["run_id", "topic"], "left")
@@ -95,7 +96,7 @@ def open_questions(
         asked.join(near, ["run_id", "text"], "left")
         .filter(F.coalesce("similarity", F.lit(-1.0)) < t.evidence_similarity)
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= t.open_questions)
+        .filter(within("place", t.open_questions))
         .select("run_id", "text", "source", "place")
     )
 
@@ -114,30 +115,48 @@ def _closest(evidence: DataFrame, labels: DataFrame, embed: Embedder) -> DataFra
 def passage_hits(passages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Default labeller: a passage discusses a label when it holds all its content words.
 
-    passages: run_id, page, passage_no, passage; wanted: run_id, label. The longest word of a
-    label finds candidate passages by an equi-join, the other words are checked on the row, and
-    labels per run are limited (topics plus open questions), so no word joins everything.
+    passages: run_id, page, passage_no, passage; wanted: run_id, label. A label's rarest word in the
+    run's passages finds its candidates by an equi-join, and the other words are counted by a join
+    on passage and word. Rows hold one word each, so what is shuffled follows the passages' words
+    and the candidates of rare words, not labels times passages.
     """
-    need = F.array_sort(F.array_distinct(content_words(F.col("label"))))
-    longest = F.array_max(
-        F.transform("need", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    )
-    labels = (
-        wanted.select("run_id", "label").distinct()
-        .withColumn("need", need)
-        .filter(F.size("need") > 0)
-        .withColumn("word", longest["w"])
+    place = ["run_id", "page", "passage_no"]
+    label = ["run_id", "label"]
+    need = (
+        wanted.select(*label)
+        .distinct()
+        .select(*label, F.explode(F.array_distinct(content_words(F.col("label")))).alias("word"))
     )
     held = passages.select(
-        "run_id",
-        "page",
-        "passage_no",
-        F.array_distinct(content_words(F.col("passage"))).alias("held"),
+        *place, F.explode(F.array_distinct(content_words(F.col("passage")))).alias("word")
+    )
+    held = cut_lineage(held.join(need.select("run_id", "word").distinct(), ["run_id", "word"], "left_semi"))
+    common = held.groupBy("run_id", "word").agg(F.count("*").alias("n"))
+    rarest = (
+        need.join(common, ["run_id", "word"], "left")
+        .groupBy(*label)
+        .agg(
+            F.min_by("word", F.struct("n", "word")).alias("word"),
+            F.count("*").alias("words"),
+            F.count("n").alias("met"),
+        )
+        .filter("words = met")
+        .drop("met")
     )
-    found = held.withColumn("word", F.explode("held")).join(labels, ["run_id", "word"])
-    return found.filter(F.size(F.array_except("need", "held")) == 0).select(
-        "run_id", "page", "passage_no", "label"
+    candidates = held.join(rarest, ["run_id", "word"])
+    others = need.withColumnRenamed("word", "other")
+    rest = (
+        candidates.filter("words > 1")
+        .join(others, label)
+        .filter(F.col("other") != F.col("word"))
+        .drop("word")
+        .join(held.withColumnRenamed("word", "other"), [*place, "other"])
+        .groupBy(*place, "label", "words")
+        .agg(F.count("*").alias("met"))
+        .filter(F.col("met") == F.col("words") - 1)
     )
+    shown = [*place, "label"]
+    return candidates.filter("words = 1").select(*shown).unionByName(rest.select(*shown))
 
 
 def landed_hits(labels: DataFrame, passages: DataFrame) -> DataFrame:

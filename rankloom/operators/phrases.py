@@ -93,8 +93,8 @@ def hashed_embedder(df: DataFrame, text: str, vector: str) -> DataFrame:
 
 
 def page_passages(pages: DataFrame, t: Thresholds) -> DataFrame:
-    """(run_id, page, passage_no, passage) of the first page_words words of each page."""
-    cut = truncate_words(F.col("text"), t.page_words)
+    """(run_id, page, passage_no, passage) of each page, or of its first page_words words."""
+    cut = F.col("text") if t.page_words is None else truncate_words(F.col("text"), t.page_words)
     return pages.select(
         "run_id", "page", F.posexplode_outer(passages(cut, t.passage_words)).alias("n", "passage")
     ).filter(F.col("passage").isNotNull()).select("run_id", "page", (F.col("n") + 1).alias("passage_no"), "passage")

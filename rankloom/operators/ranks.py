@@ -27,11 +27,11 @@ def run_sites(run_domains: DataFrame) -> DataFrame:
     )
 
 
-def best_positions(serp: DataFrame, run_domains: DataFrame, s: GapSettings) -> DataFrame:
-    """Best result per keyword for each site number: (run_id, keyword, hit_0 .. hit_n).
+def best_positions(serp: DataFrame, run_domains: DataFrame) -> DataFrame:
+    """Results that belong to a site of the run: (run_id, keyword, hits array<ord, hit>).
 
     Ownership by suffix is an equi-join on the parents of the result's domain, so no nested loop;
-    only results that belong to a site of the run reach the shuffle, already partly aggregated.
+    only results that belong to a site of the run reach the shuffle, and a result page bounds them.
     """
     named = serp.select(
         "run_id",
@@ -40,11 +40,8 @@ def best_positions(serp: DataFrame, run_domains: DataFrame, s: GapSettings) -> D
         F.explode(ownership_names(F.col("domain"))).alias("name"),
     )
     sites = run_domains.select("run_id", "ord", no_www(F.lower("domain")).alias("name"))
-    per_site = [
-        F.min(F.when(F.col("ord") == i, F.col("hit"))).alias(f"hit_{i}")
-        for i in range(s.max_competitors + 1)
-    ]
-    return named.join(sites, ["run_id", "name"]).groupBy(*KEY).agg(*per_site)
+    hits = F.collect_list(F.struct(F.col("ord"), F.col("hit"))).alias("hits")
+    return named.join(sites, ["run_id", "name"]).groupBy(*KEY).agg(hits)
 
 
 def with_positions(
@@ -52,11 +49,13 @@ def with_positions(
 ) -> DataFrame:
     """Keywords plus `sites`: array of (ord, domain, position, url), ours first, with a null
     position and an empty url where the site is not in the results."""
-    best = best_positions(serp, run_domains, s)
-    hits = F.array(*[F.col(f"hit_{i}") for i in range(s.max_competitors + 1)])
+    best = best_positions(serp, run_domains)
 
     def site(x: Column) -> Column:
-        hit = F.try_element_at(F.col("hits"), x["ord"].cast("int") + 1)
+        own = F.filter("hits", lambda h: h["ord"] == x["ord"])
+        return bind(F.array_min(F.transform(own, lambda h: h["hit"])), lambda hit: placed(x, hit))
+
+    def placed(x: Column, hit: Column) -> Column:
         return F.struct(
             x["ord"].alias("ord"),
             x["domain"].alias("domain"),
@@ -65,7 +64,7 @@ def with_positions(
         )
 
     joined = (
-        keywords.join(best.select(*KEY, hits.alias("hits")), KEY, "left")
+        keywords.join(best, KEY, "left")
         .join(run_sites(run_domains), "run_id")
         .withColumn("sites", F.transform("sites", site))
     )

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from rankloom.operators import candidates as c
 from rankloom.operators.demand import attach_demand, has_demand
 from rankloom.session import cut_lineage
-from rankloom.settings import GapSettings
+from rankloom.settings import GapSettings, within
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def discover_keywords(
     t = s.thresholds
     sites = run_domains.select("run_id", "domain", F.col("ord").alias("site_ord"))
     phrases = (
-        page_keywords.filter(F.col("kind_pos") <= s.alternatives_per_page)
+        page_keywords.filter(within("kind_pos", s.alternatives_per_page))
         .join(sites, ["run_id", "domain"])
         .select(
             "run_id",
@@ -169,7 +169,7 @@ def second_pass(
     checks = (
         marked.filter(F.col("brand_of").isNull())
         .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= s.demand_checks)
+        .filter(within("n", s.demand_checks))
         .drop("n")
     )
     judged = attach_demand(checks, volumes, suggestions)

@@ -51,7 +51,7 @@ def phrase_research(
     score = c.pre_score(
         F.col("fit"), F.col("volume"), None if free else F.col("difficulty")
     )
-    best = c.best_by_score(alive, score, t.pre_rank_keep).drop("score", "place")
+    best = c.best_by_score(alive, score, t.pre_rank_pool).drop("score", "place")
     profile = ranks.serp_profile(serp, site_ranks, t).withColumnRenamed("intent", "serp_intent")
     if free:
         profile = profile.withColumnRenamed("difficulty", "computed")

@@ -116,14 +116,16 @@ def public_rows(results: DataFrame, *hidden: str) -> DataFrame:
     return results
 
 
-def list_runs(results: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest runs first, with the columns a listing shows."""
+def list_runs(results: DataFrame, offset: int = 0, size: int | None = None) -> DataFrame:
+    """Newest runs first, with the columns a listing shows; one page of them where a size is given."""
     shown = [
         c
         for c in ("run_id", "kind", "created_at", "status", "title", "to_add", "cost_usd")
         if c in results.columns
     ]
-    return results.select(*shown).orderBy(F.desc("created_at"), "run_id").limit(limit)
+    ordered = results.select(*shown).orderBy(F.desc("created_at"), "run_id")
+    page = ordered.offset(offset) if offset else ordered
+    return page if size is None else page.limit(size)
 
 
 def gap_title(domain: Column, competitors: Column) -> Column:

@@ -30,8 +30,8 @@ def read_sitemap_files(spark: SparkSession, path: str, index: bool = False) -> D
     ).filter(F.coalesce(url, F.lit("")) != "")
 
 
-def unpack(content, max_bytes: int = 10_000_000):
-    """Text of landed sitemap bytes; gzip content over the cap or damaged becomes null."""
+def unpack(content):
+    """Text of landed sitemap bytes, packed or plain; damaged gzip content becomes null."""
 
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
@@ -41,10 +41,9 @@ def unpack(content, max_bytes: int = 10_000_000):
             if data[:2] != b"\x1f\x8b":
                 return data.decode("utf-8", "replace")
             try:
-                body = zlib.decompressobj(16 + zlib.MAX_WBITS).decompress(data, max_bytes + 1)
+                return gzip.decompress(data).decode("utf-8", "replace")
             except (zlib.error, gzip.BadGzipFile, EOFError):
                 return None
-            return None if len(body) > max_bytes else body.decode("utf-8", "replace")
 
         return rows.map(one)
 

@@ -169,7 +169,34 @@ def topics(spark: SparkSession, d: str, per_page: int = 5) -> DataFrame:
     return phrases.ngrams(pages, per_page).select("run_id", "page", F.col("gram").alias("topic"))
 
 
-@query("passages")
+_PASSAGES = rf"""WITH RECURSIVE paras AS (
+    SELECT source AS run_id, doc_id AS page, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i,
+      w, len(w) AS n
+    FROM (SELECT source, doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i,
+        list_filter(regexp_split_to_array(unnest(string_split(text, chr(10))), '\s+'), lambda x: x <> '') AS w
+      FROM documents) WHERE len(w) > 0),
+packed AS (
+    SELECT run_id, page, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS opened, CAST([] AS VARCHAR[]) AS closed
+    FROM (SELECT DISTINCT run_id, page FROM paras)
+    UNION ALL
+    SELECT p.run_id, p.page, q.i,
+      CASE WHEN len(opened) > 0 AND len(opened) + n > {T.passage_words} THEN [] ELSE opened END
+        || w[((n - 1) // {T.passage_words}) * {T.passage_words} + 1:],
+      CASE WHEN len(opened) > 0 AND len(opened) + n > {T.passage_words}
+        THEN [array_to_string(opened, ' ')] ELSE [] END
+        || list_transform(range(0, (n - 1) // {T.passage_words}),
+          lambda k: array_to_string(w[k * {T.passage_words} + 1:(k + 1) * {T.passage_words}], ' '))
+    FROM packed p JOIN paras q ON q.page = p.page AND q.i = p.i + 1),
+listed AS (
+    SELECT run_id, page, i, unnest(range(1, len(closed) + 1)) AS k, unnest(closed) AS passage FROM packed
+    UNION ALL
+    SELECT run_id, page, max(i) + 1, 1, array_to_string(max_by(opened, i), ' ') FROM packed
+    GROUP BY run_id, page HAVING len(max_by(opened, i)) > 0)
+SELECT run_id, page, CAST(row_number() OVER (PARTITION BY page ORDER BY i, k) AS INTEGER) AS passage_no, passage
+FROM listed"""
+
+
+@query("passages", _PASSAGES)
 def passages(spark, d):
     return phrases.page_passages(docs(spark, d), T)
 
@@ -207,7 +234,7 @@ tops AS (SELECT run_id, topic, count(*) AS listed FROM lst GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY listed DESC, topic) AS place
   FROM tops),
 lab AS (SELECT run_id, topic, list_distinct({content_words('topic')}) AS need FROM ranked
-  WHERE place <= {T.labelled_topics}),
+ ),
 held AS (SELECT run_id, page, passage_no, list_distinct({content_words('passage')}) AS held
   FROM lines),
 hits AS (SELECT h.run_id, h.page, h.passage_no, l.topic FROM held h JOIN lab l USING (run_id)
