@@ -18,6 +18,7 @@ rows of a key that meet are bounded by the number of batches, not of copies.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -30,7 +31,7 @@ from rankloom.llm.text_arrays import U, mix, pieces
 
 PENDING, DUPLICATE, CANDIDATE_HOT, WITNESS = 0, 1, 2, 3
 CANDIDATE = PENDING  # after the meeting
-HOT = 16
+HOT = 64
 
 # `at` holds a run of windows in one number: first window, how many (below MOST), kind
 MOST = 1 << 24
@@ -46,9 +47,21 @@ def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def by_id(docs: DataFrame) -> DataFrame:
-    """One row per doc_id: of several rows with one id the smallest text counts; rows without an id
-    are left out. Later joins on doc_id use the same exchange."""
-    return documents(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
+    """(doc_id, packed), one row per doc_id: of several rows with one id the smallest packed text
+    counts; rows without an id are left out. Packed texts halve what is shuffled, and later joins on
+    doc_id use the same exchange."""
+
+    def step(batch: pa.RecordBatch):
+        texts = batch.column("text").to_pylist()
+        packed_texts = pa.array([zlib.compress(t.encode(), 1) for t in texts], pa.binary())
+        return {"doc_id": batch.column("doc_id"), "packed": packed_texts}
+
+    rows = map_batches(documents(docs).filter("doc_id IS NOT NULL"), step, "doc_id long, packed binary")
+    return rows.groupBy("doc_id").agg(F.min("packed").alias("packed"))
+
+
+def unpacked_texts(column: pa.Array) -> pa.Array:
+    return pa.array([zlib.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.large_string())
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -109,7 +122,7 @@ def anchor_rows(texts: DataFrame, find: Callable, across_only: bool) -> DataFram
     def step(batch: pa.RecordBatch):
         ids = batch.column("doc_id").to_numpy()
         found = []
-        for lo, _, data, offsets in pieces(batch.column("text")):
+        for lo, _, data, offsets in pieces(unpacked_texts(batch.column("packed"))):
             doc, start, count, key, ctx = find(data, offsets)
             found.append((ids[lo + doc], packed(start, count, 0), key, ctx))
         doc, at, key, ctx = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
@@ -200,4 +213,4 @@ def with_spans(texts: DataFrame, spans: DataFrame, value: Column, keep_all: bool
     """Documents with the list of their spans; with `keep_all` also those that have none."""
     listed = spans.groupBy(F.col("doc_id").alias("span_doc")).agg(F.collect_list(value).alias("spans"))
     joined = texts.join(listed, F.col("doc_id") == F.col("span_doc"), "left" if keep_all else "inner")
-    return joined.select("doc_id", "text", "spans")
+    return joined.select("doc_id", "packed", "spans")

@@ -8,13 +8,14 @@ breaks (the anchor is known, but its block differs), the windows at the factor's
 up one by one among all such windows of the corpus. So the result is exact: a word is removed if and
 only if a window over it also starts in a document with a smaller doc_id.
 
-Null or empty text: no words. Of several rows with one doc_id the smallest text counts; rows without
-a doc_id are left out. Extra columns are ignored. No documents: no rows.
+Null or empty text: no words. Of several rows with one doc_id one counts (the one whose packed text is
+smallest); rows without a doc_id are left out. Extra columns are ignored. No documents: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from itertools import compress
 
 import numpy as np
@@ -27,7 +28,7 @@ from rankloom.llm.common import map_batches
 from rankloom.llm.text_arrays import NOT_SPACE, U, gram_hashes, mix, pieces, powers, span_hashes, split_words
 
 WIDTH = 13
-GRAM = 4
+GRAM = 5
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
@@ -65,7 +66,7 @@ def _parser(width: int):
     def step(batch: pa.RecordBatch):
         ids = batch.column("doc_id").to_numpy()
         done, asked = [], []
-        for lo, hi, data, offsets in pieces(batch.column("text")):
+        for lo, hi, data, offsets in pieces(A.unpacked_texts(batch.column("packed"))):
             spans = batch.column("spans").slice(lo, hi - lo)
             at = spans.flatten().to_numpy()
             doc = np.repeat(np.arange(hi - lo), spans.value_lengths().to_numpy())
@@ -102,8 +103,8 @@ def _cut(joined: DataFrame, width: int, texts: bool) -> DataFrame:
     def step(batch: pa.RecordBatch):
         spans = batch.column("spans")
         n_words, n_removed, digests, kept_texts = [], [], [], []
-        for i, text in enumerate(batch.column("text")):
-            words = text.as_py().encode().split()  # bytes.split() cuts at \x20 and \x09-\x0D
+        for i, packed in enumerate(batch.column("packed").to_pylist()):
+            words = zlib.decompress(packed).split()  # bytes.split() cuts at \x20 and \x09-\x0D
             n_words.append(len(words))
             if spans[i].is_valid:
                 gone = A.covered(len(words), spans[i].values.to_numpy(), width)

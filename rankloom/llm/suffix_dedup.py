@@ -12,13 +12,14 @@ just before, and no next smaller position can share them. Where a key's group is
 or was split over batches, each block keeps its first copies, and those meet once more by the hash of
 their bytes.
 
-Null or empty text: no bytes. Of several rows with one doc_id the smallest text counts; rows without
-a doc_id are left out. Extra columns are ignored. No documents: no rows.
+Null or empty text: no bytes. Of several rows with one doc_id one counts (the one whose packed text is
+smallest); rows without a doc_id are left out. Extra columns are ignored. No documents: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +82,7 @@ def _contexts(width: int):
 
     def step(batch: pa.RecordBatch):
         ids = batch.column("doc_id").to_numpy()
-        for lo, hi, data, offsets in pieces(batch.column("text")):
+        for lo, hi, data, offsets in pieces(A.unpacked_texts(batch.column("packed"))):
             spans = batch.column("spans").slice(lo, hi - lo)
             flat = spans.flatten()
             at, key = (flat.field(n).to_numpy() for n in ("at", "key"))
@@ -210,8 +211,8 @@ def _cut(joined: DataFrame, width: int, texts: bool) -> DataFrame:
     def step(batch: pa.RecordBatch):
         spans = batch.column("spans")
         rows = []
-        for i, text in enumerate(batch.column("text")):
-            raw = text.as_py().encode()
+        for i, packed in enumerate(batch.column("packed").to_pylist()):
+            raw = zlib.decompress(packed)
             kept, n_spans = raw, 0
             if spans[i].is_valid:
                 gone = A.covered(len(raw), spans[i].values.to_numpy(), width)
