@@ -81,60 +81,9 @@ def shared_subsets(members: DataFrame, min_shared: int) -> DataFrame:
     return parts.join(common, ["run_id", *FINGERPRINT], "left_semi")
 
 
-def _run_heads(min_shared: int):
-    def decide(run: pd.DataFrame) -> pd.DataFrame:
-        keys = [tuple(order.values()) for order in run["order"]]
-        run = run.iloc[sorted(range(len(run)), key=keys.__getitem__)]
-        by_element: dict[str, list[int]] = {}
-        heads: list[str] = []
-        chosen: list[str] = []
-        for item, elements in zip(run["item"], run["elements"], strict=True):
-            shared: dict[int, int] = {}
-            for element in elements:
-                for h in by_element.get(element, ()):
-                    shared[h] = shared.get(h, 0) + 1
-            close = [h for h, n in shared.items() if n >= min_shared]
-            if close:
-                chosen.append(heads[min(close)])
-                continue
-            for element in elements:
-                by_element.setdefault(element, []).append(len(heads))
-            heads.append(item)
-            chosen.append(item)
-        return pd.DataFrame({"run_id": run["run_id"], "item": run["item"], "head": chosen})
-
-    return decide
-
-
-def greedy_set_heads(
-    items: DataFrame, members: DataFrame, min_shared: int, small_run: int = 5000
-) -> DataFrame:
+def greedy_set_heads(items: DataFrame, members: DataFrame, min_shared: int) -> DataFrame:
     """(run_id, item, head) for items (run_id, item, order) and distinct members
-    (run_id, item, element). `order` must sort items uniquely within a run.
-
-    Runs of at most `small_run` items, the usual case, are settled in one bounded task each; a
-    larger run goes through distributed rounds, whose result is the same.
-    """
-    sized = items.join(
-        items.groupBy("run_id").agg(F.count("*").alias("size")), "run_id"
-    )
-    small = sized.filter(F.col("size") <= small_run).drop("size")
-    sets = members.groupBy("run_id", "item").agg(F.collect_set("element").alias("elements"))
-    out = (
-        small.join(sets, ["run_id", "item"], "left")
-        .withColumn("elements", F.coalesce("elements", F.array().cast("array<string>")))
-        .groupBy("run_id")
-        .applyInPandas(_run_heads(min_shared), _HEAD_SCHEMA)
-    )
-    large = sized.filter(F.col("size") > small_run).drop("size")
-    if large.isEmpty():
-        return out
-    wide = members.join(large.select("run_id").distinct(), "run_id", "left_semi")
-    return out.unionByName(greedy_set_rounds(large, wide, min_shared))
-
-
-def greedy_set_rounds(items: DataFrame, members: DataFrame, min_shared: int) -> DataFrame:
-    """The same clustering for runs of any size.
+    (run_id, item, element), for runs of any size. `order` must sort items uniquely within a run.
 
     Rounds: an undecided item that is first among the undecided for every one of its subsets is a
     head; items sharing a subset with a new head are decided and leave. The expected number of

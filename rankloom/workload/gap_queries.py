@@ -17,6 +17,7 @@ from rankloom.workload.registry import query
 from rankloom.workload.views_sql import (
     S,
     T,
+    greedy_heads,
     in_list,
     intent_of,
     lit,
@@ -611,7 +612,27 @@ def url_popularity(spark, d):
     return clusters.url_popularity(clusters.serp_members(v.serp(spark, d), T.serp_top))
 
 
-@query("keyword_clusters")
+_CLOSE_KEYWORDS = f"""SELECT x.run_id, i.n AS a, j.n AS b FROM (
+    SELECT p.run_id, p.keyword AS x, q.keyword AS y FROM m p JOIN m q
+      ON p.run_id = q.run_id AND p.u = q.u AND p.keyword <> q.keyword
+    GROUP BY 1, 2, 3 HAVING count(*) >= {T.min_shared_urls}) x
+  JOIN placed i ON i.run_id = x.run_id AND i.item = x.x
+  JOIN placed j ON j.run_id = x.run_id AND j.item = x.y WHERE j.n < i.n"""
+
+
+@query(
+    "keyword_clusters",
+    sql(
+        "gap", "serp", "keywords",
+        body=f"""
+, m AS (SELECT DISTINCT run_id, keyword, {url_key('url')} AS u FROM serp WHERE pos <= {T.serp_top}),
+placed AS (SELECT run_id, keyword AS item, row_number() OVER (PARTITION BY run_id
+  ORDER BY coalesce(gap.business_fit, 0) DESC, coalesce(gap.searches, 0) DESC, k.ord, keyword) AS n
+  FROM gap JOIN (SELECT run_id, keyword, ord FROM keywords) k USING (run_id, keyword)),
+{greedy_heads('SELECT run_id, item, n FROM placed', _CLOSE_KEYWORDS)}
+SELECT run_id, item AS keyword, head AS cluster FROM headed""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def keyword_clusters(spark, d):
     kw, serp, _, _ = inputs(spark, d)
     return clusters.serp_clusters(kw, serp, kg.lead_order(), T.min_shared_urls, T.serp_top)

@@ -24,6 +24,7 @@ from rankloom.workload.views_sql import (
     S,
     T,
     content_words,
+    greedy_heads,
     in_list,
     lit,
     owned_by_any,
@@ -444,7 +445,18 @@ def _vectors(spark, d) -> DataFrame:
     )
 
 
-@query("vector_heads")
+_CLOSE_VECTORS = """SELECT a.run_id, a.n AS a, b.n AS b FROM placed a JOIN placed b
+  ON a.run_id = b.run_id AND b.n < a.n AND list_dot_product(a.v, b.v) >= 0.3"""
+
+
+@query(
+    "vector_heads",
+    f"""WITH RECURSIVE placed AS (SELECT CAST(label AS VARCHAR) AS run_id, CAST(vec_id AS VARCHAR) AS item,
+      list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+      row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    {greedy_heads('SELECT run_id, item, n FROM placed', _CLOSE_VECTORS)}
+    SELECT run_id, item, head FROM headed""",
+)
 def vector_heads(spark, d):
     return clusters.greedy_vector_heads(_vectors(spark, d), 0.3)
 

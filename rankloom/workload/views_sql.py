@@ -303,3 +303,21 @@ def sql(*views: str, body: str) -> str:
         visit(view)
     parts = [f"{name} AS ({_VIEWS[name][1]})" for name in needed]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+
+
+def greedy_heads(items: str, close: str) -> str:
+    """Greedy heads as SQL: `items` gives (run_id, item, n) numbered from 1 within a run, `close` gives
+    (run_id, a, b) of close items as numbers, b before a. A recursive walk takes one item after the other:
+    it joins the first of its close heads or becomes a head."""
+    return f"""near AS (SELECT run_id, a, list(b) AS bs FROM ({close}) GROUP BY 1, 2),
+lined AS (SELECT i.run_id, i.item, i.n, coalesce(bs, []) AS bs FROM ({items}) i
+  LEFT JOIN near ON near.run_id = i.run_id AND near.a = i.n),
+walk AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS heads, CAST(0 AS BIGINT) AS head FROM lined
+  UNION ALL
+  SELECT w.run_id, l.n,
+    CASE WHEN len(list_intersect(bs, heads)) = 0 THEN heads || [l.n] ELSE heads END,
+    coalesce(list_min(list_intersect(bs, heads)), l.n)
+  FROM walk w JOIN lined l ON l.run_id = w.run_id AND l.n = w.n + 1),
+headed AS (SELECT w.run_id, l.item, h.item AS head FROM walk w
+  JOIN lined l ON l.run_id = w.run_id AND l.n = w.n JOIN lined h ON h.run_id = w.run_id AND h.n = w.head)"""

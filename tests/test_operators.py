@@ -31,8 +31,7 @@ def greedy(order, sets, m):
     return out
 
 
-@pytest.mark.parametrize("small_run", [5000, 0])
-def test_clusters_match_brute_force(spark, small_run):
+def test_clusters_match_brute_force(spark):
     rng = random.Random(7)
     sets = {f"k{i:02d}": set(rng.sample([f"u{j}" for j in range(14)], 6)) for i in range(40)}
     order = sorted(sets)
@@ -41,7 +40,7 @@ def test_clusters_match_brute_force(spark, small_run):
     members = spark.createDataFrame(
         [("r", k, e) for k, s in sets.items() for e in s], "run_id string, item string, element string"
     )
-    got = clusters.greedy_set_heads(items.repartition(3), members, 3, small_run).collect()
+    got = clusters.greedy_set_heads(items.repartition(3), members, 3).collect()
     assert {r["item"]: r["head"] for r in got} == greedy(order, sets, 3)
 
 
@@ -52,9 +51,8 @@ def test_clusters_do_not_chain(spark):
         [("r", k, e) for k, s in sets.items() for e in s], "run_id string, item string, element string"
     )
     items = rows.select("run_id", "item").distinct().withColumn("order", F.struct("item"))
-    for small in (5000, 0):
-        got = {r["item"]: r["head"] for r in clusters.greedy_set_heads(items, rows, 3, small).collect()}
-        assert got == {"a": "a", "b": "a", "c": "c"}
+    got = {r["item"]: r["head"] for r in clusters.greedy_set_heads(items, rows, 3).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
 
 
 @pytest.mark.parametrize("block", [2048, 5])
