@@ -46,10 +46,14 @@ SWAP_COST, DROP_COST, LOSS_COST, DOUBLE_COST = 1.0, 1.5, 6.0, 1.0  # LOSS: dropp
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-# a piece of disguise: letters and marks side by side, or letters one by one
+LONGEST = 40  # a longer stretch is no disguised word
 _MARKS = re.escape("".join(LOOKALIKES))
 DISGUISED = re.compile(
-    rf"(?<![a-z])(?:[a-z][ .*_-]){{2,}}[a-z](?![a-z])|(?<![a-z0-9])(?=[a-z{_MARKS}]*[a-z])(?=[a-z]*[{_MARKS}])[a-z0-9@$!|+(][a-z{_MARKS}]*[a-z0-9@$!|+](?![a-z0-9])|[a-z]*([a-z])\1\1[a-z]*"
+    r"(?<![a-z])(?:[a-z][ .*_-]){2,}[a-z](?![a-z])"  # letters one by one
+    rf"|(?<![a-z0-9])[$@0-9]?[a-z]+(?:[{_MARKS}]{{1,2}}[a-z]+)+(?:[$0-9]{{1,2}})?(?![a-z0-9])"  # marks inside
+    r"|(?<![a-z0-9$])[$@0-9][a-z]{2,}(?![a-z0-9])"  # a mark in front
+    r"|(?<![a-z0-9])[a-z]{2,}[$0-9]{1,2}(?![a-z0-9$])"  # marks behind
+    r"|[a-z]*([a-z])\1\1[a-z]*"  # a letter three times
 )
 
 
@@ -165,7 +169,7 @@ def readings(data: np.ndarray, offsets: np.ndarray, model: Trigrams) -> tuple[np
     for d in suspects:
         text = raw[offsets[d] : offsets[d + 1]].decode("latin-1")
         for m in DISGUISED.finditer(text):
-            restored = model.restore(m[0])
+            restored = model.restore(m[0]) if len(m[0]) <= LONGEST else ""
             if restored:
                 extra.append(restored)
                 extra_doc.append(d)
@@ -178,24 +182,28 @@ def readings(data: np.ndarray, offsets: np.ndarray, model: Trigrams) -> tuple[np
 
 
 def _suspects(low: np.ndarray, offsets: np.ndarray, words: Words) -> list[int]:
-    """Documents that may hold a disguise: a letter beside a mark on both sides or three times, or three
-    single letters in a row."""
-    plain = (low >= 0x61) & (low <= 0x7A)
-    mark = np.zeros(256, bool)
+    """Documents that may hold a disguise: one or two marks between letters, marks at an end of a word, a
+    letter three times, or three single letters in a row."""
+    pad = np.concatenate([low, np.full(3, 0x20, np.uint8)])
+    plain = (pad >= 0x61) & (pad <= 0x7A)
+    mark, edge = np.zeros(256, bool), np.zeros(256, bool)
     mark[[ord(c) for c in LOOKALIKES]] = True
-    marks = mark[low]
-    hit = np.zeros(len(low), bool)
-    if len(low) > 2:
-        hit[1:-1] |= marks[1:-1] & (plain[:-2] | marks[:-2]) & (plain[2:] | marks[2:]) & (plain[:-2] | plain[2:])
-        hit[1:-1] |= plain[1:-1] & (low[:-2] == low[1:-1]) & (low[2:] == low[1:-1])
+    edge[[ord(c) for c in "$@0123456789"]] = True
+    marks, ends = mark[pad], edge[pad]
+    n = len(low)
+    one, two, three = slice(1, n + 1), slice(2, n + 2), slice(3, n + 3)
+    here = slice(0, n)
+    hit = plain[here] & marks[one] & (plain[two] | marks[two] & plain[three])
+    hit |= ends[here] & plain[one] & plain[two]
+    hit |= plain[here] & ends[one] & ~marks[two] & ~plain[two]
+    hit |= plain[here] & ends[one] & ends[two] & ~ends[three] & ~plain[three]
+    hit |= plain[here] & (pad[one] == low) & (pad[two] == low)
     found = set((np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1).tolist())
-    digit_start = np.flatnonzero(marks[:-1] & plain[1:]) if len(low) > 1 else np.zeros(0, np.int64)
-    found |= set((np.searchsorted(offsets, digit_start, "right") - 1).tolist())
     single = words.ends - words.starts == 1
     if len(single) > 2:
         near = words.starts[1:] - words.ends[:-1] == 1
-        three = single[:-2] & single[1:-1] & single[2:] & near[:-1] & near[1:]
-        found |= set((np.searchsorted(offsets, words.starts[:-2][three], "right") - 1).tolist())
+        row = single[:-2] & single[1:-1] & single[2:] & near[:-1] & near[1:]
+        found |= set((np.searchsorted(offsets, words.starts[:-2][row], "right") - 1).tolist())
     return sorted(found)
 
 
