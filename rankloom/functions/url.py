@@ -96,7 +96,7 @@ def in_domains(domain: Column, names: list[str]) -> Column:
 
 
 def brand_label(domain: Column) -> Column:
-    """moxo.com, app.moxo.com and moxo.co.uk all give moxo."""
+    """The label in front of the public suffix, whatever stands before it."""
     labels = F.split(F.lower(domain), r"\.")
     n = F.size(labels)
     two_part_suffix = (

@@ -14,7 +14,6 @@ from pyspark.sql.window import Window as W
 from rankloom.functions.text import (
     clean_phrase,
     contains_brand,
-    content_words,
     is_question,
     normalise_phrase,
     variant_key,

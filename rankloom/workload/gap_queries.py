@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom import fixed_values as fv
-from rankloom.functions import labels, numeric
+from rankloom.functions import labels
 from rankloom.operators import candidates, clusters, demand, gap, notes, ranks, snapshot
 from rankloom.plans import keyword_gap as kg
 from rankloom.plans.snapshot import site_snapshot
@@ -19,7 +19,6 @@ from rankloom.workload.views_sql import (
     T,
     greedy_heads,
     in_list,
-    intent_of,
     lit,
     owned_by_any,
     rounded,

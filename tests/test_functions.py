@@ -17,7 +17,7 @@ def test_url_keys(values):
 
 
 def test_ownership(values):
-    rows = [("www.moxo.com", "moxo.com"), ("blog.moxo.com", "moxo.com"), ("notmoxo.com", "moxo.com")]
+    rows = [("www.brando.com", "brando.com"), ("blog.brando.com", "brando.com"), ("notbrando.com", "brando.com")]
     assert values(url.owns, "d string, t string", rows) == [True, True, False]
     assert values(url.domain_parents, "d string", ["www.a.b.co.uk", "localhost"]) == [
         ["a.b.co.uk", "b.co.uk", "co.uk"],
@@ -26,7 +26,7 @@ def test_ownership(values):
 
 
 def test_brand_label(values):
-    rows = ["moxo.com", "app.moxo.com", "moxo.co.uk", "shop.com.np", "localhost"]
+    rows = ["brando.com", "app.brando.com", "brando.co.uk", "shop.com.np", "localhost"]
     assert values(url.brand_label, "d string", rows) == ["brando", "brando", "brando", "shop", "localhost"]
 
 
@@ -100,7 +100,7 @@ def test_page_types(values, address, title, schema, kind):
 
 
 def test_clean_phrase(values):
-    rows = ["  Client   Portal! ", "https://x.com", "moxo login", "12 34", "a b c d e f g h", "café menü", "-x-"]
+    rows = ["  Client   Portal! ", "https://x.com", "brando login", "12 34", "a b c d e f g h", "café menü", "-x-"]
     assert values(text.clean_phrase, "p string", rows) == [
         "client portal", None, None, None, None, "café menü", "x",
     ]
