@@ -57,7 +57,8 @@ def by_id(docs: DataFrame) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "packed": packed_texts}
 
     rows = map_batches(documents(docs).filter("doc_id IS NOT NULL"), step, "doc_id long, packed binary")
-    return rows.groupBy("doc_id").agg(F.min("packed").alias("packed"))
+    # the joins ask for ids that aren't null: said here, the exchange is the same wherever it is used
+    return rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("packed").alias("packed"))
 
 
 def unpacked_texts(column: pa.Array) -> pa.Array:
