@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, map_batches
+from rankloom.llm.common import cut_lineage, documents, map_batches
 from rankloom.llm.text_arrays import LOWER, U, Words, pieces, span_hashes, split_words
 
 SAMPLE = 20_000
@@ -239,7 +239,12 @@ class Weights:
 
 
 def _fitted(source: DataFrame, labels: DataFrame, model: Trigrams, sample: int) -> Weights:
-    """Word weights and the curve, from a bounded sample of labelled rows that are not held out."""
+    """Word weights and the curve, from a bounded sample of labelled rows that are not held out.
+
+    The sample's ids (at most 2 * sample) are broadcast. Words are counted by Spark, and only those
+    that lean to toxic documents, at most LEXICON, reach the driver. The curve is fitted on documents
+    whose words had no part in the weights it sees: the sample has two folds, each scored with the
+    other's words."""
     order = F.xxhash64("label_id")
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("label")
@@ -248,62 +253,62 @@ def _fitted(source: DataFrame, labels: DataFrame, model: Trigrams, sample: int)
     picked = usable.filter("label = 1").orderBy(order, "label_id").limit(sample).unionByName(
         usable.filter("label = 0").orderBy(order, "label_id").limit(sample)
     )
+    picked = picked.withColumn("fold", F.pmod(F.shiftright(order, 8), F.lit(2)).cast("int"))
+    rows = cut_lineage(
+        source.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("text", "label", "fold")
+    )
+    size = {r["fold"]: (r["n"], r["t"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("t")).collect()}
+    n, t = ([size.get(k, (0, 0))[i] for k in (0, 1)] for i in (0, 1))
+    if not 0 < sum(t) < sum(n):
+        return Weights(np.zeros(0, U), np.zeros(0), np.array([-50.0, 0, 0, 0]))
     held = source.sparkSession.sparkContext.broadcast(model)
 
-    def step(batch: pa.RecordBatch):
-        model = held.value
-        for lo, hi, data, offsets in pieces(batch.column("text")):
-            doc, hashes, n_words = readings(data, offsets, model)
+    def count(batch: pa.RecordBatch):
+        label, fold = (batch.column(c).to_numpy() for c in ("label", "fold"))
+        words, kinds = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for lo, _, data, offsets in pieces(batch.column("text")):
+            doc, hashes, _ = readings(data, offsets, held.value)
             pairs = np.unique(np.stack([doc.astype(U), hashes], axis=1), axis=0)
-            cut = np.searchsorted(pairs[:, 0], np.arange(1, hi - lo).astype(U))
-            yield {
-                "label": batch.column("label").slice(lo, hi - lo),
-                "n_words": n_words,
-                "words": pa.array([x.tobytes() for x in np.split(pairs[:, 1], cut)], pa.binary()),
-            }
-
-    joined = source.join(picked, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
-    rows = map_batches(joined, step, "label int, n_words long, words binary").orderBy("label", "n_words", "words")
-    labelled = [(r["label"], r["n_words"], np.frombuffer(r["words"], U)) for r in rows.toLocalIterator()]
-    fold = np.arange(len(labelled)) % 2
-    y = np.array([r[0] for r in labelled], float)
-    if not len(labelled) or y.min() == y.max():
-        return Weights(np.zeros(0, U), np.zeros(0), np.array([-50.0, 0, 0, 0]))
-    # the curve is fitted on rows whose words had no part in the weights it sees
-    parts, kinds = [], []
-    for k in (0, 1):
-        learnt = _lexicon([r for r, f in zip(labelled, fold, strict=True) if f != k])
-        rest = [r for r, f in zip(labelled, fold, strict=True) if f == k]
-        parts.append(learnt.features(*_flat(rest)))
-        kinds.append(y[fold == k])
-    weights = _lexicon(labelled)
-    weights.curve = _logistic(np.concatenate(parts), np.concatenate(kinds))
+            owner = lo + pairs[:, 0].astype(np.int64)
+            words.append(pairs[:, 1])
+            kinds.append(2 * fold[owner] + label[owner])
+        word, at = np.unique(np.concatenate(words), return_inverse=True)
+        seen = [np.bincount(at, np.concatenate(kinds) == k, len(word)).astype(np.int64) for k in range(4)]
+        return {"word": word, "n0": seen[0] + seen[1], "t0": seen[1], "n1": seen[2] + seen[3], "t1": seen[3]}
+
+    counts = map_batches(rows, count, "word long, n0 long, t0 long, n1 long, t1 long").groupBy("word")
+    counts = counts.agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]).filter("t0 + t1 >= 3")
+    counts = cut_lineage(counts)
+    folds = [_lexicon(counts, "n1", "t1", n[1], t[1]), _lexicon(counts, "n0", "t0", n[0], t[0])]
+    told = source.sparkSession.sparkContext.broadcast(folds)
+
+    def measure(batch: pa.RecordBatch):
+        fold = batch.column("fold").to_numpy()
+        for lo, hi, data, offsets in pieces(batch.column("text")):
+            both = [w.features(*readings(data, offsets, held.value)) for w in told.value]
+            seen = np.where(fold[lo:hi, None] == 0, both[0], both[1])
+            yield {"label": batch.column("label").slice(lo, hi - lo), "a": seen[:, 1], "b": seen[:, 2], "c": seen[:, 3]}
+
+    measured = map_batches(rows, measure, "label int, a double, b double, c double").orderBy("label", "a", "b", "c")
+    table = np.array([tuple(r) for r in measured.collect()])  # at most 2 * sample rows
+    weights = _lexicon(counts, "n0 + n1", "t0 + t1", sum(n), sum(t))
+    weights.curve = _logistic(np.hstack([np.ones((len(table), 1)), table[:, 1:]]), table[:, 0])
     return weights
 
 
-def _flat(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = [r[2] for r in rows]
-    return (
-        np.repeat(np.arange(len(rows)), [len(w) for w in words]),
-        np.concatenate([*words, np.zeros(0, U)]),
-        np.array([r[1] for r in rows], np.int64),
-    )
-
-
-def _lexicon(rows: list) -> Weights:
+def _lexicon(counts: DataFrame, every: str, toxic: str, n: int, n_toxic: int) -> Weights:
     """Words that lean to toxic documents, with their log odds."""
-    doc, hashes, _ = _flat(rows)
-    label = np.array([r[0] for r in rows], np.int64)
-    word, inverse = np.unique(hashes, return_inverse=True)
-    every = np.bincount(inverse, minlength=len(word))
-    toxic = np.bincount(inverse, label[doc], len(word))
-    n, n_toxic = len(rows), label.sum()
-    share = n_toxic / max(n, 1)
-    z = (toxic - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9))
-    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((every - toxic + 0.5) / (n - n_toxic + 1))
-    kept = np.flatnonzero((z >= LEAST_Z) & (toxic >= 3))
-    kept = np.sort(kept[np.argsort(-z[kept], kind="stable")][:LEXICON])
-    return Weights(word[kept], odds[kept], np.zeros(4))
+    if not 0 < n_toxic < n:
+        return Weights(np.zeros(0, U), np.zeros(0), np.zeros(4))
+    share = n_toxic / n
+    z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    seen = counts.select("word", F.expr(every).alias("n"), F.expr(toxic).alias("t")).filter("t >= 3")
+    kept = seen.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+    word = np.array([r["word"] for r in kept], np.int64).view(U)
+    toxic_in, all_in = np.array([r["t"] for r in kept], float), np.array([r["n"] for r in kept], float)
+    odds = np.log((toxic_in + 0.5) / (n_toxic + 1)) - np.log((all_in - toxic_in + 0.5) / (n - n_toxic + 1))
+    place = np.argsort(word)
+    return Weights(word[place], odds[place], np.zeros(4))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
