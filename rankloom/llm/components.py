@@ -43,9 +43,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("at")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
     tied = both.join(least, F.col("a") == F.col("at"))
-    return tied.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    ).distinct()
+    larger = tied.filter(F.col("b") > F.col("a"))
+    return larger.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

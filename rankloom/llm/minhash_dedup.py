@@ -3,10 +3,9 @@
 1. Each document's set of `shingle`-word shingles gives a MinHash signature. Documents with equal sets
    form one class, which goes on as its smallest doc_id.
 2. Bands of the signature put classes into buckets. In a bucket, members are compared with a few hubs
-   instead of with each other; what the hubs leave apart is compared once more with the best-linked
-   member, and members that still are not in its component are compared with every member that is
-   in another component. So every candidate pair is either compared or already connected, and a large
-   bucket of near copies costs rows in proportion to its size.
+   instead of with each other. Members that the hubs leave apart are compared with every member that
+   is in another component, exactly at once and between blocks of members, so that no row is made
+   for a pair. Every candidate pair is either compared or already connected.
 3. A pair's signatures are compared in batches. After each batch the posterior probability that the
    similarity reaches the threshold, given the matches so far and a uniform prior, must be at
    least `miss`; else the pair is dropped. Survivors are verified on their full sets.
@@ -36,6 +35,7 @@ BANDS, ROWS = 20, 5  # a pair at the threshold shares no band with probability 8
 HASHES, BATCH = 128, 32
 MISS = 1e-6
 HUBS = 4
+BLOCK = 256
 
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -122,29 +122,18 @@ def links(source: DataFrame, first: DataFrame, shingle: int, percent: int) -> Da
     shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut_lineage(banded.join(shared, F.col("key") == F.col("k")).drop("k", "size"))
     asked = buckets.select("id").distinct()
-    texts = cut_lineage(source.join(asked, F.col("doc_id") == F.col("id")).select("id", "text"))
+    # as a merge join at every size, so that what it costs is known from small tables
+    met = source.join(asked.hint("merge"), F.col("doc_id") == F.col("id"))
+    texts = cut_lineage(met.select("id", "text"))
 
     hub = F.min_by(F.struct("id", "n"), F.xxhash64("id", F.col("band") % HUBS)).alias("hub")
     hubs = buckets.groupBy(F.col("key").alias("k")).agg(hub)
     pairs = _pairs(buckets.join(hubs, F.col("key") == F.col("k")), percent)
     found = cut_lineage(_verified(_likely(pairs, first, percent), texts, shingle, percent))
 
-    for everyone in (False, True):
-        apart = cut_lineage(_apart(buckets, found))
-        if not apart.take(1):
-            return found
-        if everyone:
-            left = apart.filter(F.col("comp") != F.col("main")).select(
-                F.col("key").alias("k"), F.struct("id", "n").alias("hub"), F.col("comp").alias("hub_comp")
-            )
-            other = (F.col("comp") != F.col("hub_comp")) & _near(F.col("n"), F.col("hub.n"), percent)
-            once = (F.col("comp") == F.col("main")) | (F.col("id") < F.col("hub.id"))
-            met = apart.join(left, (F.col("key") == F.col("k")) & other & once)
-        else:
-            met = apart.filter(F.col("comp") != F.col("main")).withColumn("hub", F.col("best"))
-        pairs = _pairs(met, percent)
-        more = _verified(_likely(pairs, first, percent), texts, shingle, percent)
-        found = cut_lineage(found.unionByName(more).distinct())
+    apart = cut_lineage(_apart(buckets, found))
+    if apart.take(1):
+        found = cut_lineage(found.unionByName(_rest(apart, texts, shingle, percent)).distinct())
     return found
 
 
@@ -166,6 +155,104 @@ def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(best, F.col("key") == F.col("k")).select("key", "id", "n", "comp", "best", "main")
 
 
+def _rest(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of the members that are not in the component of their bucket's best-linked member, with
+    any member that met the same one.
+
+    Sets are compared exactly, through their differences from the best-linked member's set: two
+    members differ by far + far' - 2 * (what their differences share). Left members and all members
+    are dealt into blocks of about BLOCK, each pair of blocks is one small group, and a group
+    gives no more links than it has members, enough to connect what is linked in it."""
+    asked = apart.select("id", "n", "comp", (F.col("comp") != F.col("main")).alias("left_over"), F.col("best.id").alias("h"))
+    a = texts.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
+    b = texts.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
+    joined = asked.distinct().join(a, F.col("id") == F.col("ia")).join(b, F.col("h") == F.col("ib"))
+
+    def differences(batch: pa.RecordBatch):
+        left, right = _sets(batch.column("ta"), shingle), _sets(batch.column("tb"), shingle)
+        found = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
+        kept = {c: batch.column(c) for c in ("h", "id", "n", "comp", "left_over")}
+        return kept | {"delta": pa.array([x.tobytes() for x in found], pa.binary())}
+
+    members = cut_lineage(map_batches(joined, differences, "h long, id long, n long, comp long, left_over boolean, delta binary"))
+    sizes = members.groupBy(F.col("h").alias("of")).agg(F.count_if("left_over").alias("lefts"), F.count("*").alias("every"))
+    dealt = members.join(sizes.filter("lefts > 0"), F.col("h") == F.col("of"))
+    lefts, every = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("lefts", "every"))
+    own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
+    kept = ["h", "id", "n", "comp", "delta"]
+    asking = dealt.filter("left_over").select(
+        *kept, F.lit(True).alias("asks"), (own % lefts).alias("lb"), F.explode(F.sequence(F.lit(0), every - 1)).alias("mb")
+    )
+    asked_of = dealt.select(
+        *kept, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("lb"), (own % every).alias("mb")
+    )
+    columns = ["h", "lb", "mb", "asks", "id", "n", "comp", "delta"]
+    group = ["h", "lb", "mb"]
+    rows = asking.select(columns).unionByName(asked_of.select(columns)).repartition(*group).sortWithinPartitions(*group)
+    return rows.mapInArrow(lambda batches: _block_links(batches, percent), "a long, b long")
+
+
+def _block_links(batches, percent: int):
+    """Links of each group of rows sorted by (h, lb, mb)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        starts = _group_starts(rows)
+        yield _spanning(rows.slice(0, starts[-1]), percent)
+        held = rows.slice(starts[-1]).to_batches()
+    if held:
+        yield _spanning(pa.Table.from_batches(held).combine_chunks(), percent)
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("h", "lb", "mb")])
+    return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+
+
+def _spanning(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    found: list[tuple[int, int]] = []
+    if rows.num_rows:
+        asks, ids, n, comp = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "id", "n", "comp"))
+        deltas = [np.frombuffer(x, U) for x in rows.column("delta").to_pylist()]
+        starts = np.append(_group_starts(rows), rows.num_rows)
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            group = np.arange(lo, hi)
+            left, right = group[asks[lo:hi]], group[~asks[lo:hi]]
+            if len(left) and len(right):
+                found += _group_links(left, right, ids, n, comp, deltas, percent)
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _group_links(left, right, ids, n, comp, deltas, percent: int) -> list[tuple[int, int]]:
+    far = np.array([len(deltas[i]) for i in right])
+    values, place = np.unique(np.concatenate([*(deltas[i] for i in right), np.zeros(0, U)]), return_inverse=True)
+    edge = np.concatenate([[0], np.cumsum(far)])
+    root = {}  # component -> component it is joined to in this group
+
+    def top(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i in left:
+        mark = np.zeros(len(values), np.int64)
+        if len(values):
+            at = np.minimum(np.searchsorted(values, deltas[i]), len(values) - 1)
+            mark[at[values[at] == deltas[i]]] = 1
+        total = np.concatenate([[0], np.cumsum(mark[place])])
+        differ = len(deltas[i]) + far - 2 * (total[edge[1:]] - total[edge[:-1]])
+        close = (100 + percent) * differ <= (100 - percent) * (n[i] + n[right])
+        for j in right[close & (comp[right] != comp[i])]:
+            x, y = top(comp[i]), top(comp[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
 def _bands(batch: pa.RecordBatch):
     sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, HASHES)
     key = np.zeros((batch.num_rows, BANDS), U)
