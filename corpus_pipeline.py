@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(copies, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(copies.hint("merge"), docs["doc_id"] == F.col("gone"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
