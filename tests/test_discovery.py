@@ -9,12 +9,12 @@ S = GapSettings(keywords=10)
 
 def test_discovery_and_second_pass(spark):
     sites = spark.createDataFrame(
-        [("r", 0, "brando.com"), ("r", 1, "rival.io")], "run_id string, ord int, domain string"
+        [("r", 0, "zeto.com"), ("r", 1, "rival.io")], "run_id string, ord int, domain string"
     )
     pages = [
-        ("brando.com", "https://brando.com/a", 1, 0, "Client portals", "page"),
-        ("brando.com", "https://brando.com/b", 2, 0, "brando pricing", "page"),
-        ("brando.com", "https://brando.com/c", 3, 0, "unknown thing", "page"),
+        ("zeto.com", "https://zeto.com/a", 1, 0, "Client portals", "page"),
+        ("zeto.com", "https://zeto.com/b", 2, 0, "zeto pricing", "page"),
+        ("zeto.com", "https://zeto.com/c", 3, 0, "unknown thing", "page"),
         ("rival.io", "https://rival.io/a", 1, 0, "portal for client", "page"),
         ("rival.io", "https://rival.io/b", 2, 0, "file sharing", "page"),
         ("rival.io", "https://rival.io/b", 2, 1, "secure file sharing", "page alternative"),
@@ -37,7 +37,7 @@ def test_discovery_and_second_pass(spark):
     related = related_demand(
         spark.createDataFrame(
             [("client portals", 0, "portal client login", 90), ("client portals", 1, "client portal app", 90),
-             ("client portals", 2, "teams app", 900), ("client portals", 3, "brando client portal", 99)],
+             ("client portals", 2, "teams app", 900), ("client portals", 3, "zeto client portal", 99)],
             "phrase string, pos int, suggestion string, impressions int",
         ),
         20,
@@ -51,9 +51,9 @@ def test_discovery_and_second_pass(spark):
     # ours first, then the rival's own, then related, then the loose fit; unfit and unsearched go
     assert picked == ["client portals", "secure file sharing", "client portal app", "file sharing"]
     pool = {r["keyword"]: r for r in found.pool.collect()}
-    assert pool["brando pricing"]["brand_of"] == "brando.com"
-    assert pool["brando client portal"]["brand_of"] == "brando.com" and "teams app" not in pool
-    assert [p["domain"] for p in pool["client portals"]["pages"]] == ["brando.com", "rival.io"]
+    assert pool["zeto pricing"]["brand_of"] == "zeto.com"
+    assert pool["zeto client portal"]["brand_of"] == "zeto.com" and "teams app" not in pool
+    assert [p["domain"] for p in pool["client portals"]["pages"]] == ["zeto.com", "rival.io"]
     assert pool["client portal app"]["searches"] == 30
     counts = found.counts.collect()[0]
     assert (counts["candidates"], counts["branded"], counts["no_demand"], counts["no_fit"]) == (8, 2, 1, 1)
@@ -61,7 +61,7 @@ def test_discovery_and_second_pass(spark):
 
     searches = spark.createDataFrame(
         [("r", "file sharing", 0, "client portal online"), ("r", "file sharing", 1, "clients portal"),
-         ("r", "file sharing", 2, "brando app"), ("r", "career page", 0, "never proven")],
+         ("r", "file sharing", 2, "zeto app"), ("r", "career page", 0, "never proven")],
         "run_id string, keyword string, pos int, query string",
     )
     rankings = spark.createDataFrame(

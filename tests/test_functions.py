@@ -17,7 +17,7 @@ def test_url_keys(values):
 
 
 def test_ownership(values):
-    rows = [("www.brando.com", "brando.com"), ("blog.brando.com", "brando.com"), ("notbrando.com", "brando.com")]
+    rows = [("www.zeto.com", "zeto.com"), ("blog.zeto.com", "zeto.com"), ("notzeto.com", "zeto.com")]
     assert values(url.owns, "d string, t string", rows) == [True, True, False]
     assert values(url.domain_parents, "d string", ["www.a.b.co.uk", "localhost"]) == [
         ["a.b.co.uk", "b.co.uk", "co.uk"],
@@ -26,8 +26,8 @@ def test_ownership(values):
 
 
 def test_brand_label(values):
-    rows = ["brando.com", "app.brando.com", "brando.co.uk", "shop.com.np", "localhost"]
-    assert values(url.brand_label, "d string", rows) == ["brando", "brando", "brando", "shop", "localhost"]
+    rows = ["zeto.com", "app.zeto.com", "zeto.co.uk", "shop.com.np", "localhost"]
+    assert values(url.brand_label, "d string", rows) == ["zeto", "zeto", "zeto", "shop", "localhost"]
 
 
 def test_site_origin(values):
@@ -100,7 +100,7 @@ def test_page_types(values, address, title, schema, kind):
 
 
 def test_clean_phrase(values):
-    rows = ["  Client   Portal! ", "https://x.com", "brando login", "12 34", "a b c d e f g h", "café menü", "-x-"]
+    rows = ["  Client   Portal! ", "https://x.com", "zeto login", "12 34", "a b c d e f g h", "café menü", "-x-"]
     assert values(text.clean_phrase, "p string", rows) == [
         "client portal", None, None, None, None, "café menü", "x",
     ]
@@ -115,7 +115,7 @@ def test_variant_key(values):
 
 def test_contains_brand(values):
     rows = [
-        ("best brando app", "brando"), ("brandos pricing", "brando"), ("xbrando", "brando"),
+        ("best zeto app", "zeto"), ("zetos pricing", "zeto"), ("xzeto", "zeto"),
         ("hub nest login", "hubnest"), ("a+b tool", "a+b"),
     ]
     assert values(text.contains_brand, "p string, t string", rows) == [
@@ -228,8 +228,8 @@ def test_robots_rules(values):
 
 def test_settings_are_checked():
     with pytest.raises(ValueError):
-        GapSettings(keywords=5)
+        GapSettings(keywords=0)
     with pytest.raises(ValueError):
-        GapSettings(depth=15)
+        GapSettings(depth=0)
     with pytest.raises(ValueError):
         SnapshotSettings(position_groups=((1, 5), (4, 10)))
