@@ -1,7 +1,7 @@
 """Training-data pipeline over `documents`: five stages, each written as Parquet and read again.
 
 1. quality rules: failing lines go, and so do documents that are rejected
-2. near-duplicates: of each group one document stays
+2. near-duplicates at a similarity of SIMILAR_PERCENT or more: of each group one document stays
 3. benchmark decontamination: documents that hold a benchmark window go
 4. secret scans: secrets are masked in the text
 5. best-fit packing: the remaining texts as token sequences
@@ -26,6 +26,7 @@ from rankloom.llm.quality_rules import cleaned_documents
 from rankloom.llm.secret_scan import redacted_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+SIMILAR_PERCENT = 80  # of word shingles; the 85 of op1_minhash_dedup is that query's own
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    copies = near_duplicates(docs, percent=SIMILAR_PERCENT).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
     return docs.join(copies.hint("merge"), docs["doc_id"] == F.col("gone"), "left_anti")
 
 

@@ -18,7 +18,8 @@ a doc_id are left out. Extra columns are ignored. No documents: no rows.
 
 from __future__ import annotations
 
-from math import comb
+from functools import partial
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,25 @@ from rankloom.llm.text_arrays import LOWER, NOT_SPACE, U, gram_hashes, mix, piec
 
 SHINGLE = 5
 PERCENT = 85  # similarity at which two documents are linked
-BANDS, ROWS = 20, 5  # a pair at the threshold shares no band with probability 8e-6
 HASHES, BATCH = 128, 32
+BAND_MISS = 1e-5  # a pair at the threshold shares no band with at most this probability
 MISS = 1e-6
 HUBS = 4
 BLOCK = 256
 
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) of the signature: the longest rows for which enough bands fit in HASHES values.
+    Below 9 percent no number of bands is enough, and every value is a band of its own."""
+    for rows in range(HASHES, 0, -1):
+        apart = 1 - (percent / 100) ** rows  # a band of a pair at the threshold differs
+        bands = ceil(log(BAND_MISS) / log(apart)) if 0 < apart < 1 else 1 if apart == 0 else HASHES + 1
+        if bands * rows <= HASHES:
+            return bands, rows
+    return HASHES, 1
+
+
+BANDS, ROWS = banding(PERCENT)
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -118,7 +132,8 @@ def signatures(source: DataFrame, shingle: int) -> DataFrame:
 def links(source: DataFrame, first: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): verified links that connect every pair of classes which share a bucket and reach the
     threshold, directly or over other links."""
-    banded = map_batches(first, _bands, "key long, band int, id long, n long")
+    bands, rows = banding(percent)
+    banded = map_batches(first, partial(_bands, bands=bands, rows=rows), "key long, band int, id long, n long")
     shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut_lineage(banded.join(shared, F.col("key") == F.col("k")).drop("k", "size"))
     asked = buckets.select("id").distinct()
@@ -253,20 +268,20 @@ def _group_links(left, right, ids, n, comp, deltas, percent: int) -> list[tuple[
     return out
 
 
-def _bands(batch: pa.RecordBatch):
+def _bands(batch: pa.RecordBatch, bands: int, rows: int):
     sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, HASHES)
-    key = np.zeros((batch.num_rows, BANDS), U)
-    for band in range(BANDS):
+    key = np.zeros((batch.num_rows, bands), U)
+    for band in range(bands):
         value = np.full(batch.num_rows, band + 1, U)
-        for j in range(ROWS):
-            value = mix(value * U(31) + sig[:, band * ROWS + j].astype(U))
+        for j in range(rows):
+            value = mix(value * U(31) + sig[:, band * rows + j].astype(U))
         key[:, band] = value
-    rows = np.repeat(np.arange(batch.num_rows), BANDS)
+    each = pa.array(np.repeat(np.arange(batch.num_rows), bands))
     return {
         "key": key.reshape(-1),
-        "band": np.tile(np.arange(BANDS), batch.num_rows),
-        "id": batch.column("id").take(pa.array(rows)),
-        "n": batch.column("n").take(pa.array(rows)),
+        "band": np.tile(np.arange(bands), batch.num_rows),
+        "id": batch.column("id").take(each),
+        "n": batch.column("n").take(each),
     }
 
 

@@ -5,7 +5,7 @@ import pytest
 from brute import near_duplicate_classes, shingle_set
 
 from rankloom.llm.components import components
-from rankloom.llm.minhash_dedup import BANDS, ROWS, least_matches, near_duplicates
+from rankloom.llm.minhash_dedup import BANDS, HASHES, ROWS, banding, least_matches, near_duplicates
 
 
 def corpus(seed):
@@ -91,3 +91,11 @@ def test_components(spark):
 def test_bounds():
     assert least_matches(32, 85, 0.5) >= 26 and least_matches(128, 85, 1e-6) < 109
     assert (1 - 0.85**ROWS) ** BANDS < 1e-5
+
+
+def test_bands_follow_the_threshold():
+    assert banding(85) == (BANDS, ROWS) == (20, 5) and banding(80) == (22, 4)
+    for percent in range(9, 101):
+        bands, rows = banding(percent)
+        assert bands * rows <= HASHES and (1 - (percent / 100) ** rows) ** bands <= 1e-5
+    assert banding(1) == (HASHES, 1)

@@ -71,3 +71,20 @@ def test_stages_keep_the_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).columns == docs.columns
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_near_duplicate_stage_takes_four_fifths(spark):
+    rng = random.Random(4)
+    docs, pairs = [], 0
+    for n in (112, 120, 150):
+        for k in range(2, 14):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            copy = base[:40] + [f"x{rng.randrange(10**6)}" for _ in range(k)] + base[40 + k :]
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(copy))]
+            pairs += 0.80 <= (n - 8 - k) / (n + k) < 0.85
+    assert pairs > 8 and (112 - 8 - 8) / (112 + 8) == 0.8
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, table, "").collect()}
+    want = near_duplicate_classes(docs, percent=80)
+    assert got == {d for d, _ in docs if want[d][1] == d}
+    assert got != {d for d, (_, c) in near_duplicate_classes(docs).items() if c == d}
