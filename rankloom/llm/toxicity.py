@@ -8,7 +8,8 @@ other words are their own only reading and are taken as they are.
 
 Score. A word's weight is its smoothed log odds among toxic and clean labelled documents, learnt only
 from rows outside the held-out part, from at most `sample` labelled documents of either label (those
-with the smallest hash of their id). A document's strongest words and their number, with its length,
+with the smallest hash of their id; the curve's intercept is put back to the share of toxic rows among
+all usable labels). A document's strongest words and their number, with its length,
 go through a logistic curve fitted on the same rows.
 
 Null or empty text: no words, scored by the curve's intercept. Repeated rows are scored each. Repeated
@@ -250,6 +251,7 @@ def _fitted(source: DataFrame, labels: DataFrame, model: Trigrams, sample: int)
         F.max(F.col("toxic").cast("int")).alias("label")
     )
     usable = usable.filter(F.crc32(F.col("label_id").cast("string")) % 4 != HELD_OUT)
+    every = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = usable.filter("label = 1").orderBy(order, "label_id").limit(sample).unionByName(
         usable.filter("label = 0").orderBy(order, "label_id").limit(sample)
     )
@@ -293,6 +295,9 @@ def _fitted(source: DataFrame, labels: DataFrame, model: Trigrams, sample: int)
     table = np.array([tuple(r) for r in measured.collect()])  # at most 2 * sample rows
     weights = _lexicon(counts, "n0 + n1", "t0 + t1", sum(n), sum(t))
     weights.curve = _logistic(np.hstack([np.ones((len(table), 1)), table[:, 1:]]), table[:, 0])
+    # each label is sampled at its own rate, which moves the log odds by log(rate of toxic / rate of clean)
+    toxic_rate, clean_rate = (min(1.0, sample / every[k]) for k in (1, 0))
+    weights.curve[0] -= np.log(toxic_rate / clean_rate)
     return weights
 
 

@@ -163,3 +163,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     assert all(r["score"] == 0 or r["score"] < 1e-9 for r in tox.toxicity(table, marks.limit(0)).collect())
     assert tox.toxicity(table.limit(0), marks).count() == 0
+
+
+def test_toxicity_scores_do_not_hang_on_the_sample(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    docs, labels = [], []
+    for i in range(2400):
+        label = int(rng.random() < 0.15)
+        words = [rng.choice(vocabulary) for _ in range(30)]
+        if rng.random() < (0.6 if label else 0.06):
+            words[7] = "moron"
+        docs.append((i, " ".join(words)))
+        labels.append((i, label))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, part = ({r["doc_id"]: r["score"] for r in tox.toxicity(table, marks, **k).collect()} for k in ({}, {"sample": 150}))
+    mean = lambda scores: sum(scores.values()) / len(scores)
+    assert abs(mean(whole) - 0.15) < 0.03 and abs(mean(part) - mean(whole)) < 0.04
+    assert sorted(abs(part[i] - whole[i]) for i in whole)[len(whole) // 2] < 0.05
