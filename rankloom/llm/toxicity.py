@@ -1,8 +1,9 @@
 """Toxicity scores of restored text: a noisy-channel decoder undoes obfuscation, then words are scored.
 
-Channel. Disguised stretches (words with digits or marks between letters, runs of single letters, letters
-repeated three times or more) become a character lattice: a mark may stand for letters it resembles, or
-for nothing, and a repeated letter for one or two of it. Viterbi picks the path that a character
+Channel. Disguised stretches (letters with digits or marks among or beside them, spaced runs of single
+letters or marks, letters repeated three times or more), however long, become a character lattice: a mark
+may stand for letters it resembles, or for nothing, a repeated letter for one or two of it, and a space for
+nothing or the end of a word. Viterbi picks the path that a character
 trigram model, counted over all documents, together with the channel's costs finds likeliest. All
 other words are their own only reading and are taken as they are.
 
@@ -44,17 +45,22 @@ LOOKALIKES = {
 }
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SWAP_COST, DROP_COST, LOSS_COST, DOUBLE_COST = 1.0, 1.5, 6.0, 1.0  # LOSS: dropping a mark that can be a letter
+SPLIT_COST = 1.0  # a space that ends a word in a spaced run
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-LONGEST = 40  # a longer stretch is no disguised word
-_MARKS = re.escape("".join(LOOKALIKES))
+PLAIN = re.compile("[a-z]")
+DROPPED = "".join(c for c, x in LOOKALIKES.items() if not x)  # marks that stand for no letter
+_DROP = re.escape(DROPPED)
+_SWAP = re.escape("".join(c for c, x in LOOKALIKES.items() if x))
+_ANY = f"a-z{_SWAP}{_DROP}"
 DISGUISED = re.compile(
-    r"(?<![a-z])(?:[a-z][ .*_-]){2,}[a-z](?![a-z])"  # letters one by one
-    rf"|(?<![a-z0-9])[$@0-9]?[a-z]+(?:[{_MARKS}]{{1,2}}[a-z]+)+(?:[$0-9]{{1,2}})?(?![a-z0-9])"  # marks inside
-    r"|(?<![a-z0-9$])[$@0-9][a-z]{2,}(?![a-z0-9])"  # a mark in front
-    r"|(?<![a-z0-9])[a-z]{2,}[$0-9]{1,2}(?![a-z0-9$])"  # marks behind
-    r"|[a-z]*([a-z])\1\1[a-z]*"  # a letter three times
+    rf"(?<![a-z{_SWAP}])[a-z{_SWAP}](?:[ {_DROP}]{{1,3}}[a-z{_SWAP}]){{2,}}(?![a-z{_SWAP}])"  # one by one
+    rf"|(?<![{_ANY}])(?=[{_SWAP}{_DROP}]*[a-z])"  # a stretch of letters and marks, with a letter and
+    rf"(?=[a-z{_DROP}]*[{_SWAP}]"  # a mark that may be one,
+    rf"|[{_DROP}]*[a-z]+[{_DROP}]+[a-z]"  # or a mark inside,
+    rf"|[{_ANY}]*([a-z])\1\1)"  # or a letter three times
+    rf"[{_ANY}]+"
 )
 
 
@@ -126,21 +132,32 @@ class Trigrams:
         return self.known[text]
 
     def _decode(self, text: str) -> str:
-        states = {(0, 0): (0.0, "")}  # the last two letters -> cost and reading
+        states = {(0, 0): (0.0, None)}  # the last two letters -> cost and reading, as (reading before, letters)
         for ways in lattice(text):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, read) in states.items():
                 for letters, price in ways:
                     x, y, total = a, b, cost + price
-                    for c in letters:
-                        k = LETTERS.index(c) + 1
-                        total += self.cost[x, y, k]
-                        x, y = y, k
+                    if letters == " ":
+                        if not b:  # no word to end
+                            continue
+                        total += self.cost[x, y, 0]
+                        x, y = 0, 0
+                    else:
+                        for c in letters:
+                            k = LETTERS.index(c) + 1
+                            total += self.cost[x, y, k]
+                            x, y = y, k
                     best = after.get((x, y))
-                    if best is None or (total, read + letters) < best:
-                        after[(x, y)] = (total, read + letters)
+                    if best is None or total < best[0]:
+                        after[(x, y)] = (total, (read, letters) if letters else read)
             states = after
-        return min(((cost + self.cost[a, b, 0]), read) for (a, b), (cost, read) in states.items())[1]
+        _, read = min(((cost + self.cost[a, b, 0], read) for (a, b), (cost, read) in states.items()), key=lambda s: s[0])
+        out = []
+        while read is not None:
+            read, letters = read
+            out.append(letters)
+        return "".join(reversed(out)).strip()
 
 
 def lattice(text: str) -> list[list[tuple[str, float]]]:
@@ -151,7 +168,7 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
         if c in LETTERS:
             ways = [(c, 0.0 if n == 1 else DOUBLE_COST)] + ([(c * 2, 0.0 if n == 2 else DOUBLE_COST)] if n > 1 else [])
         elif c == " ":
-            ways = [("", 0.0)]
+            ways = [("", 0.0), (" ", SPLIT_COST)]
         else:
             ways = [("", (LOSS_COST if LOOKALIKES.get(c) else DROP_COST))] + [(x * min(n, 2), SWAP_COST) for x in LOOKALIKES.get(c, "")]
             ways += [(x, SWAP_COST + DOUBLE_COST) for x in LOOKALIKES.get(c, "") if n > 1]
@@ -170,10 +187,10 @@ def readings(data: np.ndarray, offsets: np.ndarray, model: Trigrams) -> tuple[np
     for d in suspects:
         text = raw[offsets[d] : offsets[d + 1]].decode("latin-1")
         for m in DISGUISED.finditer(text):
-            restored = model.restore(m[0]) if len(m[0]) <= LONGEST else ""
-            if restored:
-                extra.append(restored)
-                extra_doc.append(d)
+            if PLAIN.search(m[0]):
+                found = model.restore(m[0]).split()
+                extra += found
+                extra_doc += [d] * len(found)
     if extra:
         joined = np.frombuffer(" ".join(extra).encode(), np.uint8)
         own = split_words(joined, np.array([0, len(joined)]), LETTER)
@@ -183,29 +200,31 @@ def readings(data: np.ndarray, offsets: np.ndarray, model: Trigrams) -> tuple[np
 
 
 def _suspects(low: np.ndarray, offsets: np.ndarray, words: Words) -> list[int]:
-    """Documents that may hold a disguise: one or two marks between letters, marks at an end of a word, a
-    letter three times, or three single letters in a row."""
-    pad = np.concatenate([low, np.full(3, 0x20, np.uint8)])
-    plain = (pad >= 0x61) & (pad <= 0x7A)
-    mark, edge = np.zeros(256, bool), np.zeros(256, bool)
-    mark[[ord(c) for c in LOOKALIKES]] = True
-    edge[[ord(c) for c in "$@0123456789"]] = True
-    marks, ends = mark[pad], edge[pad]
-    n = len(low)
-    one, two, three = slice(1, n + 1), slice(2, n + 2), slice(3, n + 3)
-    here = slice(0, n)
-    hit = plain[here] & marks[one] & (plain[two] | marks[two] & plain[three])
-    hit |= ends[here] & plain[one] & plain[two]
-    hit |= plain[here] & ends[one] & ~marks[two] & ~plain[two]
-    hit |= plain[here] & ends[one] & ends[two] & ~ends[three] & ~plain[three]
-    hit |= plain[here] & (pad[one] == low) & (pad[two] == low)
-    found = set((np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1).tolist())
-    single = words.ends - words.starts == 1
+    """Documents that may hold a disguise: a mark that may be a letter in one stretch with letters, a mark
+    inside a stretch, a letter three times, or three single letters or marks in a row."""
+    if not len(low):
+        return []
+    plain = (low >= 0x61) & (low <= 0x7A)
+    swap, drop = np.zeros(256, bool), np.zeros(256, bool)
+    swap[[ord(c) for c, x in LOOKALIKES.items() if x]] = True
+    drop[[ord(c) for c in DROPPED]] = True
+    solid = swap.copy()  # letters and what may be one
+    solid[0x61:0x7B] = True
+    runs = split_words(low, offsets, solid | drop)
+    total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    inside = lambda sums: sums[runs.ends] - sums[runs.starts]
+    back = np.concatenate([[False], drop[low[:-1]] & solid[low[1:]]])  # a letter right after a dropped mark
+    back[runs.starts] = False
+    after = inside(total(back)) - drop[low[runs.starts]]
+    hit = runs.starts[(inside(total(plain)) > 0) & ((inside(total(swap[low])) > 0) | (after > 0))]
+    three = np.flatnonzero(plain[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]))
+    found = [hit, three]
+    units = split_words(low, offsets, solid)
+    single = units.ends - units.starts == 1
     if len(single) > 2:
-        near = words.starts[1:] - words.ends[:-1] == 1
-        row = single[:-2] & single[1:-1] & single[2:] & near[:-1] & near[1:]
-        found |= set((np.searchsorted(offsets, words.starts[:-2][row], "right") - 1).tolist())
-    return sorted(found)
+        near = units.starts[1:] - units.ends[:-1] <= 3
+        found.append(units.starts[:-2][single[:-2] & single[1:-1] & single[2:] & near[:-1] & near[1:]])
+    return np.unique(np.searchsorted(offsets, np.concatenate(found), "right") - 1).tolist()
 
 
 # --- scores ---------------------------------------------------------------------------------------

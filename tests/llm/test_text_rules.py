@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from brute import WORDS, lowered
 
@@ -182,3 +183,23 @@ def test_toxicity_scores_do_not_hang_on_the_sample(spark):
     mean = lambda scores: sum(scores.values()) / len(scores)
     assert abs(mean(whole) - 0.15) < 0.03 and abs(mean(part) - mean(whole)) < 0.04
     assert sorted(abs(part[i] - whole[i]) for i in whole)[len(whole) // 2] < 0.05
+
+
+def test_every_form_of_disguise_is_restored(spark):
+    text = "an idiot and a worthless loser is a stupid pathetic clown moron asshole shit words"
+    model = tox.Trigrams(tox._trigram_counts(spark.createDataFrame([(text,)] * 50, "text string")))
+    forms = {
+        "!diot": "idiot", "|diot": "idiot", "(lown": "clown", "1di0+": "idiot", "5h17": "shit", "l053r": "loser",
+        "w0r7hl355": "worthless", "@$$hole": "asshole", "i d 1 o t": "idiot", "1 d 1 0 t": "idiot", "i d i o t": "idiot",
+        "w-o-r-t-h-l-3-s-s": "worthless", "i.....d.....i.....o.....t": "idiot", "id!0t": "idiot", "m***o***r***o***n": "moron",
+        "wooooooooooooooooooooooooooooooooooooooooooooooooorthless": "worthless", "id***t": "idt", "d!0t": "diot",
+        "a w o r t h l e s s p a t h e t i c i d i o t": "a worthless pathetic idiot",
+    }
+    for disguised, plain in forms.items():
+        assert [m[0] for m in tox.DISGUISED.finditer(f"is {disguised}, yes")] == [disguised]
+        assert model.restore(disguised) == plain
+        data = f"is {disguised}, yes".encode()
+        doc, hashes, counts = tox.readings(np.frombuffer(data, np.uint8), np.array([0, len(data)]), model)
+        assert len(doc) == len(hashes) == counts[0] + len(plain.split())
+    for prose in ("the end. of it, well... 1 2 3 and 2024", "--flag and word- or *so*"):
+        assert not [m[0] for m in tox.DISGUISED.finditer(prose) if tox.PLAIN.search(m[0])]
