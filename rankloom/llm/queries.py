@@ -2,37 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.chat_format import format_paths, read_back, reply_paths, turn_chains
+from rankloom.llm import search_queries  # registers its queries
 from rankloom.llm.common import table
 from rankloom.llm.decontamination import decontaminate
 from rankloom.llm.minhash_dedup import near_duplicates
 from rankloom.llm.packing import pack
 from rankloom.llm.quality_rules import BOILERPLATE, Rules, quality_rules
+from rankloom.llm.registry import ORACLES, QUERIES, query
 from rankloom.llm.rlz_dedup import substring_dedup
 from rankloom.llm.secret_scan import secret_spans
 from rankloom.llm.suffix_dedup import suffix_dedup
 from rankloom.llm.token_counts import token_counts
 from rankloom.llm.toxicity import toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql.strip()
-        return fn
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES", "search_queries"]
 
 _PHRASES = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
 _RULES = Rules()
