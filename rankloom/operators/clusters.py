@@ -1,10 +1,8 @@
-"""Greedy head clustering without pair joins.
+"""Greedy head clustering, and the nearest vector of another set.
 
 Items are taken in a given order; an item joins the earliest head it is close to, otherwise it
-becomes a head itself. Members are never compared with each other, so nothing chains.
-
-Two closeness measures are supported: sets sharing at least m elements, and unit vectors with a
-cosine of at least t. Neither builds the list of all close pairs.
+becomes a head itself. Members are never compared with each other, so nothing chains. Closeness is
+sharing at least m elements, or a cosine of at least t; see close_pairs.
 """
 
 from __future__ import annotations
@@ -13,118 +11,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from rankloom.functions.url import url_key
-from rankloom.session import cut_lineage
-
-FINGERPRINT = ["f1", "f2"]
-_HEAD_SCHEMA = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("item", T.StringType()),
-        T.StructField("head", T.StringType()),
-    ]
+from rankloom.operators.close_pairs import (
+    DIGITS,
+    MANY,
+    close_vectors,
+    fingerprint,
+    ordered_heads,
+    overlapping_sets,
+    sparse,
+    vector_classes,
 )
-
-
-def subsets(elements: Column, m: int) -> Column:
-    """All m-element subsets of a sorted array, as arrays."""
-    if m == 1:
-        return F.transform(elements, lambda e: F.array(e))
-
-    def from_index(i: Column) -> Column:
-        rest = F.slice(elements, i + 1, F.size(elements))
-        return F.transform(
-            subsets(rest, m - 1), lambda tail: F.concat(F.array(F.element_at(elements, i)), tail)
-        )
-
-    last = F.size(elements) - (m - 1)
-    return F.when(
-        last >= 1, F.flatten(F.transform(F.sequence(F.lit(1), last), from_index))
-    ).otherwise(F.array().cast("array<array<string>>"))
-
-
-def shared_subsets(members: DataFrame, min_shared: int) -> DataFrame:
-    """(run_id, item, f1, f2): the m-element subsets of each item's set that another item of the
-    run has too. Two items share m elements exactly when they share such a subset, so this list
-    replaces the list of pairs: a set of 10 has at most 120 subsets of 3, whatever the size of the
-    run or the popularity of an element. Subsets are kept as 128-bit fingerprints.
-    """
-    popular = (
-        members.groupBy("run_id", "element")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > 1)
-        .select("run_id", "element")
-    )
-    sets = (
-        members.join(popular, ["run_id", "element"], "left_semi")
-        .groupBy("run_id", "item")
-        .agg(F.array_sort(F.collect_set("element")).alias("elements"))
-        .filter(F.size("elements") >= min_shared)
-    )
-    parts = sets.select(
-        "run_id", "item", F.explode(subsets(F.col("elements"), min_shared)).alias("part")
-    ).select(
-        "run_id",
-        "item",
-        F.xxhash64("part").alias("f1"),
-        F.xxhash64(F.lit("second"), F.col("part")).alias("f2"),
-    )
-    common = (
-        parts.groupBy("run_id", *FINGERPRINT)
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > 1)
-        .drop("n")
-    )
-    return parts.join(common, ["run_id", *FINGERPRINT], "left_semi")
+from rankloom.session import cut_lineage
 
 
 def greedy_set_heads(items: DataFrame, members: DataFrame, min_shared: int) -> DataFrame:
     """(run_id, item, head) for items (run_id, item, order) and distinct members
-    (run_id, item, element), for runs of any size. `order` must sort items uniquely within a run.
-
-    Rounds: an undecided item that is first among the undecided for every one of its subsets is a
-    head; items sharing a subset with a new head are decided and leave. The expected number of
-    rounds grows with the logarithm of the run size. In the end every subset belongs to at most
-    one head, so the earliest head of an item is a minimum over its subsets.
-    """
-    subset = ["run_id", *FINGERPRINT]
-    keyed = cut_lineage(
-        shared_subsets(members, min_shared).join(items, ["run_id", "item"])
-    )
-    open_rows, head_parts = keyed, []
-    while True:
-        first = open_rows.groupBy(*subset).agg(F.min("order").alias("first"))
-        judged = (
-            open_rows.join(first, subset)
-            .groupBy("run_id", "item")
-            .agg(F.bool_and(F.col("order") == F.col("first")).alias("leads"))
-        )
-        round_rows = cut_lineage(open_rows.join(judged, ["run_id", "item"]))
-        if round_rows.isEmpty():
-            break
-        head_parts.append(round_rows.filter("leads").select("run_id", "item").distinct())
-        taken = round_rows.filter("leads").select(*subset).distinct()
-        decided = round_rows.join(taken, subset, "left_semi").select("run_id", "item").distinct()
-        open_rows = round_rows.drop("leads").join(decided, ["run_id", "item"], "left_anti")
-    if not head_parts:
-        return items.select("run_id", "item", F.col("item").alias("head"))
-    all_heads = head_parts[0]
-    for part in head_parts[1:]:
-        all_heads = all_heads.unionByName(part)
-    owners = keyed.join(all_heads, ["run_id", "item"], "left_semi").select(
-        *subset, F.struct("order", "item").alias("owner")
-    )
-    joined = (
-        keyed.join(owners, subset)
-        .groupBy("run_id", "item")
-        .agg(F.min("owner")["item"].alias("head"))
-    )
-    return items.join(joined, ["run_id", "item"], "left").select(
-        "run_id", "item", F.coalesce("head", "item").alias("head")
-    )
+    (run_id, item, element), for runs of any size. `order` must sort items uniquely within a run."""
+    return ordered_heads(items, overlapping_sets(members, min_shared))
 
 
 def serp_members(serp: DataFrame, top_n: int) -> DataFrame:
@@ -153,7 +58,7 @@ def serp_clusters(
 
 def overlap_degree(members: DataFrame, min_shared: int) -> DataFrame:
     """Per run: items that share at least m elements with another item, and items that do not."""
-    close = shared_subsets(members, min_shared).select("run_id", "item").distinct()
+    close = overlapping_sets(members, min_shared).select("run_id", "item").distinct()
     flagged = (
         members.select("run_id", "item")
         .distinct()
@@ -175,105 +80,75 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64)
 
 
-def _block_heads(threshold: float):
-    def decide(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("place")
-        vectors = _matrix(block["vector"])
-        heads: list[int] = []
-        chosen = np.empty(len(block), dtype=int)
-        for i in range(len(block)):
-            if heads:
-                close = np.flatnonzero(vectors[heads] @ vectors[i] >= threshold)
-                if close.size:
-                    chosen[i] = heads[close[0]]
-                    continue
-            heads.append(i)
-            chosen[i] = i
-        items = block["item"].to_numpy()
-        return pd.DataFrame(
-            {"run_id": block["run_id"].to_numpy(), "item": items, "head": items[chosen]}
-        )
+def greedy_vector_heads(items: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(run_id, item, head) for items (run_id, item, order, vector) of unit vectors; `order` must sort
+    items uniquely within a run. Equal vectors are one class, led by its first item: they are close to
+    the same items, so only classes are compared: sparse ones by the prefix join, and where vectors
+    have few zeros (embeddings), by products of blocks, which the prefix could not thin out."""
+    classes, members = vector_classes(items)
+    filled = classes.agg(F.avg(F.size("entries"))).first()[0] or 0
+    if filled > MANY:
+        pairs = close_dense(classes, threshold, block)
+    else:
+        pairs = close_vectors(classes, classes, threshold, F.col("l.order") < F.col("r.order"))
+    both = pairs.select("run_id", F.array("item", "other").alias("items"))
+    groups = both.select("run_id", F.explode("items").alias("item"), *fingerprint(F.col("items")))
+    heads = ordered_heads(classes, groups).select("run_id", F.col("item").alias("first"), "head")
+    return members.join(heads, ["run_id", "first"]).select("run_id", "item", "head")
+
+
+def _dense(entries: pd.Series, dims: int) -> np.ndarray:
+    out = np.zeros((len(entries), dims))
+    for i, row in enumerate(entries):
+        out[i, [e["d"] for e in row]] = [e["w"] for e in row]
+    return out
 
-    return decide
 
+def close_dense(classes: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(run_id, item, other): pairs of a run with a cosine of at least `threshold`, for vectors without
+    many zeros. A run is cut into blocks of about `block` vectors; a task multiplies two of them and
+    returns the close pairs only."""
+    sizes = classes.groupBy("run_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = classes.join(sizes, "run_id").select(
+        "run_id", "item", "entries", "blocks", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int").alias("b")
+    )
+    keys = ["run_id", "i", "j"]
+    later, earlier = F.sequence("b", F.col("blocks") - 1), F.sequence(F.lit(0), F.col("b"))
+    same = [F.col(c).alias(c) for c in ("run_id", "item", "entries")]  # fresh identities on either side
+    rows = placed.select(*same, F.col("b").alias("i"), F.explode(later).alias("j"))
+    others = placed.select(*same, F.explode(earlier).alias("i"), F.col("b").alias("j"))
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"run_id": [], "item": [], "other": []}).astype(str)
+        dims = 1 + max(max((e["d"] for e in row), default=0) for df in (x, y) for row in df["entries"])
+        close = np.round(_dense(x["entries"], dims) @ _dense(y["entries"], dims).T, DIGITS) >= threshold
+        if x["i"].iloc[0] == x["j"].iloc[0]:  # a block with itself: each pair once
+            close &= x["item"].to_numpy()[:, None] < y["item"].to_numpy()[None, :]
+        at, to = np.nonzero(close)
+        names = {"item": x["item"].to_numpy()[at], "other": y["item"].to_numpy()[to]}
+        return pd.DataFrame({"run_id": x["run_id"].iloc[0]} | names) if len(at) else pd.DataFrame({"run_id": [], "item": [], "other": []}).astype(str)
 
-def _first_close(threshold: float):
-    def match(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or heads.empty:
-            return pd.DataFrame({"run_id": [], "item": [], "head": []}).astype(str)
-        heads = heads.sort_values("place")
-        close = _matrix(rows["vector"]) @ _matrix(heads["vector"]).T >= threshold
-        hit = close.any(axis=1)
-        names = heads["item"].to_numpy()[close.argmax(axis=1)]
-        return pd.DataFrame(
-            {
-                "run_id": rows["run_id"].to_numpy()[hit],
-                "item": rows["item"].to_numpy()[hit],
-                "head": names[hit],
-            }
-        )
-
-    return match
+    return (
+        rows.groupBy(*keys)
+        .cogroup(others.groupBy(*keys))
+        .applyInPandas(product, "run_id string, item string, other string")
+    )
 
 
-def greedy_vector_heads(
-    items: DataFrame, threshold: float, block: int = 2048, chunk: int = 8192
-) -> DataFrame:
-    """(run_id, item, head) for items (run_id, item, order, vector) of unit vectors.
+def best_match_above(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(run_id, item, match, similarity): the most similar right vector of each left vector of the same
+    run, for those that have one at `threshold` or above; ties to the lowest right `order`. Columns:
+    run_id, item, vector, and on the right order."""
+    def entries(df: DataFrame, order: Column) -> DataFrame:
+        columns = ("run_id", "item", order.alias("order"), sparse(F.col("vector")).alias("entries"))
+        return cut_lineage(df.select(*columns))  # read twice; texts are embedded once
 
-    Each round settles the first `block` undecided items of every run in one bounded task, then
-    compares the rest of the run with the new heads only, in salted chunks with one matrix product
-    each. No task sees more than a block or a chunk, and only (item, head) rows come out.
-    """
-    pool = cut_lineage(
-        items.select(
-            F.col("run_id").cast("string").alias("run_id"),
-            F.col("item").cast("string").alias("item"),
-            "order",
-            F.col("vector").cast("array<double>").alias("vector"),
-        )
+    pairs = close_vectors(entries(left, F.lit(0)), entries(right, F.col("order")), threshold)
+    best = F.max(F.struct("similarity", (-F.col("other_order")).alias("o"), "other")).alias("best")
+    return pairs.groupBy("run_id", "item").agg(best).select(
+        "run_id", "item", F.col("best.other").alias("match"), F.col("best.similarity").alias("similarity")
     )
-    decided = []
-    first = W.partitionBy("run_id").orderBy("order", "item")
-    while not pool.isEmpty():
-        front = pool.withColumn("place", F.row_number().over(first)).filter(
-            F.col("place") <= block
-        )
-        front = cut_lineage(front.drop("order"))
-        settled = cut_lineage(
-            front.groupBy("run_id").applyInPandas(_block_heads(threshold), _HEAD_SCHEMA)
-        )
-        decided.append(settled)
-        rest = pool.join(front, ["run_id", "item"], "left_anti")
-        if rest.isEmpty():
-            break
-        new_heads = front.join(
-            settled.filter("item = head").select("run_id", "item"), ["run_id", "item"]
-        )
-        sizes = rest.groupBy("run_id").agg(
-            F.ceil(F.count("*") / chunk).cast("int").alias("salts")
-        )
-        salted = rest.join(sizes, "run_id").withColumn(
-            "salt", F.pmod(F.xxhash64("item"), F.col("salts")).cast("int")
-        )
-        copies = new_heads.join(sizes, "run_id").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-        )
-        keys = ["run_id", "salt"]
-        matched = cut_lineage(
-            salted.select(*keys, "item", "vector")
-            .groupBy(*keys)
-            .cogroup(copies.select(*keys, "item", "vector", "place").groupBy(*keys))
-            .applyInPandas(_first_close(threshold), _HEAD_SCHEMA)
-        )
-        decided.append(matched)
-        pool = cut_lineage(rest.join(matched, ["run_id", "item"], "left_anti"))
-    if not decided:
-        return items.sparkSession.createDataFrame([], _HEAD_SCHEMA)
-    out = decided[0]
-    for part in decided[1:]:
-        out = out.unionByName(part)
-    return out
 
 
 def best_match(

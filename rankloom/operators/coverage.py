@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from rankloom import fixed_values as fv
 from rankloom.functions.numeric import bucket_for, fixed_text, ordered_sum, saturation
 from rankloom.functions.text import content_words, normalise_phrase, regex_literal
-from rankloom.operators.clusters import best_match, greedy_vector_heads
+from rankloom.operators.clusters import best_match_above, greedy_vector_heads
 from rankloom.operators.phrases import Embedder, hashed_embedder
 from rankloom.session import cut_lineage
 from rankloom.settings import Thresholds, within
@@ -88,41 +88,62 @@ def open_questions(
     """Searcher questions close to no topic label, the first few of each run. `labels` is
     (run_id, label) of all group members; a run without topics keeps all its questions."""
     asked = evidence.filter(F.col("source").isin(fv.QUESTION_SOURCES))
-    near = _closest(asked, labels, embed).select(
-        "run_id", F.col("item").alias("text"), "similarity"
-    )
+    near = _near(asked, labels, t, embed).select("run_id", F.col("item").alias("text"))
     order = W.partitionBy("run_id").orderBy("ord", "text")
     return (
-        asked.join(near, ["run_id", "text"], "left")
-        .filter(F.coalesce("similarity", F.lit(-1.0)) < t.evidence_similarity)
+        asked.join(near, ["run_id", "text"], "left_anti")
         .withColumn("place", F.row_number().over(order))
         .filter(within("place", t.open_questions))
         .select("run_id", "text", "source", "place")
     )
 
 
-def _closest(evidence: DataFrame, labels: DataFrame, embed: Embedder) -> DataFrame:
-    left = embed(evidence.select("run_id", F.col("text").alias("item")).distinct(), "item", "v")
-    right = embed(labels.select("run_id", F.col("label").alias("item")).distinct(), "item", "v")
-    return best_match(
-        left.select("run_id", "item", F.col("v").alias("vector")),
-        right.select(
-            "run_id", "item", F.xxhash64("item").alias("order"), F.col("v").alias("vector")
-        ),
+def _near(evidence: DataFrame, labels: DataFrame, t: Thresholds, embed: Embedder) -> DataFrame:
+    """Evidence close to a label, with the closest one."""
+    left = embed(evidence.select("run_id", F.col("text").alias("item")).distinct(), "item", "vector")
+    right = embed(labels.select("run_id", F.col("label").alias("item")).distinct(), "item", "vector")
+    right = right.withColumn("order", F.xxhash64("item"))
+    return best_match_above(left, right, t.evidence_similarity)
+
+
+HEAVY_KEYS = 1000  # a key is heavy if it holds more than this part of all rows: so many at most
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], parts: int = HEAVY_KEYS) -> DataFrame:
+    """Keys that hold more than 1/parts of all rows, with `salts`, the pieces to cut each into. counts:
+    keys and n. There can't be more than `parts` of them, which bounds what is broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") * parts > total).select(
+        *keys, F.ceil(F.col("n") * parts / F.lit(max(total, 1))).alias("salts")
     )
 
 
+def split_join(rows: DataFrame, few: DataFrame, keys: list[str], heavy: DataFrame, spread: list[str]) -> DataFrame:
+    """rows inner join few on `keys`, with heavy keys cut up: a heavy key's rows are salted by `spread`
+    and its rows of `few` are repeated for every salt."""
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    salted = rows.join(F.broadcast(heavy), keys, "left").withColumn(
+        "salt", F.pmod(F.xxhash64(*spread), salts)
+    )
+    copies = few.join(F.broadcast(heavy), keys, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    )
+    return salted.drop("salts").join(copies.drop("salts"), [*keys, "salt"]).drop("salt")
+
+
 def passage_hits(passages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Default labeller: a passage discusses a label when it holds all its content words.
 
     passages: run_id, page, passage_no, passage; wanted: run_id, label. A label's rarest word in the
     run's passages finds its candidates by an equi-join, and the other words are counted by a join
     on passage and word. Rows hold one word each, so what is shuffled follows the passages' words
-    and the candidates of rare words, not labels times passages.
+    and the candidates of rare words, not labels times passages. A word that many of a run's
+    passages hold is a heavy key of the first join and is cut up there.
     """
     place = ["run_id", "page", "passage_no"]
     label = ["run_id", "label"]
-    need = (
+    word = ["run_id", "word"]
+    need = cut_lineage(
         wanted.select(*label)
         .distinct()
         .select(*label, F.explode(F.array_distinct(content_words(F.col("label")))).alias("word"))
@@ -130,27 +151,25 @@ def passage_hits(passages: DataFrame, wanted: DataFrame) -> DataFrame:
     held = passages.select(
         *place, F.explode(F.array_distinct(content_words(F.col("passage")))).alias("word")
     )
-    held = cut_lineage(held.join(need.select("run_id", "word").distinct(), ["run_id", "word"], "left_semi"))
-    common = held.groupBy("run_id", "word").agg(F.count("*").alias("n"))
+    held = cut_lineage(held.join(need.select(*word).distinct(), word, "left_semi"))
+    common = cut_lineage(held.groupBy(*word).agg(F.count("*").alias("n")))
     rarest = (
-        need.join(common, ["run_id", "word"], "left")
+        need.join(common, word, "left")
         .groupBy(*label)
         .agg(
             F.min_by("word", F.struct("n", "word")).alias("word"),
             F.count("*").alias("words"),
             F.count("n").alias("met"),
+            F.array_sort(F.collect_list("word")).alias("others"),
         )
         .filter("words = met")
-        .drop("met")
+        .select(*label, "word", "words", F.array_remove("others", F.col("word")).alias("others"))
     )
-    candidates = held.join(rarest, ["run_id", "word"])
-    others = need.withColumnRenamed("word", "other")
+    candidates = split_join(held, rarest, word, heavy_keys(common, word), place)
     rest = (
         candidates.filter("words > 1")
-        .join(others, label)
-        .filter(F.col("other") != F.col("word"))
-        .drop("word")
-        .join(held.withColumnRenamed("word", "other"), [*place, "other"])
+        .select(*place, "label", "words", F.explode("others").alias("word"))
+        .join(held, [*place, "word"])
         .groupBy(*place, "label", "words")
         .agg(F.count("*").alias("met"))
         .filter(F.col("met") == F.col("words") - 1)
@@ -372,14 +391,9 @@ def find_gaps(
         "place",
         F.struct("ord", "item"),
     )
-    left = embed(members.select("run_id", F.col("label").alias("item")).distinct(), "item", "v")
-    right = embed(asked, "item", "v")
-    near = best_match(
-        left.select("run_id", "item", F.col("v").alias("vector")),
-        right.select(
-            "run_id", "item", evidence_rank(F.col("ord")).alias("order"), F.col("v").alias("vector")
-        ),
-    )
+    left = embed(members.select("run_id", F.col("label").alias("item")).distinct(), "item", "vector")
+    right = embed(asked, "item", "vector").withColumn("order", evidence_rank(F.col("ord")))
+    near = best_match_above(left, right, t.evidence_similarity)
     best = (
         near.withColumnRenamed("item", "label")
         .join(members, ["run_id", "label"])
@@ -387,7 +401,6 @@ def find_gaps(
             asked.select("run_id", F.col("item").alias("match"), "ord", "source"),
             ["run_id", "match"],
         )
-        .filter(F.col("similarity") >= t.evidence_similarity)
         .groupBy("run_id", "topic")
         .agg(
             F.max_by(

@@ -14,7 +14,6 @@ from rankloom.operators import clusters, competitors, coverage, demand, phrases
 from rankloom.operators.ranks import competitor_ranks, with_positions
 from rankloom.plans import discovery as disc
 from rankloom.plans.phrase_research import phrase_research
-from rankloom.plans.topic_coverage import topic_coverage as coverage_plan
 from rankloom.session import cut_lineage, spread
 from rankloom.settings import GapSettings
 from rankloom.workload import views as v
@@ -144,7 +143,7 @@ def phrase_flags(spark, d):
     )
 
 
-_GRAMS = f"""
+GRAMS_SQL = f"""
 sent AS (SELECT source AS run_id, doc_id AS page, unnest(
     regexp_split_to_array(lower(text), {lit(fv.SENTENCE_BREAK)})) AS s FROM documents),
 tok AS (SELECT run_id, page, regexp_extract_all(s, {lit(fv.WORD_PATTERN)}) AS t FROM sent),
@@ -159,7 +158,7 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, page ORDER BY
   AS INTEGER) AS place FROM counted)"""
 
 
-@query("ngrams", f"WITH {_GRAMS} SELECT * FROM placed WHERE place <= 200")
+@query("ngrams", f"WITH {GRAMS_SQL} SELECT * FROM placed WHERE place <= 200")
 def ngrams(spark, d):
     return phrases.ngrams(docs(spark, d), T.phrase_pool)
 
@@ -170,7 +169,7 @@ def topics(spark: SparkSession, d: str, per_page: int = 5) -> DataFrame:
     return phrases.ngrams(pages, per_page).select("run_id", "page", F.col("gram").alias("topic"))
 
 
-_PASSAGES = rf"""WITH RECURSIVE paras AS (
+PASSAGES_SQL = rf"""paras AS (
     SELECT source AS run_id, doc_id AS page, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i,
       w, len(w) AS n
     FROM (SELECT source, doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i,
@@ -188,16 +187,17 @@ packed AS (
         || list_transform(range(0, (n - 1) // {T.passage_words}),
           lambda k: array_to_string(w[k * {T.passage_words} + 1:(k + 1) * {T.passage_words}], ' '))
     FROM packed p JOIN paras q ON q.page = p.page AND q.i = p.i + 1),
-listed AS (
+stacked AS (
     SELECT run_id, page, i, unnest(range(1, len(closed) + 1)) AS k, unnest(closed) AS passage FROM packed
     UNION ALL
     SELECT run_id, page, max(i) + 1, 1, array_to_string(max_by(opened, i), ' ') FROM packed
-    GROUP BY run_id, page HAVING len(max_by(opened, i)) > 0)
-SELECT run_id, page, CAST(row_number() OVER (PARTITION BY page ORDER BY i, k) AS INTEGER) AS passage_no, passage
-FROM listed"""
+    GROUP BY run_id, page HAVING len(max_by(opened, i)) > 0),
+passages AS (
+    SELECT run_id, page, CAST(row_number() OVER (PARTITION BY page ORDER BY i, k) AS INTEGER) AS passage_no, passage
+    FROM stacked)"""
 
 
-@query("passages", _PASSAGES)
+@query("passages", f"WITH RECURSIVE {PASSAGES_SQL} SELECT * FROM passages")
 def passages(spark, d):
     return phrases.page_passages(docs(spark, d), T)
 
@@ -207,11 +207,6 @@ def page_phrases_mmr(spark, d):
     return phrases.page_phrases(docs(spark, d), T)
 
 
-@query("topic_merge")
-def topic_merge(spark, d):
-    return coverage.merge_topics(topics(spark, d), T)
-
-
 def line_passages(spark, d) -> DataFrame:
     """Non-empty lines of the documents as landed passages."""
     return (
@@ -228,7 +223,7 @@ _LINES = """lines AS (SELECT * FROM (SELECT source AS run_id, doc_id AS page,
   WHERE trim(passage, ' ') <> '')"""
 _OURS = """ours AS (SELECT source AS run_id, min(doc_id) AS page FROM documents GROUP BY 1)"""
 _COVER = f"""
-{_GRAMS}, {_OURS}, {_LINES},
+{GRAMS_SQL}, {_OURS}, {_LINES},
 lst AS (SELECT p.run_id, p.gram AS topic, p.page FROM placed p JOIN ours o USING (run_id)
   WHERE p.place <= 5 AND p.page <> o.page),
 tops AS (SELECT run_id, topic, count(*) AS listed FROM lst GROUP BY 1, 2),
@@ -361,27 +356,6 @@ def evidence_union(spark, d):
     return coverage.evidence_union(evidence_rows(spark, d)).drop("ord")
 
 
-def _coverage_inputs(spark, d):
-    run = F.concat(F.lit("src"), (F.col("run_id").cast("int") % 20).cast("string"))
-    evidence = coverage.evidence_union(evidence_rows(spark, d).withColumn("run_id", run))
-    return docs(spark, d), topics(spark, d), evidence
-
-
-@query("topic_coverage")
-def topic_coverage(spark, d):
-    return coverage_plan(*_coverage_inputs(spark, d), T).counts
-
-
-@query("topic_scores")
-def topic_scores(spark, d):
-    return coverage_plan(*_coverage_inputs(spark, d), T).scores
-
-
-@query("topic_gaps")
-def topic_gaps(spark, d):
-    return coverage_plan(*_coverage_inputs(spark, d), T).gaps
-
-
 @query(
     "question_list",
     f"""WITH e AS (SELECT CAST(conv_id % 25 AS VARCHAR) AS run_id, lower(text) AS text,

@@ -101,6 +101,14 @@ def content_words(text: str) -> str:
     return f"list_transform({kept}, lambda w: {stem('w')})"
 
 
+def hashed(items: str, text: str) -> str:
+    """Entries (run_id, text, bucket, w) of the hashed vectors of a table's distinct texts."""
+    return f"""(SELECT run_id, text, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY run_id, text)) AS w FROM (
+      SELECT run_id, text, CAST(('0x' || right(md5(word), 2)) AS INTEGER) AS bucket, count(*) AS n FROM (
+        SELECT run_id, {text} AS text, unnest({content_words(text)}) AS word
+        FROM (SELECT DISTINCT run_id, {text} FROM {items})) GROUP BY 1, 2, 3))"""
+
+
 def variant_key(text: str) -> str:
     joined = f"array_to_string(list_sort({content_words(text)}), ' ')"
     return f"coalesce(nullif({joined}, ''), {text})"

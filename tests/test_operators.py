@@ -55,8 +55,7 @@ def test_clusters_do_not_chain(spark):
     assert got == {"a": "a", "b": "a", "c": "c"}
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_vector_heads_match_brute_force(spark, block):
+def test_vector_heads_match_brute_force(spark):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(40, 3))
     vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
@@ -71,7 +70,7 @@ def test_vector_heads_match_brute_force(spark, block):
         [("r", str(i), i, vecs[i].tolist()) for i in range(40)],
         "run_id string, item string, order int, vector array<double>",
     )
-    got = clusters.greedy_vector_heads(df, 0.8, block=block, chunk=7).collect()
+    got = clusters.greedy_vector_heads(df, 0.8).collect()
     assert {r["item"]: r["head"] for r in got} == want
 
 
