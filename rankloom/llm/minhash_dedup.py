@@ -60,13 +60,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     source = documents(docs).filter("doc_id IS NOT NULL")
     signed = cut_lineage(signatures(source, shingle))
     full = signed.filter("n > 0")
+    texts = source.withColumn("mark", F.xxhash64("text"))
     classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
     first = cut_lineage(
         full.groupBy("h1", "h2", "n")
-        .agg(F.min(F.struct("doc_id", "sig")).alias("least"))
-        .select(F.col("least.doc_id").alias("id"), "n", F.col("least.sig").alias("sig"))
+        .agg(F.min(F.struct("doc_id", "sig", "mark")).alias("least"))
+        .select(F.col("least.doc_id").alias("id"), "n", F.col("least.sig").alias("sig"), F.col("least.mark").alias("mark"))
     )
-    found = components(links(source, first, shingle, percent))
+    found = components(links(texts, first, shingle, percent))
     members = full.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"])
     placed = members.join(found, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id")
@@ -101,7 +102,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
 
 
 def signatures(source: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sig): size and hashes of each document's set and its MinHash signature."""
+    """(doc_id, n, h1, h2, sig, mark): size and hashes of each document's set, its MinHash signature, and
+    the hash of its text. Of several rows with one doc_id the one with the smallest hashes counts."""
 
     def step(batch: pa.RecordBatch):
         for lo, hi, data, offsets in pieces(batch.column("text")):
@@ -122,11 +124,13 @@ def signatures(source: DataFrame, shingle: int) -> DataFrame:
                 "h1": h1,
                 "h2": h2,
                 "sig": pa.array([row.tobytes() if k else b"" for row, k in zip(sig, n, strict=True)], pa.binary()),
+                "mark": batch.column("mark").slice(lo, hi - lo),
             }
 
-    made = map_batches(source, step, "doc_id long, n long, h1 long, h2 long, sig binary")
-    one = made.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n", "sig")).alias("s"))
-    return one.select("doc_id", "s.n", "s.h1", "s.h2", "s.sig")
+    marked = source.withColumn("mark", F.xxhash64("text"))
+    made = map_batches(marked, step, "doc_id long, n long, h1 long, h2 long, sig binary, mark long")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n", "sig", "mark")).alias("s"))
+    return one.select("doc_id", "s.n", "s.h1", "s.h2", "s.sig", "s.mark")
 
 
 def links(source: DataFrame, first: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -136,10 +140,12 @@ def links(source: DataFrame, first: DataFrame, shingle: int, percent: int) -> Da
     banded = map_batches(first, partial(_bands, bands=bands, rows=rows), "key long, band int, id long, n long")
     shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut_lineage(banded.join(shared, F.col("key") == F.col("k")).drop("k", "size"))
-    asked = buckets.select("id").distinct()
-    # as a merge join at every size, so that what it costs is known from small tables
-    met = source.join(asked.hint("merge"), F.col("doc_id") == F.col("id"))
-    texts = cut_lineage(met.select("id", "text"))
+    asked = first.select("id", "mark").join(buckets.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi")
+    # the text of the row that counts, once; as a merge join at every size, so that what it costs is
+    # known from small tables
+    named = source.select("doc_id", F.col("mark").alias("of"), "text")
+    met = named.join(asked.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.col("of") == F.col("mark")))
+    texts = cut_lineage(met.groupBy("id", "mark").agg(F.min("text").alias("text")).select("id", "text"))
 
     hub = F.min_by(F.struct("id", "n"), F.xxhash64("id", F.col("band") % HUBS)).alias("hub")
     hubs = buckets.groupBy(F.col("key").alias("k")).agg(hub)

@@ -5,10 +5,9 @@ same document) has its bytes removed; the first copy stays. Texts are UTF-8 byte
 
 Anchors (see anchors) find where texts can repeat at all, and repeated surroundings are settled whole.
 The other candidates send the bytes around their anchor to the anchor's group. There, blocks of
-bounded size are put in suffix order, by prefix doubling down to `width` bytes, equal strings in the
-order of the text. A suffix's longest previous factor reaches `width` bytes if and only if the
-previous smaller position in that order shares them; as equals are in text order that is the entry
-just before, and no next smaller position can share them. Where a key's group is larger than a block
+bounded size are put in suffix order by prefix doubling. The previous and the next smaller position in
+that order give each suffix its longest previous factor (see factors), and the windows whose factor
+reaches `width` bytes are later copies. Where a key's group is larger than a block
 or was split over batches, each block keeps its first copies, and those meet once more by the hash of
 their bytes.
 
@@ -20,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import anchors as A
 from rankloom.llm.common import map_batches
+from rankloom.llm.factors import in_blocks, longest_earlier, prefix_ranks
 from rankloom.llm.text_arrays import U, mix, pieces, powers, span_hashes
 
 WIDTH = 100
@@ -50,7 +50,7 @@ def suffix_dedup(
         A.with_spans(source, known, F.struct("at", "key"), keep_all=False), _contexts(width), CONTEXTS
     )
     grouped = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "at")
-    windows = grouped.mapInArrow(_blocks(width, block_bytes), WINDOWS)
+    windows = grouped.mapInArrow(in_blocks(block_bytes, partial(windows_of, width=width)), WINDOWS)
     repeats = A.repeated_windows(windows, False)
     return _cut(A.with_spans(source, repeats, F.col("at"), keep_all=True), width, texts)
 
@@ -104,32 +104,6 @@ def _contexts(width: int):
     return step
 
 
-def _blocks(width: int, block_bytes: int):
-    """Window rows from contexts sorted by key: blocks end where a key ends, unless it is too large."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        split = None
-        for batch in batches:
-            held.append(batch)
-            if sum(b.nbytes for b in held) < block_bytes:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            keys = rows.column("key").to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last:
-                yield windows_of(rows.slice(0, last), split, width)
-                held = rows.slice(last).to_batches()
-            else:
-                split = keys[-1]
-                yield windows_of(rows, split, width)
-                held = []
-        if held and sum(b.num_rows for b in held):
-            yield windows_of(pa.Table.from_batches(held).combine_chunks(), split, width)
-
-    return run
-
-
 def windows_of(rows: pa.Table, split: int | None, width: int) -> pa.RecordBatch:
     """Duplicate runs of a block, and hashes of the first copies that other blocks may have earlier."""
     key, doc, at = (rows.column(n).to_numpy() for n in ("key", "doc_id", "at"))
@@ -165,43 +139,24 @@ def windows_of(rows: pa.Table, split: int | None, width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h1", "h2", "doc_id", "at"])
 
 
-def suffix_order(data: np.ndarray, suffix: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the positions `suffix`, by their first `width` bytes and then by position,
-    and the class of equal `width`-byte strings of each entry. Ranks double in length each round."""
-    n = len(data)
+def longest_previous_factor(data: np.ndarray, suffix: np.ndarray, width: int) -> np.ndarray:
+    """For each position of `suffix`, which is in text order and has `width` bytes, the length of the
+    longest string there that also starts at an earlier position of `suffix`, at most `width`."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    rank = np.zeros(n, U)
+    eight = np.zeros(len(data), U)
     for j in range(8):
-        rank = (rank << U(8)) | padded[j : n + j].astype(U)
-    rank = np.unique(rank, return_inverse=True)[1].astype(U)
-    length = min(8, width)
-    if width < 8:
-        rank = np.unique(_short(padded, n, width), return_inverse=True)[1].astype(U)
-    while length < width:
-        shift = min(length, width - length)
-        ahead = np.concatenate([rank[shift:], np.zeros(shift, U)])
-        rank = np.unique((rank << U(32)) | ahead, return_inverse=True)[1].astype(U)
-        length += shift
-    classes = rank[suffix]
-    order = np.lexsort((np.arange(len(suffix)), classes))
-    return order, classes[order]
-
-
-def _short(padded: np.ndarray, n: int, width: int) -> np.ndarray:
-    rank = np.zeros(n, U)
-    for j in range(width):
-        rank = (rank << U(8)) | padded[j : n + j].astype(U)
-    return rank
-
-
-def longest_previous_factor(data: np.ndarray, suffix: np.ndarray, width: int) -> np.ndarray:
-    """For each position of `suffix`, which is in text order: `width` if its previous smaller position
-    in suffix order shares `width` bytes (no other smaller position can if that one doesn't), else 0."""
-    out = np.zeros(len(suffix), np.int64)
-    if len(suffix):
-        order, classes = suffix_order(data, suffix, width)
-        out[order[1:][classes[1:] == classes[:-1]]] = width
-    return out
+        eight = (eight << U(8)) | padded[j : len(data) + j].astype(U)
+
+    def finish(a, b, shared):
+        """Bytes shared beyond whole groups of eight."""
+        at, to = np.minimum(a + shared, len(data) - 1), np.minimum(b + shared, len(data) - 1)
+        apart = eight[at] ^ eight[to]
+        more = sum(((apart >> U(8 * (7 - j))) == 0).astype(np.int64) for j in range(7))
+        return shared + more
+
+    levels = prefix_ranks(eight, 8, width)
+    room = np.full(len(suffix), width, np.int64)
+    return longest_earlier(levels, suffix, np.arange(len(suffix)), room, finish)
 
 
 def _cut(joined: DataFrame, width: int, texts: bool) -> DataFrame:

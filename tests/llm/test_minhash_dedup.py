@@ -5,7 +5,7 @@ import pytest
 from brute import near_duplicate_classes, shingle_set
 
 from rankloom.llm.components import components
-from rankloom.llm.minhash_dedup import BANDS, HASHES, ROWS, banding, least_matches, near_duplicates
+from rankloom.llm.minhash_dedup import BANDS, HASHES, ROWS, banding, least_matches, near_duplicates, signatures
 
 
 def corpus(seed):
@@ -99,3 +99,22 @@ def test_bands_follow_the_threshold():
         bands, rows = banding(percent)
         assert bands * rows <= HASHES and (1 - (percent / 100) ** rows) ** bands <= 1e-5
     assert banding(1) == (HASHES, 1)
+
+
+def test_one_row_of_a_repeated_id_counts_everywhere(spark):
+    """Ids with two different texts: links are those of the row that counts, never of the other."""
+    base = [f"w{i}" for i in range(200)]
+    near = base[:195] + [f"x{i}" for i in range(5)]
+    far = base[:160] + [f"y{i}" for i in range(40)]
+    rows, odd = [], []
+    for g in range(40):
+        tag = lambda words, g=g: " ".join(f"{w}g{g}" for w in words)
+        rows.append((1000 * g, tag(base)))
+        odd += [(1000 * g + 1, tag(near)), (1000 * g + 1, tag(far))]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(3)
+    counted = {r["doc_id"]: (r["n"], r["mark"]) for r in signatures(docs, 5).collect()}
+    marks = {(r["doc_id"], r["m"]): r["text"] for r in docs.selectExpr("doc_id", "xxhash64(text) AS m", "text").collect()}
+    plain = [(d, marks[d, mark]) for d, (_, mark) in counted.items()]
+    want = near_duplicate_classes(plain, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()}
+    assert got == want and 0 < sum(c != d for d, (_, c) in got.items()) < 40
