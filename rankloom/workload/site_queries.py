@@ -312,7 +312,27 @@ def page_titles(spark, d):
     return page_source.page_features(spread(_pages(spark, d)), T).select("page_id", "title")
 
 
-@query("page_features")
+_UNESCAPED = """regexp_replace(replace(replace(replace(replace(replace(replace(
+  x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp$', '&')"""
+_PAGE_LINES = rf"""parts AS (SELECT page_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS part FROM (
+    SELECT page_id, regexp_split_to_array(
+      regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:h1|p)>') AS p FROM pages)),
+lines AS (SELECT page_id, line, min(i) AS i FROM (
+    SELECT page_id, i, trim(regexp_replace({_UNESCAPED}, '\s+', ' ', 'g')) AS line FROM (
+      SELECT page_id, i, regexp_replace(replace(part, '<br>', ' '), '<[^>]*>?', '', 'g') AS x FROM parts))
+  WHERE line <> '' GROUP BY 1, 2),
+texts AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM lines GROUP BY 1)"""
+
+
+@query(
+    "page_features",
+    rf"""WITH {_PAGE_LINES}, t AS (SELECT p.page_id, html, coalesce(text, '') AS text FROM pages p LEFT JOIN texts USING (page_id)),
+    w AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM t)
+    SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title, CAST(n AS INTEGER) AS words,
+      CASE WHEN n >= {T.min_page_words} THEN 'ok' ELSE 'too_short' END AS status,
+      CAST(contains(html, '<h1>') AS INTEGER) AS headings, '' AS schema_type,
+      CAST(len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS INTEGER) AS links, text FROM w""",
+)
 def page_features(spark, d):
     return page_source.page_features(spread(_pages(spark, d)), T).select(
         "page_id", "title", "words", "status", F.size("headings").alias("headings"), "schema_type",
@@ -320,6 +340,28 @@ def page_features(spark, d):
     )
 
 
+@query(
+    "schema_types",
+    """SELECT page_id, CASE page_id % 4 WHEN 3 THEN '' ELSE 'Type' || page_id % 5 END AS schema_type FROM pages""",
+)
+def schema_types(spark, d):
+    """Pages with a JSON-LD block of page_id % 40 graphs inside each other, the telling type innermost."""
+    n, deep = F.col("page_id"), (F.col("page_id") % 40).cast("int")
+    kind = F.when(n % 4 == 3, "WebSite").otherwise(F.concat(F.lit("Type"), (n % 5).cast("string")))
+    inner = F.when(
+        n % 4 == 1, F.concat(F.lit('[{"@type":[]},{"@type":["'), kind, F.lit('"]}]'))
+    ).otherwise(F.concat(F.lit('[7,{"@type":"'), kind, F.lit('","@graph":"none"}]')))
+    block = F.concat(
+        F.repeat(F.lit('{"@type":"WebPage","@graph":['), deep),
+        F.when(deep == 0, inner).otherwise(F.substring(inner, F.lit(2), F.length(inner) - 2)),
+        F.repeat(F.lit("]}"), deep),
+    )
+    broken = F.when(n % 3 == 0, '<script type="application/ld+json">{"@type":</script>').otherwise("")
+    script = F.concat(broken, F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))
+    pages = _pages(spark, d).withColumn("html", F.concat(script, "html"))
+    return page_source.page_features(spread(pages), T).select("page_id", "schema_type")
+
+
 @query(
     "link_counts",
     """SELECT page_id, count(DISTINCT h) AS links FROM (
