@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from rankloom.workload import feed_queries, gap_queries, site_queries, text_queries, topic_queries  # noqa: F401
+from rankloom.workload import (  # noqa: F401
+    feed_queries,
+    gap_queries,
+    research_queries,
+    site_queries,
+    text_queries,
+    topic_queries,
+)
 from rankloom.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -409,25 +409,27 @@ def intent_verdict(spark, d):
     )
 
 
-@query(
-    "weak_spots",
-    sql(
-        "top", "profile",
-        body=f"""
-, flags AS (SELECT t.run_id, t.keyword, count(*) FILTER (page_type = 'forum') AS forums,
+WEAK_FLAGS = f"""flags AS (SELECT t.run_id, t.keyword, count(*) FILTER (page_type = 'forum') AS forums,
     arg_min(t.domain, t.pos) FILTER (page_type = 'forum') AS forum,
     count(*) FILTER (CAST(t.title[8:] AS INTEGER) <= {v.YEAR - T.stale_years}) AS stale,
     max(p.small_sites) AS small
-  FROM top t JOIN profile p USING (run_id, keyword) GROUP BY 1, 2)
-SELECT run_id, keyword, array_to_string(list_filter([
+  FROM top t JOIN profile p USING (run_id, keyword) GROUP BY 1, 2),
+spots AS (SELECT run_id, keyword, list_filter([
     CASE WHEN forums > 0 THEN 'forum in top 10 (' || forum || ')' END,
     CASE WHEN stale > 0 THEN stale || ' stale page(s) in top 10' END,
     CASE WHEN small >= {T.small_sites_min} THEN small || ' small site(s) in top 10' END],
-    lambda x: x IS NOT NULL), '; ') AS signals,
-  round_even((CASE WHEN forums > 0 THEN {T.forum_bonus}e0 ELSE 0e0 END)
-    + least(2, stale) * {T.stale_bonus}e0
-    + (CASE WHEN small >= {T.small_sites_min} THEN {T.small_sites_bonus}e0 ELSE 0e0 END), 4)
-    AS bonus FROM flags""",
+    lambda x: x IS NOT NULL) AS signals,
+  (CASE WHEN forums > 0 THEN {T.forum_bonus}e0 ELSE 0e0 END)
+    + least({T.stale_counted}, stale) * {T.stale_bonus}e0
+    + (CASE WHEN small >= {T.small_sites_min} THEN {T.small_sites_bonus}e0 ELSE 0e0 END) AS bonus FROM flags)"""
+
+
+@query(
+    "weak_spots",
+    sql(
+        "top", "profile",
+        body=f""", {WEAK_FLAGS}
+SELECT run_id, keyword, array_to_string(signals, '; ') AS signals, round_even(bonus, 4) AS bonus FROM spots""",
     ),
 )
 def weak_spots(spark, d):
@@ -611,7 +613,7 @@ def url_popularity(spark, d):
     return clusters.url_popularity(clusters.serp_members(v.serp(spark, d), T.serp_top))
 
 
-_CLOSE_KEYWORDS = f"""SELECT x.run_id, i.n AS a, j.n AS b FROM (
+CLOSE_KEYWORDS = f"""SELECT x.run_id, i.n AS a, j.n AS b FROM (
     SELECT p.run_id, p.keyword AS x, q.keyword AS y FROM m p JOIN m q
       ON p.run_id = q.run_id AND p.u = q.u AND p.keyword <> q.keyword
     GROUP BY 1, 2, 3 HAVING count(*) >= {T.min_shared_urls}) x
@@ -628,7 +630,7 @@ _CLOSE_KEYWORDS = f"""SELECT x.run_id, i.n AS a, j.n AS b FROM (
 placed AS (SELECT run_id, keyword AS item, row_number() OVER (PARTITION BY run_id
   ORDER BY coalesce(gap.business_fit, 0) DESC, coalesce(gap.searches, 0) DESC, k.ord, keyword) AS n
   FROM gap JOIN (SELECT run_id, keyword, ord FROM keywords) k USING (run_id, keyword)),
-{greedy_heads('SELECT run_id, item, n FROM placed', _CLOSE_KEYWORDS)}
+{greedy_heads('SELECT run_id, item, n FROM placed', CLOSE_KEYWORDS)}
 SELECT run_id, item AS keyword, head AS cluster FROM headed""",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )

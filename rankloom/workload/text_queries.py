@@ -13,7 +13,6 @@ from rankloom.operators import candidates as cd
 from rankloom.operators import clusters, competitors, coverage, demand, phrases
 from rankloom.operators.ranks import competitor_ranks, with_positions
 from rankloom.plans import discovery as disc
-from rankloom.plans.phrase_research import phrase_research
 from rankloom.session import cut_lineage, spread
 from rankloom.settings import GapSettings
 from rankloom.workload import views as v
@@ -811,71 +810,6 @@ def known_phrases_anti(spark, d):
     return coverage.drop_judged(keyed.filter("ord % 2 = 0").select(*keys).distinct(), known, keys)
 
 
-def research_sources(spark, d) -> DataFrame:
-    """Candidates of three sources: landed seeds, related keywords and autocomplete."""
-    kw = measured(spark, d)
-    base = [
-        "run_id", F.col("keyword").alias("phrase"), F.lit("seed").alias("source"),
-        F.col("searches").alias("volume"), F.lit(None).cast("int").alias("difficulty"),
-        F.lit("unknown").alias("intent"), F.lit(None).cast("boolean").alias("in_autocomplete"),
-        "ord",
-    ]
-    seeds = kw.select(*base)
-    auto = kw.filter("ord % 4 = 0").select(*base).withColumns(
-        {
-            "source": F.lit("autocomplete"),
-            "volume": F.lit(None).cast("int"),
-            "in_autocomplete": F.lit(True),
-            "ord": F.col("ord") + 10_000_000,
-        }
-    )
-    return seeds.unionByName(auto)
-
-
-def _research(spark, d):
-    s = GapSettings(site_strength="established")
-    names = v.keywords(spark, d).groupBy("run_id").agg(
-        F.concat_ws(". ", F.array_sort(F.collect_set(F.regexp_replace("keyword", r" \d+$", ""))))
-        .alias("text")
-    )
-    vectors = phrases.page_vectors(names.withColumn("page", F.lit(0)), T).drop("page")
-    return phrase_research(
-        research_sources(spark, d), vectors, v.shared_serp(spark, d), v.site_ranks(spark, d), s,
-        v.YEAR,
-    )
-
-
-@query("ranked_clusters")
-def ranked_clusters(spark, d):
-    return _research(spark, d).clusters.withColumn("signals", F.array_join("signals", "; "))
-
-
-@query("chosen_phrases")
-def chosen_phrases(spark, d):
-    return _research(spark, d).phrases
-
-
-@query("research_candidates")
-def research_candidates(spark, d):
-    return _research(spark, d).candidates.withColumn("sources", F.array_join("sources", ";"))
-
-
-@query(
-    "candidate_union",
-    sql(
-        "demand",
-        body="""SELECT run_id, keyword, CASE WHEN ord % 4 = 0 THEN 'seed;autocomplete' ELSE 'seed'
-          END AS sources, ord, searches AS volume,
-          CASE WHEN ord % 4 = 0 THEN TRUE END AS in_autocomplete FROM demand""",
-    ),
-)
-def candidate_union(spark, d):
-    return cd.union_candidates(research_sources(spark, d)).select(
-        "run_id", "keyword", F.array_join("sources", ";").alias("sources"), "ord", "volume",
-        "in_autocomplete",
-    )
-
-
 @query(
     "saturation",
     """SELECT l_partkey, count(*) AS n, round(count(*) / (count(*) + 1.2e0), 9) AS saturation
