@@ -338,17 +338,15 @@ SORT_COLUMNS = {
 }
 
 
-def sorted_page(
-    rows: DataFrame, key: str = "proof", descending: bool = True, page: int = 0, size: int = 25
-) -> DataFrame:
-    """One page of the table: nulls last in both directions, keyword breaks ties. `pos:<n>` sorts
-    by the position of site n."""
+def table_order(key: str = "proof", descending: bool = True) -> list[Column]:
+    """Order of the table: nulls last in both directions, keyword breaks ties. `pos:<n>` sorts by the
+    position of site n."""
     if key.startswith("pos:"):
         value = F.try_element_at("sites", F.lit(int(key[4:]) + 1))["position"]
     else:
         value = F.col(SORT_COLUMNS[key])
     first = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    return rows.orderBy(first, "keyword", "run_id").offset(page * size).limit(size)
+    return [first, F.col("keyword").asc(), F.col("run_id").asc()]
 
 
 def domain_set_errors(run_domains: DataFrame, s: GapSettings) -> DataFrame:

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.url import domain_of
+from rankloom.operators.sampling import child_sitemaps
+from rankloom.session import cut_lineage
+
 _ENTRY = "array<struct<loc:string,lastmod:string>>"
 _FILE = f"url {_ENTRY}, sitemap {_ENTRY}"
 
@@ -83,3 +87,28 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
         F.trim("e.loc").alias("url"),
         F.coalesce(F.trim("e.lastmod"), F.lit("")).alias("lastmod"),
     )
+
+
+def reachable_entries(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries (site, file, pos, url, lastmod) of every page list that a site's root files reach over
+    indexes, however deep. files: site, file (its address), content; roots: site, file.
+
+    The frontier starts with the roots; each round follows the children that the frontier's indexes
+    list, on the site's own domain and without those that hold no pages, and leaves out files visited
+    before, so circles end. A file listed but not landed is visited and gives no rows.
+    """
+    entries = cut_lineage(sitemap_entries(files))
+    inside = entries.filter("kind = 'index'")
+    own = domain_of(F.col("url")) == F.col("site")
+    edges = cut_lineage(
+        child_sitemaps(inside.filter(own)).select("site", "file", F.col("url").alias("child")).distinct()
+    )
+    frontier = cut_lineage(roots.select("site", "file").distinct())
+    visited = frontier
+    while True:
+        found = frontier.join(edges, ["site", "file"]).select("site", F.col("child").alias("file")).distinct()
+        frontier = cut_lineage(found.join(visited, ["site", "file"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return entries.filter("kind = 'urlset'").drop("kind").join(visited, ["site", "file"], "left_semi")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.numeric import token_cost
@@ -297,6 +300,71 @@ def sitemap_xml(spark, d):
     return sitemaps.sitemap_entries(files).select("site", "url", "lastmod")
 
 
+def _sitemap_files(spark, d) -> DataFrame:
+    """A tree of landed files per site: page lists of 64 pages at most, every second one packed, two
+    indexes over them, a root index over these. The second index lists itself and the root again, and a
+    list of images; every fifth page list is listed nowhere."""
+    leaf = F.floor(F.col("pos") / 64)
+    base = F.concat(F.lit("https://"), "site", F.lit("/"))
+    safe = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    entry = F.concat(F.lit("<url><loc>"), safe, F.lit("</loc><lastmod>"), "lastmod", F.lit("</lastmod></url>"))
+    lists = (
+        v.sitemap(spark, d)
+        .groupBy("site", leaf.alias("leaf"))
+        .agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("content"))
+        .select("site", "leaf", F.concat(base, F.lit("page-sitemap-"), F.col("leaf").cast("string"), F.lit(".xml")).alias("file"), "content")
+    )
+
+    @F.pandas_udf("binary")
+    def packed(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: gzip.compress(x.encode()))
+
+    landed = lists.select(
+        "site", "file", F.when(F.col("leaf") % 2 == 1, packed("content")).otherwise(F.col("content").cast("binary")).alias("bytes")
+    )
+
+    def index(children) -> Column:
+        locs = F.transform(children, lambda c: F.concat(F.lit("<sitemap><loc>"), c, F.lit("</loc></sitemap>")))
+        return F.concat(F.lit("<sitemapindex>"), F.array_join(locs, ""), F.lit("</sitemapindex>")).cast("binary")
+
+    name = lambda n: F.concat(base, F.lit("index-"), n.cast("string"), F.lit(".xml"))
+    half = F.col("leaf") % 2
+    extra = F.when(
+        half == 1, F.array(name(F.lit(1)), F.concat(base, F.lit("sitemap.xml")), F.concat(base, F.lit("image-sitemap.xml")))
+    ).otherwise(F.array().cast("array<string>"))
+    middle = (
+        lists.filter("leaf % 5 < 4")
+        .groupBy("site", half.alias("leaf"))
+        .agg(F.collect_list("file").alias("children"))
+        .select("site", name(half).alias("file"), index(F.concat("children", extra)).alias("bytes"))
+    )
+    roots = lists.select("site").distinct().select(
+        "site", F.concat(base, F.lit("sitemap.xml")).alias("file"), index(F.array(name(F.lit(0)), name(F.lit(1)))).alias("bytes")
+    )
+    return landed.unionByName(middle).unionByName(roots)
+
+
+@query(
+    "sitemap_tree",
+    sql("sitemap", body="SELECT site, url, lastmod FROM sitemap WHERE (pos // 64) % 5 < 4"),
+)
+def sitemap_tree(spark, d):
+    files = _sitemap_files(spark, d)
+    roots = files.filter(F.endswith("file", F.lit("/sitemap.xml"))).select("site", "file")
+    texts = files.select("site", "file", sitemaps.unpack(F.col("bytes")).alias("content"))
+    return sitemaps.reachable_entries(texts, roots).select("site", "url", "lastmod")
+
+
+@query("sitemap_files", sql("sitemap", body="SELECT url, lastmod FROM sitemap"))
+def sitemap_files(spark, d):
+    """The page lists written as files and read by the XML source."""
+    path = scratch_path(spark, "sitemaps")
+    files = _sitemap_files(spark, d).filter(F.contains("file", F.lit("page-sitemap")))
+    texts = files.select(sitemaps.unpack(F.col("bytes")).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return sitemaps.read_sitemap_files(spark, path)
+
+
 @query("rank_list_csv", sql("site_ranks", body="SELECT domain, CAST(rank AS INTEGER) AS rank FROM site_ranks"))
 def rank_list_csv(spark, d):
     """The rank list written as CSV with duplicates in other case and worse rank, read back."""

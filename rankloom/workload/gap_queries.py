@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom import fixed_values as fv
 from rankloom.functions import labels
 from rankloom.operators import candidates, clusters, demand, gap, notes, ranks, snapshot
+from rankloom.operators.listing import write_listing
+from rankloom.operators.passes import merge_passes, refresh
 from rankloom.plans import keyword_gap as kg
 from rankloom.plans.snapshot import site_snapshot
+from rankloom.session import cut_lineage
 from rankloom.settings import GapSettings, SnapshotSettings
 from rankloom.sources import sinks
 from rankloom.workload import views as v
@@ -270,8 +273,57 @@ _FILTERED = gap.GapFilter(
 )
 def gap_table_page(spark, d):
     rows = gap.filter_rows(gap_result(spark, d).rows, _FILTERED)
-    return gap.sorted_page(rows, "lift", True, page=1).select(
-        "run_id", "keyword", "proof", "traffic_lift", "difficulty"
+    table = write_listing(rows, gap.table_order("lift", True))
+    return table.page(1).select("run_id", "keyword", "proof", "traffic_lift", "difficulty")
+
+
+@query(
+    "listing_page",
+    sql(
+        "listing",
+        body="""SELECT run_id, keyword, position, coalesce(searches, 0) AS searches,
+          CAST(row_number() OVER (ORDER BY run_id, position NULLS LAST, coalesce(searches, 0) DESC, keyword) AS BIGINT) AS place
+        FROM listing QUALIFY place > 75 AND place <= 100""",
+    ),
+)
+def listing_page(spark, d):
+    """The page after the 75th row of our sites' keywords, in their listing order."""
+    rows = snap(spark, d).keywords
+    table = write_listing(rows, [F.col("run_id").asc(), *snapshot.listing_order()])
+    return table.after(75).select(
+        "run_id", "keyword", "position", F.coalesce("searches", F.lit(0)).alias("searches"), "place"
+    )
+
+
+def _second_pass_runs() -> Column:
+    return F.regexp_extract("run_id", r"(\d)$", 1).cast("int") % 2 == 0
+
+
+@query(
+    "merged_passes",
+    sql(
+        "gap",
+        body="""SELECT run_id, keyword, CASE WHEN kw_ord % 3 < 2 THEN 1 ELSE 2 END AS pass, proof,
+          array_to_string(categories, ';') AS categories FROM gap
+        WHERE kw_ord % 3 < 2 OR CAST(right(run_id, 1) AS INTEGER) % 2 = 0""",
+    ),
+)
+def merged_passes(spark, d):
+    """Keywords of two passes, the first one's rows before the second's, and the gap of the runs that the
+    second pass adds to computed again."""
+    kw, serp, sites, strengths = inputs(spark, d)
+    first = kw.filter("ord % 3 < 2")
+    second = kw.filter("ord % 3 >= 1").filter(_second_pass_runs())
+    merged = cut_lineage(merge_passes([first, second], ["run_id", "keyword"]))
+
+    def rows(*parts: DataFrame) -> DataFrame:
+        return kg.keyword_gap(*parts, GapSettings()).rows.select("run_id", "keyword", "proof", "categories")
+
+    before = rows(first, serp, sites, strengths)
+    added = merged.filter(F.col("pass") > 1)
+    after = refresh(before, [merged.drop("pass"), serp, sites, strengths], added, rows)
+    return after.join(merged.select("run_id", "keyword", "pass"), ["run_id", "keyword"]).select(
+        "run_id", "keyword", "pass", "proof", F.array_join("categories", ";").alias("categories")
     )
 
 
