@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from rankloom.workload import (  # noqa: F401
+    discovery_queries,
     feed_queries,
     gap_queries,
     research_queries,

@@ -11,12 +11,10 @@ from rankloom.functions.numeric import cosine
 from rankloom.functions.numeric import saturation as saturated
 from rankloom.operators import candidates as cd
 from rankloom.operators import clusters, competitors, coverage, demand, phrases
-from rankloom.operators.ranks import competitor_ranks, with_positions
 from rankloom.plans import discovery as disc
 from rankloom.session import cut_lineage, spread
 from rankloom.settings import GapSettings
 from rankloom.workload import views as v
-from rankloom.workload.gap_queries import measured
 from rankloom.workload.registry import query
 from rankloom.workload.views_sql import (
     S,
@@ -65,7 +63,7 @@ def raw_phrases(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_RAW = """raw AS (SELECT p_brand AS run_id,
+RAW_SQL = """raw AS (SELECT p_brand AS run_id,
   p_name || ' ' || CASE WHEN p_size % 2 = 0 THEN 'for' ELSE 'the' END || ' ' || p_type AS phrase,
   CASE WHEN p_size % 3 = 0 THEN 'page alternative' ELSE 'page' END AS source,
   's' || (p_partkey % 5) || '.example.com' AS domain, 'https://x/' || p_partkey AS url,
@@ -74,7 +72,7 @@ _RAW = """raw AS (SELECT p_brand AS run_id,
 
 @query(
     "variant_merge",
-    f"""WITH {_RAW}, k AS (SELECT *, {variant_key('phrase')} AS variant_key FROM raw),
+    f"""WITH {RAW_SQL}, k AS (SELECT *, {variant_key('phrase')} AS variant_key FROM raw),
     src AS (SELECT run_id, variant_key, source, min(ord) AS o FROM k GROUP BY 1, 2, 3),
     pg AS (SELECT run_id, variant_key, domain, arg_min(url, ord) AS url, min(ord) AS o
       FROM k GROUP BY 1, 2, 3)
@@ -731,18 +729,6 @@ def discovered(spark, d) -> disc.Discovery:
     )
 
 
-@query("discovery_picked")
-def discovery_picked(spark, d):
-    return discovered(spark, d).picked.select(
-        "run_id", "picked", "keyword", "searches", "autocomplete", "fit"
-    )
-
-
-@query("discovery_counts")
-def discovery_counts(spark, d):
-    return discovered(spark, d).counts
-
-
 @query(
     "brand_marks",
     sql(
@@ -775,31 +761,9 @@ def brand_marks(spark, d):
     return cd.mark_brands(kw, tokens, GapSettings())[0]
 
 
-@query("second_pass")
-def second_pass(spark, d):
-    s = GapSettings()
-    kw = measured(spark, d)
-    placed = with_positions(kw, v.shared_serp(spark, d), v.run_domains(spark, d), s)
-    rankings = placed.select(
-        "run_id", "keyword", "ord", competitor_ranks(F.col("sites")).alias("proven")
-    )
-    related = kw.select(
-        "run_id",
-        "keyword",
-        F.posexplode(
-            F.array(F.concat("keyword", F.lit(" parts")), F.concat(F.lit("buy "), "keyword"))
-        ).alias("pos", "query"),
-    )
-    fresh = related.select(tx.clean_phrase(F.col("query")).alias("keyword")).distinct()
-    volumes = fresh.select("keyword", (F.length("keyword") * 7 % 30).alias("searches"))
-    found = discovered(spark, d)
-    picked = disc.second_pass(related, rankings, found, volumes, None, None, s)
-    return picked.select("run_id", "picked", "keyword", "searches")
-
-
 @query(
     "known_phrases_anti",
-    f"""WITH {_RAW}, k AS (SELECT DISTINCT run_id, {variant_key('phrase')} AS variant_key, ord FROM raw)
+    f"""WITH {RAW_SQL}, k AS (SELECT DISTINCT run_id, {variant_key('phrase')} AS variant_key, ord FROM raw)
     SELECT DISTINCT run_id, variant_key FROM k a WHERE ord % 2 = 0 AND NOT EXISTS (
       SELECT 1 FROM k b WHERE b.run_id = a.run_id AND b.variant_key = a.variant_key AND b.ord % 2 = 1)""",
 )

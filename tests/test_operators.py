@@ -2,7 +2,6 @@ import math
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import candidates, clusters, competitors, coverage, gap, phrases, ranks, sampling
