@@ -47,7 +47,8 @@ def decontaminate(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_words, hit_words (positions from 0), items (ids whose windows
-    occur, sorted as strings), contaminated."""
+    occur, sorted as strings), contaminated, and tag (xxhash64 of the text), which tells rows apart
+    that share a doc_id or have none."""
     texts = documents(docs).withColumn("tag", F.xxhash64("text"))
     suite = items.select(
         items[f"`{item_col}`"].cast("string").alias("item"),
@@ -79,7 +80,7 @@ def decontaminate(
         same = F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("tag") == F.col("row_tag"))
         merged = rows.join(once, same)
     return merged.select(
-        "doc_id", "n_words", "hit_words", "items", (F.size("hit_words") > 0).alias("contaminated")
+        "doc_id", "n_words", "hit_words", "items", (F.size("hit_words") > 0).alias("contaminated"), "tag"
     )
 
 
