@@ -6,8 +6,9 @@
 4. secret scans: secrets are masked in the text
 5. best-fit packing: the remaining texts as token sequences
 
-Every stage but the last returns the columns of the documents it is given. Rows without a doc_id
-pass the near-duplicate and decontamination stages.
+Every stage but the last returns the columns of the documents it is given. Rows that share a doc_id are
+one document to the near-duplicate stage: they stay or go together, fully equal rows too; rows without
+a doc_id pass it. Decontamination judges every row by its own text, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("gone"))
-    return docs.join(hit, docs["doc_id"] == F.col("gone"), "left_anti")
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_text"))
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("gone")) & (text == F.col("gone_text")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
