@@ -17,7 +17,7 @@ from rankloom.streaming import demand as stream_demand
 from rankloom.streaming import first_answer
 from rankloom.workload import views as v
 from rankloom.workload.registry import query
-from rankloom.workload.views_sql import T, rounded, sql
+from rankloom.workload.views_sql import T, rounded, sql, width_sql
 
 
 def answer_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -628,24 +628,31 @@ def drafts(spark, d) -> DataFrame:
     )
 
 
+_DRAFT = rf"""l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents),
+whole AS (SELECT doc_id, l, coalesce(l[1], '') AS h1, greatest(len(l) - 1, 0) AS sections, array_to_string(
+    list_filter([coalesce(l[1], ''), 'Read [ADD: price] now']
+      || flatten(list_transform(l[2:], lambda x: ['Part', x])) || ['q', 'a'], lambda p: p <> ''), chr(10)) AS text FROM l),
+d AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n,
+    len(regexp_extract_all(regexp_replace(lower(text), '[^\pL\pN\pM_]+', '  ', 'g'), '(?:^| )the(?: |$)')) AS uses,
+    list_filter(regexp_split_to_array(h1 || ' Read [ADD: price] now', '\s+'), lambda x: x <> '')[:100] AS opening FROM whole)"""
+
+
 @query(
     "draft_checks",
-    """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)),
-      lambda x: trim(x, ' ') <> '') AS l FROM documents)
-    SELECT doc_id AS run_id, 'Clear section structure' AS label,
-      greatest(len(l) - 1, 0) BETWEEN 3 AND 8 AS ok,
-      greatest(len(l) - 1, 0) || ' sections' AS detail FROM l
-    UNION ALL SELECT doc_id, 'Main search phrase in the H1', contains(lower(coalesce(l[1], '')), 'the'),
-      '' FROM l
-    UNION ALL SELECT doc_id, 'FAQ answers searcher questions', FALSE, '1 questions' FROM l
-    UNION ALL SELECT doc_id, 'Facts to fill in', FALSE, '1 placeholder(s) marked [ADD: …]' FROM l""",
+    f"""WITH {_DRAFT}
+    SELECT doc_id AS run_id, 'Main search phrase in the H1' AS label, contains(lower(h1), 'the') AS ok, '' AS detail FROM d
+    UNION ALL SELECT doc_id, 'Main phrase in the first 100 words',
+      contains(lower(array_to_string(opening, ' ')), 'the'), '' FROM d
+    UNION ALL SELECT doc_id, 'No keyword stuffing', 100e0 * uses / greatest(n, 1) <= {T.draft_density},
+      'phrase used ' || uses || '× (' || printf('%.1f', round_even(100e0 * uses / greatest(n, 1), 1)) || ' per 100 words)' FROM d
+    UNION ALL SELECT doc_id, 'Right length to compete', n BETWEEN {T.draft_min_words} AND {T.draft_max_words} * 1.2,
+      n || ' words (aim for {T.draft_min_words} to {T.draft_max_words})' FROM d
+    UNION ALL SELECT doc_id, 'Clear section structure', sections BETWEEN 3 AND 8, sections || ' sections' FROM d
+    UNION ALL SELECT doc_id, 'FAQ answers searcher questions', FALSE, '1 questions' FROM d
+    UNION ALL SELECT doc_id, 'Facts to fill in', FALSE, '1 placeholder(s) marked [ADD: …]' FROM d""",
 )
 def draft_checks(spark, d):
-    shown = (
-        "Clear section structure", "Main search phrase in the H1",
-        "FAQ answers searcher questions", "Facts to fill in",
-    )
-    return brief.draft_checks(drafts(spark, d), T).filter(F.col("label").isin(*shown))
+    return brief.draft_checks(drafts(spark, d), T)
 
 
 @query(
@@ -674,7 +681,38 @@ def _titles(spark, d) -> DataFrame:
     )
 
 
-@query("title_choices")
+_TITLED = f"""
+, t AS (SELECT run_id, ord AS pos, keyword AS phrase,
+    array_to_string(list_transform(string_split(keyword, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
+      || ' for busy teams and shops' AS title,
+    trim(repeat(keyword || ' ', CAST(ord % 8 AS INTEGER))) AS description FROM keywords),
+s AS (SELECT *, CAST(ceil({width_sql('title')} * {T.title_font} / 1000.0) AS INTEGER) AS px,
+    length(title) >= {T.title_chars} AS long_enough,
+    length(description) BETWEEN {T.description_min} AND {T.description_max} AS description_ok,
+    contains(lower(title), lower(phrase)) AS in_title, starts_with(lower(title), lower(phrase)) AS first,
+    contains(lower(description[:{T.description_payoff}]), lower(phrase)) AS payoff FROM t),
+judged AS (SELECT *, long_enough AND px <= {T.title_px} AS title_ok,
+    long_enough AND px <= {T.title_px} AND description_ok AND in_title AS passed,
+    array_to_string(list_filter([
+      CASE WHEN px > {T.title_px} THEN 'title is ' || px || 'px, over {T.title_px}px; Google will truncate it' END,
+      CASE WHEN NOT long_enough THEN 'title is ' || length(title) || ' chars, under {T.title_chars}; room left unused' END,
+      CASE WHEN length(description) > {T.description_max} THEN 'description is ' || length(description)
+        || ' chars, over {T.description_max}' END,
+      CASE WHEN length(description) < {T.description_min} THEN 'description is ' || length(description)
+        || ' chars, under {T.description_min}' END,
+      CASE WHEN NOT in_title THEN 'phrase ''' || phrase || ''' not in title' END,
+      CASE WHEN in_title AND NOT first THEN 'phrase ''' || phrase || ''' is not at the start of the title' END,
+      CASE WHEN NOT payoff THEN 'phrase ''' || phrase || ''' not in first {T.description_payoff} chars of description' END],
+      lambda x: x IS NOT NULL), '; ') AS reasons FROM s),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CAST(NOT passed AS INTEGER), pos) AS INTEGER) AS place
+  FROM judged)
+"""
+
+
+@query(
+    "title_choices",
+    sql("keywords", body=_TITLED + "SELECT run_id, place, title, passed, reasons FROM ranked WHERE place <= 3"),
+)
 def title_choices(spark, d):
     rows = brief.title_choices(_titles(spark, d), T)
     return rows.select(
@@ -683,7 +721,18 @@ def title_choices(spark, d):
     )
 
 
-@query("brief_checklist")
+@query(
+    "brief_checklist",
+    sql(
+        "keywords",
+        body=_TITLED + """SELECT run_id, in_title AS phrase_in_title, first AS phrase_first_in_title,
+          title_ok AS title_width_ok, description_ok AS description_length_ok,
+          payoff AS phrase_in_description_payoff, in_title AS phrase_in_h1, TRUE AS intent_matches, TRUE AS no_stuffing,
+          CAST(in_title AS INTEGER) + CAST(first AS INTEGER) + CAST(title_ok AS INTEGER) + CAST(description_ok AS INTEGER)
+            + CAST(payoff AS INTEGER) + CAST(in_title AS INTEGER) + 2 AS passed
+        FROM ranked WHERE place = 1""",
+    ),
+)
 def brief_checklist(spark, d):
     best = brief.title_choices(_titles(spark, d), T).filter("place = 1")
     return brief.brief_checklist(

@@ -30,6 +30,7 @@ from rankloom.workload.views_sql import (
     query_part,
     sql,
     url_key,
+    width_sql,
 )
 
 
@@ -388,20 +389,11 @@ def site_links(spark, d):
     )
 
 
-def _width_sql(text: str) -> str:
-    table = ", ".join(f"{lit(c)}: {w}" for c, w in fv.CHAR_WIDTHS.items())
-    return (
-        f"list_sum(list_transform(string_split({text}, ''), lambda c: "
-        f"coalesce((MAP {{{table}}})[c], CASE WHEN unicode(c) >= {fv.WIDE_CHAR_FROM} "
-        f"THEN {fv.WIDE_CHAR_WIDTH} ELSE {fv.DEFAULT_CHAR_WIDTH} END)))"
-    )
-
-
 @query(
     "title_check",
     f"""WITH t AS (SELECT page_id,
       trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title FROM pages),
-    w AS (SELECT *, CAST(ceil({_width_sql('title')} * 20 / 1000.0) AS INTEGER) AS px FROM t)
+    w AS (SELECT *, CAST(ceil({width_sql('title')} * 20 / 1000.0) AS INTEGER) AS px FROM t)
     SELECT page_id, px AS title_px, CAST(length(title) AS INTEGER) AS title_chars,
       length(title) >= {T.title_chars} AND px <= {T.title_px} AS title_ok,
       array_to_string(list_filter([
@@ -507,7 +499,7 @@ WITH b AS (SELECT s_suppkey AS k, 's' || s_suppkey || '.example.com' AS domain,
   s_suppkey % 4 AS style FROM supplier),
 t AS (SELECT *, trim(repeat('Site title ', CAST(k % 6 AS INTEGER))) AS title,
   trim(repeat('Ten chars ', CAST(k % 20 AS INTEGER))) AS txt FROM b),
-w AS (SELECT *, CAST(ceil(coalesce({_width_sql('title')}, 0) * 20 / 1000.0) AS INTEGER) AS px FROM t),
+w AS (SELECT *, CAST(ceil(coalesce({width_sql('title')}, 0) * 20 / 1000.0) AS INTEGER) AS px FROM t),
 c AS (SELECT *, k % 13 > 0 AS read FROM w)
 SELECT domain, 'https' AS key, CASE WHEN style = 3 THEN 'unknown' ELSE 'pass' END AS status FROM c
 UNION ALL SELECT domain, 'http_redirect', CASE WHEN style IN (1, 3) THEN 'fail' ELSE 'pass' END FROM c

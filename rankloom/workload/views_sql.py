@@ -114,6 +114,15 @@ def variant_key(text: str) -> str:
     return f"coalesce(nullif({joined}, ''), {text})"
 
 
+def width_sql(text: str) -> str:
+    table = ", ".join(f"{lit(c)}: {w}" for c, w in fv.CHAR_WIDTHS.items())
+    return (
+        f"list_sum(list_transform(string_split({text}, ''), lambda c: "
+        f"coalesce((MAP {{{table}}})[c], CASE WHEN unicode(c) >= {fv.WIDE_CHAR_FROM} "
+        f"THEN {fv.WIDE_CHAR_WIDTH} ELSE {fv.DEFAULT_CHAR_WIDTH} END)))"
+    )
+
+
 def squeeze(text: str) -> str:
     return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
 
