@@ -88,3 +88,12 @@ def test_near_duplicate_stage_takes_four_fifths(spark):
     want = near_duplicate_classes(docs, percent=80)
     assert got == {d for d, _ in docs if want[d][1] == d}
     assert got != {d for d, (_, c) in near_duplicate_classes(docs).items() if c == d}
+
+
+def test_decontamination_judges_each_row_by_its_own_text(spark, folder):
+    path, _, items = folder
+    hit, clean = "before " + items[0][1] + " after", "nothing of the kind here"
+    rows = [(None, hit), (None, clean), (7, hit), (7, clean), (8, clean), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.decontamination(spark, docs, path).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if r[1] != hit], key=str)
