@@ -199,11 +199,6 @@ def passages(spark, d):
     return phrases.page_passages(docs(spark, d), T)
 
 
-@query("page_phrases_mmr")
-def page_phrases_mmr(spark, d):
-    return phrases.page_phrases(docs(spark, d), T)
-
-
 def line_passages(spark, d) -> DataFrame:
     """Non-empty lines of the documents as landed passages."""
     return (
