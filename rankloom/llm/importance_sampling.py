@@ -1,6 +1,6 @@
 """Importance resampling towards a target: draw the documents most like the benchmark.
 
-Features are all runs of 1 to GRAMS words, hashed into `buckets` by crc32. One 256-byte table lower-cases
+Features are all runs of 1 to 3 words, hashed into `buckets` by crc32. One 256-byte table lower-cases
 A-Z and turns every separator into a space, which works on UTF-8 as it is (bytes beyond ASCII are
 letters); `bytes.split` then yields words. The checksum of a longer run continues that of the run
 before (`crc32(b" " + word, seed)`), so no run is ever joined. Counters hold a task's bucket counts,
