@@ -11,6 +11,7 @@ from rankloom.functions.numeric import cosine
 from rankloom.functions.numeric import saturation as saturated
 from rankloom.operators import candidates as cd
 from rankloom.operators import clusters, competitors, coverage, demand, phrases
+from rankloom.operators.listing import write_listing
 from rankloom.plans import discovery as disc
 from rankloom.session import cut_lineage, spread
 from rankloom.settings import GapSettings
@@ -309,6 +310,18 @@ def key_topics(spark, d):
     return coverage.key_topics(_counts(spark, d)[0])
 
 
+@query(
+    "topic_listing",
+    f"""WITH {_COVER} SELECT run_id, topic, bucket, covered_by, ours_passages, row_number() OVER (ORDER BY run_id,
+      CASE bucket WHEN 'must' THEN 0 WHEN 'worth' THEN 1 WHEN 'rare' THEN 2 ELSE 3 END,
+      ours_passages > 0, covered_by DESC, topic) AS place FROM counts QUALIFY place > 50 AND place <= 75""",
+)
+def topic_listing(spark, d):
+    """The third page of all runs' topics, in the order they are shown."""
+    table = write_listing(_counts(spark, d)[0], [F.col("run_id").asc(), *coverage.listing_order()])
+    return table.page(2).select("run_id", "topic", "bucket", "covered_by", "ours_passages", "place")
+
+
 @query(
     "stuffing",
     f"""WITH {_COVER}, pages AS (SELECT source AS run_id, doc_id AS page FROM documents),
