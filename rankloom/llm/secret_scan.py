@@ -5,8 +5,8 @@ hexadecimal run). The field tags tokens as begin, inside or outside of a secret
 the words and marks around them and features of the file, decoded by Viterbi; a span it finds is
 added if it touches no base span.
 
-The field is fitted on at most `sample` documents with base spans and as many without (those with
-the smallest hash of their text, so the choice does not depend on partitioning): base spans are its
+The field is fitted on at most `sample` distinct texts with base spans and as many without (those with
+the smallest hash, so the choice does not depend on partitioning or copies): base spans are its
 labels, and half of the windows around them have the neighbouring words hidden, so that it learns the
 shape of secrets and not only the patterns. Everything else reads every document whole.
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rankloom.llm.common import documents, map_batches, rewrite_texts
 from rankloom.llm.crf import BEGIN, INSIDE, Crf
@@ -29,6 +30,8 @@ from rankloom.llm.text_arrays import LOWER, Words, pieces, span_hashes, split_wo
 
 SAMPLE = 1500
 REACH = 10  # tokens on either side of a window's middle
+STEP_BITS = 4  # bits of a hash, below its highest, that tell one step of its size from the next
+STEPS = 64 << STEP_BITS
 
 KINDS = ("assign", "access", "hex", "crf")
 # fixed values: the base patterns
@@ -223,48 +226,52 @@ def _add(found: list[list], words: Words, tags: np.ndarray, offsets: np.ndarray)
 
 
 def _fitted(source: DataFrame, sample: int) -> Crf | None:
-    """The field fitted on windows of the sampled documents, or None without a base span."""
+    """The field fitted on windows of the sampled documents, or None without a base span.
+
+    One pass counts the distinct texts of either kind by the size of their hash; from the counts (at
+    most 2 * STEPS rows, whatever the input) follows a bound on the hash that at least `sample` texts
+    keep. A second pass looks only at texts below it and sends their windows, about `sample` of a kind."""
+    bounds = _hash_bounds(source, sample)
+    if bounds[True] is None:
+        return None
     width = 2 * REACH + 1
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        for lo, hi, data, offsets in pieces(batch.column("text")):
-            found = base_spans(data, offsets)
-            keep = _text_numbers(data, offsets)
-            chosen = [d for d in range(hi - lo) if offsets[d + 1] > offsets[d]]
-            some = [d for d in chosen if found[d]]
-            none = sorted((d for d in chosen if not found[d]), key=lambda d: keep[d])[:sample]
+        for _, _, data, offsets in pieces(batch.column("text")):
             rows = {"hash": [], "positive": [], "features": [], "tags": []}
+            hashes = _text_numbers(data, offsets)
+            below = {k: np.zeros(len(hashes), bool) if x is None else hashes <= x for k, x in bounds.items()}
+            near = np.flatnonzero((below[True] | below[False]) & _has_token(data, offsets))
+            data, offsets = _of_documents(data, offsets, near)
+            found = base_spans(data, offsets)
+            chosen = [d for d in range(len(near)) if below[bool(found[d])][near[d]]]
+            data, offsets = _of_documents(data, offsets, np.array(chosen, np.int64))
             words, features = token_features(data, offsets)
-            for d in some + none:
+            found = base_spans(data, offsets)
+            for d, key in enumerate(hashes[near[chosen]].tolist()):
                 a, b = int(words.first[d]), int(words.first[d + 1])
-                if a == b:
-                    continue
                 tags = _gold(found[d], words, a, b)
                 marked = np.flatnonzero(tags)
                 if len(marked):
-                    middle = int(marked[keep[d] % len(marked)])
+                    middle = int(marked[key % len(marked)])
                 else:  # the token that looks most like a secret
                     own = features[a:b]
-                    middle = int(np.argmax(own[:, 0].astype(np.int64) * 8 + own[:, 1] + own[:, 4] + (keep[d] % 5 == 0) * np.arange(b - a)))
+                    middle = int(np.argmax(own[:, 0].astype(np.int64) * 8 + own[:, 1] + own[:, 4] + (key % 5 == 0) * np.arange(b - a)))
                 index = np.arange(middle - REACH, middle + REACH + 1)
                 inside = (index >= 0) & (index < b - a)
                 window = np.zeros((width, len(GROUPS)), np.int16)
                 window[inside] = features[a + index[inside]]
                 gold = np.zeros(width, np.int16)
                 gold[inside] = tags[index[inside]]
-                rows["hash"].append(int(keep[d]))
-                rows["positive"].append(bool(len(marked)))
+                rows["hash"].append(key)
+                rows["positive"].append(bool(found[d]))
                 rows["features"].append(window.tobytes())
                 rows["tags"].append(gold.tobytes())
             yield rows
 
-    rows = map_batches(source, step, "hash long, positive boolean, features binary, tags binary")
-    order = ["hash", "features", "tags"]
-    positive = rows.filter("positive").orderBy(*order).limit(sample).collect()
-    if not positive:
-        return None
-    negative = rows.filter("NOT positive").orderBy(*order).limit(sample).collect()
-    both = [*positive, *negative]
+    windows = map_batches(source.select("text"), step, "hash long, positive boolean, features binary, tags binary").distinct()
+    listed = sorted(windows.collect(), key=lambda r: (r["hash"], r["features"], r["tags"]))
+    both = [r for kind in (True, False) for r in [x for x in listed if x["positive"] == kind][:sample]]
     features = np.stack([np.frombuffer(r["features"], np.int16).reshape(width, len(GROUPS)) for r in both]).copy()
     tags = np.stack([np.frombuffer(r["tags"], np.int16) for r in both]).astype(np.int64)
     hidden = np.array([r["hash"] % 2 == 0 for r in both])
@@ -273,6 +280,48 @@ def _fitted(source: DataFrame, sample: int) -> Crf | None:
     return Crf.zero(GROUPS).fit(features, tags)
 
 
+def _hash_bounds(source: DataFrame, sample: int) -> dict[bool, int | None]:
+    """For texts with base spans and those without, a hash that at least `sample` distinct texts (or all)
+    do not exceed; None without any. Steps grow with the hash, each a sixteenth of its power of two, so
+    about `sample` texts, and at most some tenths more, lie below the bound at any size of the input."""
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        for _, _, data, offsets in pieces(batch.column("text")):
+            own = np.flatnonzero(_has_token(data, offsets))
+            positive = np.array([bool(x) for x in base_spans(data, offsets)], bool)
+            pairs = np.unique(np.stack([_text_numbers(data, offsets)[own], positive[own].astype(np.int64)], axis=1), axis=0)
+            yield {"hash": pairs[:, 0], "positive": pairs[:, 1].astype(bool)}
+
+    texts = map_batches(source.select("text"), step, "hash long, positive boolean").distinct()
+    power = F.greatest(F.length(F.bin("hash")) - STEP_BITS - 1, F.lit(0))
+    counts = (
+        texts.withColumn("power", power.cast("int"))
+        .withColumn("top", F.expr("shiftleft(shiftright(hash, power), power) + (shiftleft(1L, power) - 1)"))
+        .groupBy("positive", "top")
+        .agg(F.count("*").alias("n"))
+    )
+    rows = sorted((r["top"], r["positive"], r["n"]) for r in counts.collect())  # at most 2 * STEPS
+    bounds: dict[bool, int | None] = {True: None, False: None}
+    have = {True: 0, False: 0}
+    for top, positive, n in rows:
+        if have[positive] < sample:
+            have[positive] += n
+            bounds[positive] = top
+    return bounds
+
+
+def _has_token(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(TOKEN[data])])
+    return total[offsets[1:]] > total[offsets[:-1]]
+
+
+def _of_documents(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of some of a piece's documents."""
+    parts = [data[offsets[d] : offsets[d + 1]] for d in chosen]
+    joined = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    return joined, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
 def _text_numbers(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A number per document from its text, which decides on sampling."""
     return (span_hashes(data, offsets[:-1], offsets[1:]) >> np.uint64(1)).astype(np.int64)

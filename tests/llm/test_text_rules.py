@@ -1,5 +1,6 @@
 """Quality rules, decontamination, secret scans and toxicity on small tables."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -8,7 +9,9 @@ import numpy as np
 import pytest
 from brute import WORDS, lowered
 
+from rankloom.llm import secret_scan as scan
 from rankloom.llm import toxicity as tox
+from rankloom.llm.crf import Crf
 from rankloom.llm.decontamination import decontaminate
 from rankloom.llm.quality_rules import SYMBOLS, cleaned_documents, quality_rules
 from rankloom.llm.secret_scan import redacted, redacted_documents, secret_spans
@@ -203,3 +206,48 @@ def test_every_form_of_disguise_is_restored(spark):
         assert len(doc) == len(hashes) == counts[0] + len(plain.split())
     for prose in ("the end. of it, well... 1 2 3 and 2024", "--flag and word- or *so*"):
         assert not [m[0] for m in tox.DISGUISED.finditer(prose) if tox.PLAIN.search(m[0])]
+
+
+def test_field_equals_enumeration():
+    rng = np.random.default_rng(4)
+    for length in (1, 2, 5):
+        model = Crf([rng.normal(size=(4, 3)), rng.normal(size=(3, 3))], rng.normal(size=(3, 3)))
+        features = np.stack([rng.integers(0, 4, (3, length)), rng.integers(0, 3, (3, length))], axis=2)
+        scores = model.emissions(features)
+        paths = list(itertools.product(range(3), repeat=length))
+        node, edge = np.zeros_like(scores), np.zeros((3, 3))
+        for chain in range(3):
+            value = []
+            for path in paths:
+                walk = (0, *path, 0)
+                moves = sum(model.moves[x, y] for x, y in itertools.pairwise(walk))
+                value.append(moves + sum(scores[chain, i, t] for i, t in enumerate(path)))
+            assert tuple(model._viterbi(scores[chain])) == paths[int(np.argmax(value))]
+            chance = np.exp(value) / np.exp(value).sum()
+            for path, p in zip(paths, chance, strict=True):
+                for i, t in enumerate(path):
+                    node[chain, i, t] += p
+                for x, y in itertools.pairwise((0, *path, 0)):
+                    edge[x, y] += p
+        seen = model._marginals(scores)
+        assert np.allclose(seen[0], node) and np.allclose(seen[1], edge)
+        joined = model.decode(scores.reshape(-1, 3), np.arange(4) * length)
+        assert joined.tolist() == [t for chain in scores for t in model._viterbi(chain)]
+
+
+def test_sample_of_the_field(spark):
+    texts = [f"text number {i} " + ("token=abcdef1" if i % 10 == 0 else "") for i in range(4000)] * 2 + ["same words"] * 3000 + ["", None, "  "]
+    source = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("0L AS doc_id", "coalesce(text, '') AS text")
+    for sample in (50, 300, 9000):
+        bounds = scan._hash_bounds(source, sample)
+        data = "".join(sorted(x for x in {*texts} if x and x.strip())).encode()
+        lengths = [len(x) for x in sorted(x for x in {*texts} if x and x.strip())]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        hashes = scan._text_numbers(np.frombuffer(data, np.uint8), offsets)
+        positive = np.array([bool(x) for x in scan.base_spans(np.frombuffer(data, np.uint8), offsets)])
+        for kind in (True, False):
+            below, every = int((hashes[positive == kind] <= bounds[kind]).sum()), int((positive == kind).sum())
+            assert min(sample, every) <= below <= min(every, 1.3 * sample + 20)
+    assert scan._hash_bounds(source.filter("text NOT LIKE '%token%'"), 9)[True] is None
+    one, other = scan._fitted(source, 300), scan._fitted(source.repartition(7).distinct(), 300)
+    assert all(np.array_equal(a, b) for a, b in zip(one.tables, other.tables, strict=True)), "neither copies nor partitions count"
