@@ -3,9 +3,15 @@
 Channel. Disguised stretches (letters with digits or marks among or beside them, spaced runs of single
 letters or marks, letters repeated three times or more), however long, become a character lattice: a mark
 may stand for letters it resembles, or for nothing, a repeated letter for one or two of it, and a space for
-nothing or the end of a word. Viterbi picks the path that a character
-trigram model, counted over all documents, together with the channel's costs finds likeliest. All
-other words are their own only reading and are taken as they are.
+nothing or the end of a word. One to three masking marks in a row may also stand for as many letters,
+whichever ones: any that the documents hold after the two letters before. Letters are the lower-case
+letters of the Latin, Greek and Cyrillic alphabets. Viterbi picks the path that the language model
+together with the channel's costs finds likeliest. All other words are their own only reading and are
+taken as they are.
+
+Language model. Character n-grams of up to ORDER letters within words, counted over all documents; each
+order backs off to the one below. Counts are kept by hash in SLOTS places an order, which bounds the
+broadcast whatever the input; the one of single letters is exact.
 
 Score. A word's weight is its smoothed log odds among toxic and clean labelled documents, learnt only
 from rows outside the held-out part, from at most `sample` labelled documents of either label (those
@@ -20,8 +26,10 @@ kinds every score is 0.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import cut_lineage, documents, map_batches
-from rankloom.llm.text_arrays import LOWER, U, Words, pieces, span_hashes, split_words
+from rankloom.llm.text_arrays import LOWER, U, mix, pieces, span_hashes, split_words
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -43,31 +51,52 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "", ".": "", "-": "", "_": "", "#": "",
 }
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+MASKS = "*#"  # marks that may hide any one letter
+MASK_RUN = 3  # marks in a row; in a longer row they only separate
+WILD = "?"
+LAST = 0x1F00  # code points from here on are no letters of a stretch
+LETTERS = "".join(c for c in map(chr, [*range(0x61, 0x530), *range(0x1E00, LAST)]) if c.isalpha() and c == c.lower())
 SWAP_COST, DROP_COST, LOSS_COST, DOUBLE_COST = 1.0, 1.5, 6.0, 1.0  # LOSS: dropping a mark that can be a letter
+MASK_COST = 1.0  # a letter behind a masking mark
 SPLIT_COST = 1.0  # a space that ends a word in a spaced run
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-PLAIN = re.compile("[a-z]")
+PLAIN = re.compile(f"[{LETTERS}]")
 DROPPED = "".join(c for c, x in LOOKALIKES.items() if not x)  # marks that stand for no letter
 _DROP = re.escape(DROPPED)
 _SWAP = re.escape("".join(c for c, x in LOOKALIKES.items() if x))
-_ANY = f"a-z{_SWAP}{_DROP}"
+_ANY = f"{LETTERS}{_SWAP}{_DROP}"
 DISGUISED = re.compile(
-    rf"(?<![a-z{_SWAP}])[a-z{_SWAP}](?:[ {_DROP}]{{1,3}}[a-z{_SWAP}]){{2,}}(?![a-z{_SWAP}])"  # one by one
-    rf"|(?<![{_ANY}])(?=[{_SWAP}{_DROP}]*[a-z])"  # a stretch of letters and marks, with a letter and
-    rf"(?=[a-z{_DROP}]*[{_SWAP}]"  # a mark that may be one,
-    rf"|[{_DROP}]*[a-z]+[{_DROP}]+[a-z]"  # or a mark inside,
-    rf"|[{_ANY}]*([a-z])\1\1)"  # or a letter three times
+    rf"(?<![{LETTERS}{_SWAP}])[{LETTERS}{_SWAP}](?:[ {_DROP}]{{1,3}}[{LETTERS}{_SWAP}]){{2,}}(?![{LETTERS}{_SWAP}])"  # one by one
+    rf"|(?<![{_ANY}])(?=[{_SWAP}{_DROP}]*[{LETTERS}])"  # a stretch of letters and marks, with a letter and
+    rf"(?=[{LETTERS}{_DROP}]*[{_SWAP}]"  # a mark that may be one,
+    rf"|[{_DROP}]*[{LETTERS}]+[{_DROP}]+[{LETTERS}]"  # or a mark inside,
+    rf"|[{_ANY}]*([{LETTERS}])\1\1)"  # or a letter three times
     rf"[{_ANY}]+"
 )
 
 
+ORDER = 4  # letters of the longest n-grams
+SLOTS = 1 << 20  # places of an order's counts
+BACKOFF = 4.0  # weight of the order below
+
+# code points as lower-case letters, marks and spaces; 0 for all else
+FOLD = np.zeros(LAST + 1, np.int64)
+for _c in range(LAST):
+    _low = chr(_c).lower()
+    if len(_low) == 1 and (_low in LETTERS or _low in LOOKALIKES or _low == " "):
+        FOLD[_c] = ord(_low)
+IS_LETTER, IS_SWAP, IS_DROP = (np.zeros(LAST + 1, bool) for _ in range(3))
+IS_LETTER[[ord(c) for c in LETTERS]] = True
+IS_SWAP[[ord(c) for c, x in LOOKALIKES.items() if x]] = True
+IS_DROP[[ord(c) for c in DROPPED]] = True
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 if score >= THRESHOLD)."""
     source = documents(docs)
-    model = Trigrams(_trigram_counts(source))
+    model = Grams(gram_counts(source))
     weights = _fitted(source, labels, model, sample)
     held = docs.sparkSession.sparkContext.broadcast((model, weights))
 
@@ -93,75 +122,133 @@ def held_out(doc_id: int | None) -> bool:
 # --- language model -------------------------------------------------------------------------------
 
 
-def _trigram_counts(source: DataFrame) -> np.ndarray:
-    """Counts of letter trigrams over the words of all documents, 27 x 27 x 27 with 0 as the word's edge."""
-    code = np.zeros(256, np.int32)
-    code[[ord(c) for c in LETTERS]] = np.arange(1, 27)
-
-    def step(batch: pa.RecordBatch):
-        total = np.zeros(27**3, np.int64)
-        for _, _, data, offsets in pieces(batch.column("text")):
-            # a document's end is an edge, as is everything that isn't a plain letter
-            c = np.insert(code[LOWER[data]], offsets, 0)
-            gram = (c[:-2] * 27 + c[1:-1]) * 27 + c[2:]
-            total += np.bincount(gram, minlength=27**3)
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A piece's code points through FOLD, and where its documents start."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return FOLD[np.minimum(points, LAST)], before[offsets]
+
+
+def gram_slots(grams: list[np.ndarray]) -> np.ndarray:
+    """The place of n-grams, given as arrays of their first, second, ... letters (0: the word's edge)."""
+    value = np.asarray(grams[0], np.int64)
+    for letter in grams[1:]:
+        value = (value << 13) | letter  # LAST takes 13 bits
+    if len(grams) == 1:
+        return value
+    return (mix(value.astype(U) + U(1)) >> U(44)).astype(np.int64)
+
+
+def gram_counts(source: DataFrame) -> np.ndarray:
+    """How often n-grams of 1 to ORDER letters occur in the words of all documents, edges included:
+    ORDER x SLOTS. Place 0 of the first order counts words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((ORDER, SLOTS), np.int64)
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column("text")):
+                codes, starts = folded(data, offsets)
+                c = np.insert(np.where(IS_LETTER[codes], codes, 0), starts, 0)  # a document's end is an edge
+                total[0] += np.bincount(c[c > 0], minlength=SLOTS)
+                total[0, 0] += np.count_nonzero((c[1:] == 0) & (c[:-1] > 0))
+                for k in range(2, ORDER + 1):
+                    grams = [c[i : len(c) - k + 1 + i] for i in range(k)]
+                    inner = np.logical_and.reduce([g > 0 for g in grams[1:-1]]) if k > 2 else (grams[0] > 0) | (grams[1] > 0)
+                    total[k - 1] += np.bincount(gram_slots([g[inner] for g in grams]), minlength=SLOTS)
         seen = np.flatnonzero(total)
-        return {"gram": seen, "n": total[seen]}
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total.ravel()[seen], pa.int64())], ["gram", "n"])
 
-    counts = np.zeros(27**3, np.int64)
-    rows = map_batches(source.select("text"), step, "gram int, n long").groupBy("gram").agg(F.sum("n"))
-    for gram, n in rows.collect():  # at most 27**3 rows
-        counts[gram] = n
-    return counts.reshape(27, 27, 27)
+    rows = source.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = np.zeros(ORDER * SLOTS, np.int64)
+    found = rows.toArrow()  # at most ORDER * SLOTS rows
+    counts[found.column("gram").to_numpy()] = found.column("n").to_numpy()
+    return counts.reshape(ORDER, SLOTS)
 
 
-class Trigrams:
-    """Character trigram model with add-one smoothing; costs are negative log probabilities."""
+class Grams:
+    """The language model; costs are negative log probabilities. A context is a tuple of up to
+    ORDER - 1 letters of the word so far, led by 0 while it reaches the word's start."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        smooth = counts + 1.0
-        self.cost = -np.log(smooth / smooth.sum(axis=2, keepdims=True))
+        self.counts = counts
+        self.letters = np.array([ord(c) for c in LETTERS])
+        self.letters = self.letters[counts[0][self.letters] > 0]
+        self.total = int(counts[0].sum()) + len(LETTERS) + 1
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, str] = {}
+        self.costs: dict[tuple, float] = {}
+        self.followers: dict[tuple, list[int]] = {}
+
+    def cost(self, context: tuple[int, ...], letter: int) -> float:
+        """Of a letter, or of the word's end (0), after a context."""
+        key = (*context, letter)
+        if key not in self.costs:
+            if len(self.costs) > 100_000:
+                self.costs.clear()
+            chance = (int(self.counts[0, letter]) + 1) / self.total
+            for k in range(2, len(key) + 1):
+                gram = key[-k:]
+                n, every = (int(self.counts[len(g) - 1, gram_slots([np.array([x]) for x in g])][0]) for g in (gram, gram[:-1]))
+                chance = (min(n, every) + BACKOFF * chance) / (every + BACKOFF)
+            self.costs[key] = -math.log(chance)
+        return self.costs[key]
+
+    def after(self, context: tuple[int, ...]) -> list[int]:
+        """Letters that the documents hold after the last two of a context."""
+        key = context[-2:]
+        if key not in self.followers:
+            slots = gram_slots([*(np.full(len(self.letters), x) for x in key), self.letters])
+            self.followers[key] = self.letters[self.counts[len(key), slots] > 0].tolist()
+        return self.followers[key]
 
     def restore(self, text: str) -> str:
         """The likeliest reading of a disguised stretch."""
         if text not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[text] = self._decode(text)
+            self.known[text] = self.decode(text)[0]
         return self.known[text]
 
-    def _decode(self, text: str) -> str:
-        states = {(0, 0): (0.0, None)}  # the last two letters -> cost and reading, as (reading before, letters)
+    def decode(self, text: str) -> tuple[str, float]:
+        """The likeliest reading and its cost, by Viterbi; words are joined by one space."""
+        states: dict[tuple, tuple[float, tuple | None]] = {(0,): (0.0, None)}  # context -> cost and reading
         for ways in lattice(text):
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (cost, read) in states.items():
-                for letters, price in ways:
-                    x, y, total = a, b, cost + price
-                    if letters == " ":
-                        if not b:  # no word to end
-                            continue
-                        total += self.cost[x, y, 0]
-                        x, y = 0, 0
-                    else:
-                        for c in letters:
-                            k = LETTERS.index(c) + 1
-                            total += self.cost[x, y, k]
-                            x, y = y, k
-                    best = after.get((x, y))
-                    if best is None or total < best[0]:
-                        after[(x, y)] = (total, (read, letters) if letters else read)
+            after: dict[tuple, tuple[float, tuple | None]] = {}
+            for letters, price in ways:
+                paths = {x: (cost + price, read) for x, (cost, read) in states.items()}
+                for letter in letters:
+                    paths = self._extended(paths, letter)
+                for x, path in paths.items():
+                    if x not in after or path[0] < after[x][0]:
+                        after[x] = path
             states = after
-        _, read = min(((cost + self.cost[a, b, 0], read) for (a, b), (cost, read) in states.items()), key=lambda s: s[0])
+        ends = ((cost + (self.cost(x, 0) if len(x) > 1 else 0.0), read) for x, (cost, read) in states.items())
+        cost, read = min(ends, key=lambda end: end[0])
         out = []
         while read is not None:
-            read, letters = read
-            out.append(letters)
-        return "".join(reversed(out)).strip()
+            read, letter = read
+            out.append(letter)
+        return "".join(reversed(out)).strip(), cost
+
+    def _extended(self, paths: dict, letter: str) -> dict:
+        out: dict[tuple, tuple[float, tuple | None]] = {}
+        for x, (cost, read) in paths.items():
+            if letter == " ":
+                moves = [((0,), cost + self.cost(x, 0), " ")] if len(x) > 1 else []  # no word to end
+            else:
+                some = self.after(x) if letter == WILD else [ord(letter)]
+                moves = [((*x, c)[1 - ORDER :], cost + self.cost(x, c), chr(c)) for c in some]
+            for y, total, c in moves:
+                if y not in out or total < out[y][0]:
+                    out[y] = (total, (read, c))
+        return out
 
 
 def lattice(text: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters its readings and their channel costs."""
+    """For each run of equal characters its readings and their channel costs; WILD is any letter."""
+    few = {i for m in re.finditer(f"[{_DROP}]+", text) if len(m[0]) <= MASK_RUN for i in range(*m.span())}
     out = []
     for run in re.finditer(r"(.)\1*", text, re.S):
         c, n = run[1], len(run[0])
@@ -172,20 +259,20 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
         else:
             ways = [("", (LOSS_COST if LOOKALIKES.get(c) else DROP_COST))] + [(x * min(n, 2), SWAP_COST) for x in LOOKALIKES.get(c, "")]
             ways += [(x, SWAP_COST + DOUBLE_COST) for x in LOOKALIKES.get(c, "") if n > 1]
+            if c in MASKS and run.start() in few:
+                ways.append((WILD * n, MASK_COST * n))
         out.append(ways)
     return out
 
 
-def readings(data: np.ndarray, offsets: np.ndarray, model: Trigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def readings(data: np.ndarray, offsets: np.ndarray, model: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word hash) of the words of a piece, as they stand and restored, and words per document."""
     low = LOWER[data]
     words = split_words(low, offsets, LETTER)
     hashes, doc = span_hashes(low, words.starts, words.ends), words.doc_of()
     extra_doc, extra = [], []
-    suspects = _suspects(low, offsets, words)
-    raw = low.tobytes() if len(suspects) else b""
-    for d in suspects:
-        text = raw[offsets[d] : offsets[d + 1]].decode("latin-1")
+    for d in _suspects(data, offsets):
+        text = data[offsets[d] : offsets[d + 1]].tobytes().decode().lower()
         for m in DISGUISED.finditer(text):
             if PLAIN.search(m[0]):
                 found = model.restore(m[0]).split()
@@ -199,32 +286,28 @@ def readings(data: np.ndarray, offsets: np.ndarray, model: Trigrams) -> tuple[np
     return doc, hashes, words.counts
 
 
-def _suspects(low: np.ndarray, offsets: np.ndarray, words: Words) -> list[int]:
+def _suspects(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     """Documents that may hold a disguise: a mark that may be a letter in one stretch with letters, a mark
     inside a stretch, a letter three times, or three single letters or marks in a row."""
+    low, starts = folded(data, offsets)
     if not len(low):
         return []
-    plain = (low >= 0x61) & (low <= 0x7A)
-    swap, drop = np.zeros(256, bool), np.zeros(256, bool)
-    swap[[ord(c) for c, x in LOOKALIKES.items() if x]] = True
-    drop[[ord(c) for c in DROPPED]] = True
-    solid = swap.copy()  # letters and what may be one
-    solid[0x61:0x7B] = True
-    runs = split_words(low, offsets, solid | drop)
+    plain, solid = IS_LETTER[low], IS_LETTER | IS_SWAP  # solid: letters and what may be one
+    runs = split_words(low, starts, solid | IS_DROP)
     total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     inside = lambda sums: sums[runs.ends] - sums[runs.starts]
-    back = np.concatenate([[False], drop[low[:-1]] & solid[low[1:]]])  # a letter right after a dropped mark
+    back = np.concatenate([[False], IS_DROP[low[:-1]] & solid[low[1:]]])  # a letter right after a dropped mark
     back[runs.starts] = False
-    after = inside(total(back)) - drop[low[runs.starts]]
-    hit = runs.starts[(inside(total(plain)) > 0) & ((inside(total(swap[low])) > 0) | (after > 0))]
+    after = inside(total(back)) - IS_DROP[low[runs.starts]]
+    hit = runs.starts[(inside(total(plain)) > 0) & ((inside(total(IS_SWAP[low])) > 0) | (after > 0))]
     three = np.flatnonzero(plain[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]))
     found = [hit, three]
-    units = split_words(low, offsets, solid)
+    units = split_words(low, starts, solid)
     single = units.ends - units.starts == 1
     if len(single) > 2:
         near = units.starts[1:] - units.ends[:-1] <= 3
         found.append(units.starts[:-2][single[:-2] & single[1:-1] & single[2:] & near[:-1] & near[1:]])
-    return np.unique(np.searchsorted(offsets, np.concatenate(found), "right") - 1).tolist()
+    return np.unique(np.searchsorted(starts, np.concatenate(found), "right") - 1).tolist()
 
 
 # --- scores ---------------------------------------------------------------------------------------
@@ -258,7 +341,7 @@ class Weights:
         return 1 / (1 + np.exp(-np.clip(self.features(doc, hashes, n_words) @ self.curve, -50, 50)))
 
 
-def _fitted(source: DataFrame, labels: DataFrame, model: Trigrams, sample: int) -> Weights:
+def _fitted(source: DataFrame, labels: DataFrame, model: Grams, sample: int) -> Weights:
     """Word weights and the curve, from a bounded sample of labelled rows that are not held out.
 
     The sample's ids (at most 2 * sample) are broadcast. Words are counted by Spark, and only those
@@ -310,8 +393,8 @@ def _fitted(source: DataFrame, labels: DataFrame, model: Trigrams, sample: int)
             seen = np.where(fold[lo:hi, None] == 0, both[0], both[1])
             yield {"label": batch.column("label").slice(lo, hi - lo), "a": seen[:, 1], "b": seen[:, 2], "c": seen[:, 3]}
 
-    measured = map_batches(rows, measure, "label int, a double, b double, c double").orderBy("label", "a", "b", "c")
-    table = np.array([tuple(r) for r in measured.collect()])  # at most 2 * sample rows
+    measured = map_batches(rows, measure, "label int, a double, b double, c double")
+    table = np.array(sorted(tuple(r) for r in measured.collect()))  # at most 2 * sample rows
     weights = _lexicon(counts, "n0 + n1", "t0 + t1", sum(n), sum(t))
     weights.curve = _logistic(np.hstack([np.ones((len(table), 1)), table[:, 1:]]), table[:, 0])
     # each label is sampled at its own rate, which moves the log odds by log(rate of toxic / rate of clean)

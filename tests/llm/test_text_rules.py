@@ -135,8 +135,8 @@ def test_secret_spans(spark):
 
 def test_restoring_disguised_words(spark):
     text = "an idiot and a worthless loser is stupid pathetic clown moron"
-    counts = tox._trigram_counts(spark.createDataFrame([(text,)] * 9, "text string"))
-    model = tox.Trigrams(counts)
+    counts = tox.gram_counts(spark.createDataFrame([(text,)] * 9, "text string"))
+    model = tox.Grams(counts)
     for disguised, plain in [("1d10t", "idiot"), ("l o s e r", "loser"), ("st*upid", "stupid"), ("m0r0n", "moron"), ("cloooown", "clown"), ("p4th3t1c", "pathetic")]:
         found = [m[0] for m in tox.DISGUISED.finditer(f"is {disguised}, yes")]
         assert disguised in found
@@ -190,12 +190,12 @@ def test_toxicity_scores_do_not_hang_on_the_sample(spark):
 
 def test_every_form_of_disguise_is_restored(spark):
     text = "an idiot and a worthless loser is a stupid pathetic clown moron asshole shit words"
-    model = tox.Trigrams(tox._trigram_counts(spark.createDataFrame([(text,)] * 50, "text string")))
+    model = tox.Grams(tox.gram_counts(spark.createDataFrame([(text,)] * 50, "text string")))
     forms = {
         "!diot": "idiot", "|diot": "idiot", "(lown": "clown", "1di0+": "idiot", "5h17": "shit", "l053r": "loser",
         "w0r7hl355": "worthless", "@$$hole": "asshole", "i d 1 o t": "idiot", "1 d 1 0 t": "idiot", "i d i o t": "idiot",
         "w-o-r-t-h-l-3-s-s": "worthless", "i.....d.....i.....o.....t": "idiot", "id!0t": "idiot", "m***o***r***o***n": "moron",
-        "wooooooooooooooooooooooooooooooooooooooooooooooooorthless": "worthless", "id***t": "idt", "d!0t": "diot",
+        "wooooooooooooooooooooooooooooooooooooooooooooooooorthless": "worthless", "id**t": "idiot", "m*r*n": "moron", "cl#wn": "clown", "p***etic": "pathetic", "id****************t": "idt", "d!0t": "diot",
         "a w o r t h l e s s p a t h e t i c i d i o t": "a worthless pathetic idiot",
     }
     for disguised, plain in forms.items():
@@ -251,3 +251,58 @@ def test_sample_of_the_field(spark):
     assert scan._hash_bounds(source.filter("text NOT LIKE '%token%'"), 9)[True] is None
     one, other = scan._fitted(source, 300), scan._fitted(source.repartition(7).distinct(), 300)
     assert all(np.array_equal(a, b) for a, b in zip(one.tables, other.tables, strict=True)), "neither copies nor partitions count"
+
+
+def test_letters_beyond_ascii_are_restored(spark):
+    text = "so ein blöd dämlich scheiße Mensch дурак"
+    model = tox.Grams(tox.gram_counts(spark.createDataFrame([(text,)] * 50, "text string")))
+    forms = {"blöööd": "blöd", "b l ö d": "blöd", "BL*D": "blöd", "sch31ße": "scheiße", "d.ä.m.l.i.c.h": "dämlich", "д.у.р.а.к": "дурак"}
+    for disguised, plain in forms.items():
+        data = f"ja, {disguised}, ÄÖ".encode()
+        assert [m[0] for m in tox.DISGUISED.finditer(data.decode().lower())] == [disguised.lower()]
+        assert model.restore(disguised.lower()) == plain
+        doc, hashes, counts = tox.readings(np.frombuffer(data, np.uint8), np.array([0, len(data)]), model)
+        assert len(doc) == len(hashes) == counts[0] + 1
+
+
+def test_decoder_equals_enumeration(spark):
+    texts = ["an idiot and a blöd loser, a moron!", "lo lost most motor\n rolls", "", None, "idol ödi"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("coalesce(text, '') AS text")
+    model = tox.Grams(tox.gram_counts(docs))
+    words = [w for t in texts for w in re.findall("[a-zö]+", t or "")]
+    grams = [Counter(w[i : i + k] for x in words for w in [f"^{x}^"] for i in range(len(w) - k + 1)) for k in range(1, 5)]
+    grams[0]["^"] //= 2
+
+    def cost(word):
+        total, padded = 0.0, f"^{word}^"
+        for i in range(1, len(padded)):
+            chance = (grams[0][padded[i]] + 1) / (sum(grams[0].values()) + len(tox.LETTERS) + 1)
+            for k in range(2, min(4, i + 1) + 1):
+                gram = padded[i + 1 - k : i + 1]
+                chance = (grams[k - 1][gram] + tox.BACKOFF * chance) / (grams[k - 2][gram[:-1]] + tox.BACKOFF)
+            total -= np.log(chance)
+        return total
+
+    def spelled(reading):  # every filling of WILD by letters seen after the two before
+        if tox.WILD not in reading:
+            return [reading]
+        at = reading.index(tox.WILD)
+        before = f"^{reading[:at].split(' ')[-1]}"[-2:]
+        some = {g[-1] for g in grams[len(before)] if g[:-1] == before and g[-1] != "^"}
+        return [x for c in sorted(some) for x in spelled(reading[:at] + c + reading[at + 1 :])]
+
+    rng = random.Random(2)
+    stretches = ["id**t", "m*r*n", "l 0 s t", "l0 * t", "***", "bl##d", "ooo", "1d!0t", "m.o", "b l ö d", "a*  *t"]
+    stretches += ["".join(rng.choice("lomtd0*. 1ö") for _ in range(5)) for _ in range(60)]
+    for text in stretches:
+        best = np.inf
+        for way in itertools.product(*tox.lattice(text)):
+            reading = "".join(x for x, _ in way)
+            if reading.startswith(" ") or "  " in reading:
+                continue
+            for full in spelled(reading):
+                value = sum(price for _, price in way) + sum(cost(w) for w in full.split())
+                best = min(best, value)
+        read, found = model.decode(text)
+        assert abs(found - best) < 1e-9, text
+        assert read == read.strip() and "  " not in read
