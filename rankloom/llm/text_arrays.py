@@ -34,6 +34,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def mix_one(h: int) -> int:
+    """`mix` of one value."""
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return h ^ (h >> 31)
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import cut_lineage, documents, map_batches
-from rankloom.llm.text_arrays import LOWER, U, mix, pieces, span_hashes, split_words
+from rankloom.llm.text_arrays import LOWER, U, mix, mix_one, pieces, span_hashes, split_words
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -82,7 +82,7 @@ SLOTS = 1 << 20  # places of an order's counts
 BACKOFF = 4.0  # weight of the order below
 
 # code points as lower-case letters, marks and spaces; 0 for all else
-FOLD = np.zeros(LAST + 1, np.int64)
+FOLD = np.zeros(LAST + 1, np.int32)
 for _c in range(LAST):
     _low = chr(_c).lower()
     if len(_low) == 1 and (_low in LETTERS or _low in LOOKALIKES or _low == " "):
@@ -139,6 +139,14 @@ def gram_slots(grams: list[np.ndarray]) -> np.ndarray:
     return (mix(value.astype(U) + U(1)) >> U(44)).astype(np.int64)
 
 
+def gram_slot(gram: tuple[int, ...]) -> int:
+    """gram_slots of one n-gram, in plain integers, which is much faster for one."""
+    value = 0
+    for letter in gram:
+        value = (value << 13) | letter
+    return value if len(gram) == 1 else mix_one(value + 1) >> 44
+
+
 def gram_counts(source: DataFrame) -> np.ndarray:
     """How often n-grams of 1 to ORDER letters occur in the words of all documents, edges included:
     ORDER x SLOTS. Place 0 of the first order counts words."""
@@ -179,21 +187,36 @@ class Grams:
     def forget(self) -> None:
         self.known: dict[str, str] = {}
         self.costs: dict[tuple, float] = {}
+        self.chances: dict[tuple, float] = {}
         self.followers: dict[tuple, list[int]] = {}
 
     def cost(self, context: tuple[int, ...], letter: int) -> float:
         """Of a letter, or of the word's end (0), after a context."""
         key = (*context, letter)
-        if key not in self.costs:
+        found = self.costs.get(key)
+        if found is None:
             if len(self.costs) > 100_000:
                 self.costs.clear()
-            chance = (int(self.counts[0, letter]) + 1) / self.total
-            for k in range(2, len(key) + 1):
-                gram = key[-k:]
-                n, every = (int(self.counts[len(g) - 1, gram_slots([np.array([x]) for x in g])][0]) for g in (gram, gram[:-1]))
-                chance = (min(n, every) + BACKOFF * chance) / (every + BACKOFF)
-            self.costs[key] = -math.log(chance)
-        return self.costs[key]
+            found = self.costs[key] = -math.log(self._chance(key))
+        return found
+
+    def _chance(self, gram: tuple[int, ...]) -> float:
+        """Of a gram's last letter after the others."""
+        found = self.chances.get(gram)
+        if found is None:
+            if len(self.chances) > 100_000:
+                self.chances.clear()
+            if len(gram) == 1:
+                found = (self._count(gram) + 1) / self.total
+            else:
+                every = self._count(gram[:-1])
+                found = (min(self._count(gram), every) + BACKOFF * self._chance(gram[1:])) / (every + BACKOFF)
+            if len(gram) < ORDER:  # the longest come back as costs
+                self.chances[gram] = found
+        return found
+
+    def _count(self, gram: tuple[int, ...]) -> int:
+        return self.counts.item(len(gram) - 1, gram_slot(gram))
 
     def after(self, context: tuple[int, ...]) -> list[int]:
         """Letters that the documents hold after the last two of a context."""
