@@ -8,9 +8,10 @@ from pyspark.sql.window import Window as W
 
 
 def cost_rollup(ledger: DataFrame) -> DataFrame:
-    """Totals per (run, label), per run and overall; null marks a subtotal."""
+    """Totals per (run, label), per run and overall; null marks a subtotal. Totals keep the wider type of
+    the sum: that of the rows overflows at a trillion."""
     return ledger.rollup("run_id", "label").agg(
-        F.sum("usd").cast("decimal(18,6)").alias("usd"),
+        F.sum("usd").alias("usd"),
         F.count("*").alias("calls"),
         F.grouping_id().alias("level"),
     )
@@ -40,7 +41,7 @@ def running_cost(ledger: DataFrame, block: int = 100_000) -> DataFrame:
         .join(offsets, ["run_id", "block"])
         .withColumn(
             "running_usd",
-            (F.col("so_far") + F.coalesce("before", zero)).cast("decimal(18,6)"),
+            (F.col("so_far") + F.coalesce("before", zero)).cast("decimal(38,6)"),
         )
         .drop("block", "so_far", "before")
     )
