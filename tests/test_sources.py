@@ -93,3 +93,13 @@ def test_safe_cells_and_csv(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("'=1+1", "-5", ""), ("ok", "2", "'@x")]
     sinks.write_csv(sinks.safe_cells(df), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["a", "n", "b"]
+
+
+def test_title_cut_inside_a_reference(spark):
+    page = "<head><title>{}</title></head><body><h1>{}</h1></body>"
+    cut = ["a &amp; b&amp", "x &lt;b&gt; &#233;&#x41; &nosuch; &am", "&amp;lt;"]
+    rows = [(i, "https://s.com/", page.format(t, t)) for i, t in enumerate(cut)] + [(9, "https://s.com/", "<title>open &amp; end")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["title"], r["text"]) for r in pages.page_features(df, T).collect()}
+    assert [got[i][0] for i in range(3)] == ["a & b&amp", "x <b> éA &nosuch; &am", "&lt;"]
+    assert got[0][1] == "a & b&" and got[9][0] == "open & end"
