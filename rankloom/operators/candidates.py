@@ -387,10 +387,10 @@ def best_by_score(candidates: DataFrame, score: Column, keep: int | None) -> Dat
     )
 
 
-def question_list(rows: DataFrame) -> DataFrame:
+def question_list(rows: DataFrame, ascii_words: bool = False) -> DataFrame:
     """(run_id, text, source, ord): result-page questions plus question-shaped suggestions,
     distinct by text, first seen first."""
-    kept = rows.filter((F.col("source") == "paa") | is_question(F.col("text")))
+    kept = rows.filter((F.col("source") == "paa") | is_question(F.col("text"), ascii_words))
     return kept.groupBy("run_id", "text").agg(F.min("ord").alias("ord"))
 
 

@@ -233,3 +233,12 @@ def test_settings_are_checked():
         GapSettings(depth=0)
     with pytest.raises(ValueError):
         SnapshotSettings(position_groups=((1, 5), (4, 10)))
+
+
+def test_question_words_that_end_at_letters_beyond_ascii(values):
+    rows = ["doñez y", "do ñ", "document", "a vs b", "évs b", "what", "vs_x"]
+    assert values(text.is_question, "t string", rows) == [False, True, False, True, False, True, False]
+    loose = values(lambda t: text.is_question(t, ascii_words=True), "t string", rows)
+    assert loose == [True, True, False, True, True, True, False]
+    uses = values(lambda t: text.phrase_count(t, F.lit("the"), ascii_words=True), "t string", ["theé the éthe then the_"])
+    assert uses == [3]
