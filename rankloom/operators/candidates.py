@@ -396,12 +396,13 @@ def question_list(rows: DataFrame, ascii_words: bool = False) -> DataFrame:
 
 def question_variants(seeds: DataFrame, suggestions: DataFrame, t: Thresholds) -> DataFrame:
     """Suggestions for "what is <seed>", "<seed> vs" and the like, distinct per seed in order.
-    `seeds`: run_id, keyword; `suggestions`: phrase, pos, suggestion."""
+    `seeds`: run_id, keyword; `suggestions`: phrase, pos, suggestion. The sides are merged: Spark's
+    estimate leaves out that rows were exploded, so it would broadcast lists of any length."""
     seed = F.col("keyword")
     forms = [F.concat(F.lit(p + " "), seed) for p in t.question_prefixes]
     forms += [F.concat(seed, F.lit(" " + x)) for x in t.question_suffixes]
     asked = seeds.select("run_id", "keyword", F.posexplode(F.array(*forms)).alias("form", "phrase"))
-    found = asked.join(suggestions, "phrase").select(
+    found = asked.hint("merge").join(suggestions, "phrase").select(
         "run_id",
         "keyword",
         normalise_phrase(F.col("suggestion")).alias("suggestion"),

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
+from rankloom.operators import candidates
 from rankloom.operators.demand import related_demand
 from rankloom.plans.discovery import discover_keywords, second_pass
-from rankloom.settings import GapSettings
+from rankloom.settings import GapSettings, Thresholds
 
 S = GapSettings(keywords=10)
 
@@ -71,3 +72,11 @@ def test_discovery_and_second_pass(spark):
     more = second_pass(searches, rankings, found, volumes, None, None, S)
     assert [r["keyword"] for r in more.collect()] == ["client portal online"]
     assert more.select(F.col("sources")[0]).collect()[0][0] == "related search"
+
+
+def test_question_variants_never_broadcast_exploded_lists(spark):
+    seeds = spark.createDataFrame([("r", "kw")], "run_id string, keyword string")
+    lists = spark.createDataFrame([("best kw", 0, "Best KW  now"), ("best kw", 1, "best kw now"), ("x", 0, "y")], "phrase string, pos int, suggestion string")
+    found = candidates.question_variants(seeds, lists, Thresholds())
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert [(r["keyword"], r["suggestion"]) for r in found.collect()] == [("kw", "best kw now")]
