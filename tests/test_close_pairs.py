@@ -163,3 +163,21 @@ def test_a_word_in_every_passage_is_cut_up(spark):
     salts = rows.join(heavy, ["run_id", "word"]).withColumn("salt", F.pmod(F.xxhash64(*place), "salts"))
     sizes = sorted(r["count"] for r in salts.groupBy("word", "salt").count().collect())
     assert heavy.count() <= 200 and sizes[-1] <= 4 * sizes[len(sizes) // 2] < 3000
+
+
+def test_hits_are_found_across_blocks_of_passages_and_labels(spark):
+    rng = random.Random(4)
+    passages = [("rs"[i % 2], i % 20, i, " ".join(f"w{rng.randrange(30)}" for _ in range(12))) for i in range(300)]
+    labels = [("r", "w1"), ("r", "w2 w3"), ("r", "w3 w2"), ("r", "w4 w5 w6"), ("s", "w7 w7"), ("s", "the of"), ("t", "w1"), ("r", "zeta w1")]
+    p = spark.createDataFrame(passages, "run_id string, page int, passage_no int, passage string")
+    w = spark.createDataFrame(labels + labels[:2], "run_id string, label string")
+    hits = coverage.passage_hits(p, w, passage_block=40, label_block=2)
+    got = sorted((r["run_id"], r["page"], r["passage_no"], r["label"]) for r in hits.collect())
+    want = sorted(
+        (run, page, i, label) for run, page, i, text in passages for of, label in labels
+        if of == run and label != "the of" and set(label.split()) <= set(text.split())
+    )
+    assert got == want and len({r[3] for r in got}) == 5
+    assert hits.schema["passage_no"].dataType.typeName() == "integer"
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan  # candidates stay in their task
