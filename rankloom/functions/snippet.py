@@ -8,17 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom import fixed_values as fv
+from rankloom.functions.binding import bind
 from rankloom.functions.text import squeeze
 from rankloom.settings import Thresholds
 
 
 def pixel_width(text: Column, font_px: int = 20) -> Column:
     """Arial width in pixels, rounded up, with exact integer arithmetic."""
-    table = F.create_map(*[F.lit(x) for x in chain(*fv.CHAR_WIDTHS.items())])
+    # ASCII by position: a map is searched from its start for every character
+    table = F.array(*[F.lit(fv.CHAR_WIDTHS.get(chr(c), fv.DEFAULT_CHAR_WIDTH)) for c in range(128)])
+    others = {c: w for c, w in fv.CHAR_WIDTHS.items() if ord(c) >= 128}
+    rest = F.create_map(*[F.lit(x) for x in chain(*others.items())])
 
     def width(ch: Column) -> Column:
         wide = F.when(F.ascii(ch) >= fv.WIDE_CHAR_FROM, fv.WIDE_CHAR_WIDTH)
-        return F.coalesce(F.try_element_at(table, ch), wide, F.lit(fv.DEFAULT_CHAR_WIDTH))
+        beyond = F.coalesce(F.try_element_at(rest, ch), wide, F.lit(fv.DEFAULT_CHAR_WIDTH))
+        return F.when(F.ascii(ch) < 128, F.element_at(table, F.ascii(ch) + 1)).otherwise(beyond)
 
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     units = F.aggregate(chars, F.lit(0), lambda acc, c: acc + width(c))
@@ -29,9 +34,23 @@ def snippet_check(
     title: Column, description: Column, phrase: Column | None, t: Thresholds
 ) -> Column:
     """struct of sizes, flags and the reasons a title or description is not right."""
-    title = squeeze(F.coalesce(title, F.lit("")))
-    description = squeeze(F.coalesce(description, F.lit("")))
-    px, chars, d_chars = pixel_width(title, t.title_font), F.length(title), F.length(description)
+    texts = F.struct(
+        squeeze(F.coalesce(title, F.lit(""))).alias("title"),
+        squeeze(F.coalesce(description, F.lit(""))).alias("description"),
+    )
+    measured = bind(
+        texts,
+        lambda x: F.struct(
+            x["title"].alias("title"),
+            x["description"].alias("description"),
+            pixel_width(x["title"], t.title_font).alias("px"),
+        ),
+    )
+    return bind(measured, lambda x: _judged(x["title"], x["description"], x["px"], phrase, t))
+
+
+def _judged(title: Column, description: Column, px: Column, phrase: Column | None, t: Thresholds) -> Column:
+    chars, d_chars = F.length(title), F.length(description)
     phrase = F.lit(None).cast("string") if phrase is None else F.nullif(phrase, F.lit(""))
     low = F.lower(phrase)
     in_title = F.contains(F.lower(title), low)

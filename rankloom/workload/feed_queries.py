@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.numeric import token_cost
 from rankloom.operators import brief, ledger, snapshot
-from rankloom.session import scratch_path
+from rankloom.session import scratch_path, spread
 from rankloom.settings import SnapshotSettings
 from rankloom.sources import keyword_feeds, serp_feeds, sinks, site_facts, sitemaps
 from rankloom.streaming import demand as stream_demand
@@ -670,7 +670,7 @@ def target_length(spark, d):
 
 
 def _titles(spark, d) -> DataFrame:
-    return v.keywords(spark, d).select(
+    return spread(v.keywords(spark, d)).select(
         "run_id",
         F.col("ord").alias("pos"),
         F.concat(F.initcap("keyword"), F.lit(" for busy teams and shops")).alias("title"),

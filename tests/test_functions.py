@@ -242,3 +242,19 @@ def test_question_words_that_end_at_letters_beyond_ascii(values):
     assert loose == [True, True, False, True, True, True, False]
     uses = values(lambda t: text.phrase_count(t, F.lit("the"), ascii_words=True), "t string", ["theé the éthe then the_"])
     assert uses == [3]
+
+
+def test_pixel_width_of_every_known_and_some_other_characters(values):
+    from rankloom import fixed_values as fv
+
+    texts = [*fv.CHAR_WIDTHS, "\x01", "~", "\x7f", "\x80", "ñ", "Ж", "⺀", "漢", "😀"]
+    width = lambda c: fv.CHAR_WIDTHS.get(c, fv.WIDE_CHAR_WIDTH if ord(c) >= fv.WIDE_CHAR_FROM else fv.DEFAULT_CHAR_WIDTH)
+    want = [-(-20 * 7 * width(c) // 1000) for c in texts]
+    assert values(snippet.pixel_width, "t string", [c * 7 for c in texts]) == want
+
+
+def test_titles_of_one_file_are_checked_by_every_core(spark):
+    from rankloom.workload import feed_queries
+
+    titles = feed_queries._titles(spark, "/root/testdata/sf0.001")
+    assert titles.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
