@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rankloom.functions.url import url_key
 from rankloom.operators.close_pairs import (
     DIGITS,
     MANY,
     close_vectors,
+    filled,
     fingerprint,
     ordered_heads,
     overlapping_sets,
@@ -84,56 +88,113 @@ def greedy_vector_heads(items: DataFrame, threshold: float, block: int = 2048) -
     """(run_id, item, head) for items (run_id, item, order, vector) of unit vectors; `order` must sort
     items uniquely within a run. Equal vectors are one class, led by its first item: they are close to
     the same items, so only classes are compared: sparse ones by the prefix join, and where vectors
-    have few zeros (embeddings), by products of blocks, which the prefix could not thin out."""
-    classes, members = vector_classes(items)
-    filled = classes.agg(F.avg(F.size("entries"))).first()[0] or 0
-    if filled > MANY:
-        pairs = close_dense(classes, threshold, block)
+    have few zeros (embeddings), which the prefix could not thin out, by products with the heads alone."""
+    classes, members = vector_classes(items, threshold)
+    entries = classes.agg(F.avg(F.size("entries"))).first()[0] or 0
+    if entries > MANY:
+        heads = dense_heads(classes, threshold, block)
     else:
         pairs = close_vectors(classes, classes, threshold, F.col("l.order") < F.col("r.order"))
-    both = pairs.select("run_id", F.array("item", "other").alias("items"))
-    groups = both.select("run_id", F.explode("items").alias("item"), *fingerprint(F.col("items")))
-    heads = ordered_heads(classes, groups).select("run_id", F.col("item").alias("first"), "head")
+        both = pairs.select("run_id", F.array("item", "other").alias("items"))
+        groups = both.select("run_id", F.explode("items").alias("item"), *fingerprint(F.col("items")))
+        heads = ordered_heads(classes, groups)
+    heads = heads.select("run_id", F.col("item").alias("first"), "head")
     return members.join(heads, ["run_id", "first"]).select("run_id", "item", "head")
 
 
-def _dense(entries: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(entries), dims))
-    for i, row in enumerate(entries):
-        out[i, [e["d"] for e in row]] = [e["w"] for e in row]
+def _stacked(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
+    rows = vectors.combine_chunks()
+    out = np.zeros((len(rows), dims))
+    out[np.arange(dims) < _lengths(vectors)[:, None]] = rows.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def close_dense(classes: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """(run_id, item, other): pairs of a run with a cosine of at least `threshold`, for vectors without
-    many zeros. A run is cut into blocks of about `block` vectors; a task multiplies two of them and
-    returns the close pairs only."""
-    sizes = classes.groupBy("run_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = classes.join(sizes, "run_id").select(
-        "run_id", "item", "entries", "blocks", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int").alias("b")
-    )
-    keys = ["run_id", "i", "j"]
-    later, earlier = F.sequence("b", F.col("blocks") - 1), F.sequence(F.lit(0), F.col("b"))
-    same = [F.col(c).alias(c) for c in ("run_id", "item", "entries")]  # fresh identities on either side
-    rows = placed.select(*same, F.col("b").alias("i"), F.explode(later).alias("j"))
-    others = placed.select(*same, F.explode(earlier).alias("i"), F.col("b").alias("j"))
-
-    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"run_id": [], "item": [], "other": []}).astype(str)
-        dims = 1 + max(max((e["d"] for e in row), default=0) for df in (x, y) for row in df["entries"])
-        close = np.round(_dense(x["entries"], dims) @ _dense(y["entries"], dims).T, DIGITS) >= threshold
-        if x["i"].iloc[0] == x["j"].iloc[0]:  # a block with itself: each pair once
-            close &= x["item"].to_numpy()[:, None] < y["item"].to_numpy()[None, :]
-        at, to = np.nonzero(close)
-        names = {"item": x["item"].to_numpy()[at], "other": y["item"].to_numpy()[to]}
-        return pd.DataFrame({"run_id": x["run_id"].iloc[0]} | names) if len(at) else pd.DataFrame({"run_id": [], "item": [], "other": []}).astype(str)
+def _lengths(vectors: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_value_length(vectors).to_numpy()
 
-    return (
-        rows.groupBy(*keys)
-        .cogroup(others.groupBy(*keys))
-        .applyInPandas(product, "run_id string, item string, other string")
-    )
+
+def _first_close(x: np.ndarray, heads: np.ndarray, threshold: float) -> np.ndarray:
+    """The number of the first head each row is close to, or -1."""
+    close = np.round(x @ heads.T, DIGITS) >= threshold
+    return np.where(close.any(axis=1), close.argmax(axis=1), -1)
+
+
+def head_numbers(x: np.ndarray, threshold: float, step: int = 256) -> np.ndarray:
+    """Greedy heads of a block of vectors in their order: the number of each one's head."""
+    head, heads = np.full(len(x), -1), np.array([], dtype=int)
+    for start in range(0, len(x), step):
+        part, mine = x[start : start + step], head[start : start + step]
+        if len(heads):
+            first = _first_close(part, x[heads], threshold)
+            mine[first >= 0] = heads[first[first >= 0]]
+        close = np.round(part @ part.T, DIGITS) >= threshold
+        for i in range(len(part)):
+            if mine[i] < 0:
+                mine[close[i] & (mine < 0)] = start + i
+                mine[i] = start + i
+                heads = np.append(heads, start + i)
+    return head
+
+
+def dense_heads(classes: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(run_id, item, head) for classes (run_id, item, order, entries), for vectors without many zeros.
+
+    Rounds: a task takes the first undecided vectors of a run, `block` at most, in their order. Whatever
+    else is undecided in the run meets only the heads found there, in groups of at most `block`; they come
+    before all later heads, so a vector close to one is decided and leaves. Close pairs are never rows:
+    what is shuffled is each undecided vector and a block's heads for every group. A round follows for each
+    block of vectors that no earlier head is close to.
+    """
+    width = 1 << (max(1, block // 4).bit_length() - 1)  # places counted together
+    dealt = classes.repartitionByRange("run_id", "order").sortWithinPartitions("run_id", "order")
+    place = F.monotonically_increasing_id().alias("place")  # rises with run_id and order
+    left = cut_lineage(dealt.select("run_id", "item", place, filled(F.col("entries")).alias("vector")))
+    columns = "run_id string, item string, place long, vector array<double>, head string"
+
+    def lead(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        head = head_numbers(_stacked(rows["vector"], _lengths(rows["vector"]).max()), threshold)
+        n = np.arange(len(head))
+        vector = rows["vector"].take(pa.array(n, mask=head != n))
+        return _judged(rows, vector, rows["item"].take(pa.array(head)))
+
+    def follow(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        heads = heads.sort_by("place")
+        dims = max(_lengths(t["vector"]).max() for t in (rows, heads))
+        first = _first_close(_stacked(rows["vector"], dims), _stacked(heads["vector"], dims), threshold)
+        vector = rows["vector"].take(pa.array(np.arange(len(first)), mask=first >= 0))
+        return _judged(rows, vector, heads["head"].take(pa.array(first, mask=first < 0)))
+
+    decided: list[DataFrame] = []
+    while True:
+        left = left.withColumn("part", F.shiftright("place", width.bit_length() - 1))
+        ahead = W.partitionBy("run_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("n").over(ahead), F.lit(0))
+        parts = left.groupBy("run_id", "part").agg(F.count("*").alias("n"))
+        group = F.floor(before / max(1, block - width)).alias("group")
+        parts = cut_lineage(parts.select("run_id", "part", group))
+        placed = left.join(parts, ["run_id", "part"]).drop("part")
+        first = cut_lineage(placed.filter("group = 0").groupBy("run_id").applyInArrow(lead, columns))
+        decided.append(first)
+        keys = ["run_id", "group"]
+        groups = parts.filter("group > 0").select(*[F.col(c).alias(c) for c in keys]).distinct()  # fresh identities
+        if groups.isEmpty():
+            break
+        heads = groups.join(first.filter("vector IS NOT NULL"), "run_id")
+        rest = placed.filter("group > 0").groupBy(*keys).cogroup(heads.groupBy(*keys))
+        judged = cut_lineage(rest.applyInArrow(follow, columns))
+        decided.append(judged.filter("head IS NOT NULL"))
+        left = judged.filter("head IS NULL").drop("head")
+        if left.isEmpty():
+            break
+    rows = decided[0]
+    for more in decided[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("run_id", "item", "head")
+
+
+def _judged(rows: pa.Table, vector: pa.ChunkedArray, head: pa.ChunkedArray) -> pa.Table:
+    return pa.table({"run_id": rows["run_id"], "item": rows["item"], "place": rows["place"], "vector": vector, "head": head})
 
 
 def best_match_above(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

@@ -115,6 +115,61 @@ def test_heads_of_dense_vectors_in_blocks(spark):
         assert got == {f"i{i}": f"i{h}" for i, h in enumerate(want)}
 
 
+def test_close_pairs_of_dense_vectors_are_never_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(400, 24)) * 0.2 + rng.normal(size=24)  # all close: 79,800 pairs
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [("r", f"i{i}", i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "run_id string, item string, order int, vector array<double>")
+    steps = []
+
+    def counted(step):
+        out = kept(step)
+        steps.append(out.count())
+        return out
+
+    kept = P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", counted)
+    monkeypatch.setattr(clusters, "cut_lineage", counted)
+    heads = clusters.greedy_vector_heads(df, 0.3, 64).collect()
+    assert {r["head"] for r in heads} == {"i0"} and len(heads) == 400
+    assert max(steps) == 400  # pairs would be 159,600 rows in one of them
+
+
+def test_heads_of_dense_vectors_of_many_runs_in_rounds(spark):
+    rng = np.random.default_rng(12)
+    runs = {"r": 300, "s": 40, "t": 1}
+    rows, want = [], {}
+    for run, n in runs.items():
+        vectors = rng.normal(size=(n, 24))
+        vectors[n // 2 :: 7, -3:] = 0  # shorter without their last zeros
+        vectors[n // 3 :: 9, 4] = 0
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        if run == "r":
+            vectors[[20, 250]] = 0  # close to nothing, not even to each other
+            vectors[100:110] = vectors[3]
+        names = [f"{run}{i}" for i in rng.permutation(n)]  # the order is not that of the names
+        rows += [(run, name, (i // 10, i % 10), v.tolist()) for i, (name, v) in enumerate(zip(names, vectors))]
+        want |= {name: names[h] for name, h in zip(names, greedy_vectors(vectors, 0.5))}
+    rows.append(("t", "none", (9, 9), None))
+    want["none"] = "none"
+    schema = "run_id string, item string, order struct<a: int, b: int>, vector array<double>"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    for block in (2048, 32):
+        got = [(r["item"], r["head"]) for r in clusters.greedy_vector_heads(df, 0.5, block).collect()]
+        assert sorted(got) == sorted(want.items())
+    few = df.filter("run_id = 's'")
+    got = {r["item"]: r["head"] for r in clusters.greedy_vector_heads(few, 0.5, 3).collect()}
+    assert got == {k: v for k, v in want.items() if k.startswith("s")}
+
+
+def test_vectors_without_entries_are_close_to_nothing(spark):
+    rows = [("r", "a", 0, [0.0, 0.0]), ("r", "b", 1, [0.0, 0.0]), ("r", "c", 2, [1.0, 0.0]), ("r", "d", 3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "run_id string, item string, order int, vector array<double>")
+    got = {r["item"]: r["head"] for r in clusters.greedy_vector_heads(df, 0.3).collect()}
+    assert got == {"a": "a", "b": "b", "c": "c", "d": "c"}
+
+
 def test_heads_of_a_long_chain(spark):
     n = 60  # every item is close to the one before it only
     rows = [("r", i, g) for i in range(n) for g in (i, i + 1)]
