@@ -103,3 +103,14 @@ def test_title_cut_inside_a_reference(spark):
     got = {r["page_id"]: (r["title"], r["text"]) for r in pages.page_features(df, T).collect()}
     assert [got[i][0] for i in range(3)] == ["a & b&amp", "x <b> éA &nosuch; &am", "&lt;"]
     assert got[0][1] == "a & b&" and got[9][0] == "open & end"
+
+
+def test_lines_cut_inside_a_reference_or_a_tag(spark):
+    lines = ["token = &quot", "a &copy b &lt; c &amp", "x &am", "q &#34;&#3", "in <br"]
+    rows = [(i, "https://s.com/", f"<h1>{line}</h1><p>next &quot; one</p>") for i, line in enumerate(lines[:4])]
+    rows += [(4, "https://s.com/", "<p>" + lines[4]), (5, "https://s.com/", "<p>end &quot"), (6, "https://s.com/", "<p>a</p><p>b</")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in pages.page_features(df, T).collect()}
+    assert [got[i][0] for i in range(4)] == ["token = &quot", "a &copy b < c &", "x &am", 'q "&#3']
+    assert all(got[i][1] == 'next " one' for i in range(4))
+    assert got[4] == ["in"] and got[5] == ["end &quot"] and got[6] == ["a", "b"]
