@@ -236,3 +236,26 @@ def test_hits_are_found_across_blocks_of_passages_and_labels(spark):
     assert hits.schema["passage_no"].dataType.typeName() == "integer"
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan  # candidates stay in their task
+
+
+def test_totals_of_labels_are_those_of_their_hits_and_hits_are_never_rows(spark):
+    rng = random.Random(5)
+    passages = [("rs"[i % 2], i // 9, i // 9 < 2, i, " ".join(f"w{rng.randrange(9)}" for _ in range(5))) for i in range(300)]
+    passages += [("r", 80, False, 301, "the"), ("r", 81, False, 302, None), ("u", 90, True, 303, "w1")]
+    labels = [("r", f"w{a} w{b} w{c}") for a in range(9) for b in range(a + 1) for c in range(b + 1)]
+    labels += [("s", "w1"), ("s", "the"), ("s", "w2 w3 w4 w5"), ("r", "zeta w1"), ("t", "w1"), ("r", "w8 w1 w2")]
+    lists = [("r", labels[i % 40][1], i // 4) for i in range(60)] + [("s", "w1", 1), ("s", "w1", 3), ("r", "w1 w1 w1", 80), ("r", "w1 w1 w1", 99)]
+    p = spark.createDataFrame(passages, "run_id string, page int, ours boolean, passage_no int, passage string")
+    w = spark.createDataFrame(labels + labels[:2], "run_id string, label string")
+    listed = spark.createDataFrame(lists, "run_id string, topic string, page int").distinct()
+    pages = p.select("run_id", "page", "ours").distinct()
+    counts = coverage.page_counts(coverage.passage_hits(p, w), pages).localCheckpoint()
+    want = sorted(tuple(r) for r in coverage.page_totals(counts, listed).collect())
+    held = coverage.held_words(p)
+    for blocks in ((40, 30), (1000, 1000)):
+        found = coverage.label_totals(held, w, listed, *blocks)
+        assert sorted(tuple(r) for r in found.select("run_id", "label", "pages", "both", "ours_passages").collect()) == want
+        per_page = coverage.label_pages(held, w, *blocks).select("run_id", "label", "page", "n", "ours")
+        assert sorted(map(tuple, per_page.collect())) == sorted(map(tuple, counts.select(*per_page.columns).collect()))
+    assert len(want) > 100 and any(r[3] for r in want) and any(r[4] > 1 for r in want)
+    assert "passage_no" not in found.columns and found.count() < coverage.passage_hits(p, w).count() / 5
