@@ -1,5 +1,8 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from rankloom.functions.text import sentence_grams
 from rankloom.operators import phrases
 
 
@@ -11,3 +14,15 @@ def test_grams_of_a_page_in_several_rows_are_counted_together_and_not_shuffled(s
     got = Counter((r["run_id"], r["page"], r["gram"], r["n"], r["place"]) for r in found.collect())
     assert got == Counter([("r", 1, "red bolt", 3, 1), ("r", 1, "blue nut", 1, 2), ("s", 1, "blue nut", 1, 1)])
     assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_grams_of_a_text_are_those_of_the_column_and_no_lambdas_make_them(spark):
+    texts = [
+        "The client portal. Portal for 24 clients", "a 12 b 3d x-ray c&a u.s. r+d 007", "one\ntwo (three) four|five;six",
+        "12 34", "", "  ", "ÉCOLE İstanbul ΣΑΣ naïve café", "state of the art of war", "of the", "x", "x y", "o'neill's +1 -2 a.b.c.d e",
+    ]
+    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "run_id string, page long, text string")
+    rows = df.select("text", F.lower("text").alias("low"), sentence_grams(F.col("text")).alias("grams")).collect()
+    assert all(Counter(phrases.grams_of(r["low"])) == Counter(r["grams"]) for r in rows)
+    plan = phrases.ngrams(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
