@@ -6,14 +6,15 @@ default hashes stemmed content words, so texts sharing content words are similar
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ from rankloom.settings import Thresholds
 
 DIMS = 256
 PAGES_AT_ONCE = 256  # whose phrases are in one batch
-_WORD, _SENTENCE_BREAK, _STOP = re.compile(fv.WORD_PATTERN), re.compile(fv.SENTENCE_BREAK), frozenset(fv.STOPWORDS)
+_WORD_OR_BREAK, _SENTENCE_BREAK = re.compile(fv.WORD_PATTERN + r"|\n"), re.compile(fv.SENTENCE_BREAK)
+_STOP = frozenset(fv.STOPWORDS)
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
@@ -145,15 +147,23 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str = "vector") -> Da
 def ngrams(docs: DataFrame, limit: int = 200) -> DataFrame:
     """(run_id, page, gram, n, place): the most frequent phrases of each page. The texts of a page meet
     in one row and its grams are counted there, so texts are shuffled once and grams never are."""
+    schema = docs.select("run_id", "page").schema.add("gram", "string").add("n", "long").add("place", "integer")
+    return page_texts(docs).mapInArrow(lambda batches: _frequent_grams(batches, limit), schema)
+
+
+def page_texts(docs: DataFrame) -> DataFrame:
+    """(run_id, page, texts): the lower-case texts of each page."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pages = (
+    return (
         # a given number, as few bytes make much work here and would be put into few tasks
         docs.repartition(parts, "run_id", "page")
         .groupBy("run_id", "page")
         .agg(F.collect_list(F.lower("text")).alias("texts"))
     )
-    schema = docs.select("run_id", "page").schema.add("gram", "string").add("n", "long").add("place", "integer")
-    return pages.mapInArrow(lambda batches: _frequent_grams(batches, limit), schema)
+
+
+def _gram_counts(texts: list[str]) -> Counter[str]:
+    return Counter(chain.from_iterable(map(grams_of, texts)))
 
 
 def _frequent_grams(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -163,7 +173,7 @@ def _frequent_grams(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[p
             part = batch.slice(from_, PAGES_AT_ONCE)
             rows, grams, ns, places = [], [], [], []
             for row, texts in enumerate(part.column("texts")):
-                counts = Counter(chain.from_iterable(grams_of(text) for text in texts.as_py()))
+                counts = _gram_counts(texts.as_py())
                 best = most_frequent(counts, limit)
                 rows += [row] * len(best)
                 grams += best
@@ -188,18 +198,14 @@ def most_frequent(counts: Counter[str], limit: int) -> list[str]:
 
 def grams_of(low: str) -> list[str]:
     """`sentence_grams` of a lower-case text, in any order."""
-    found: list[str] = []
-    for sentence in _SENTENCE_BREAK.split(low):
-        w = _WORD.findall(sentence)
-        if len(w) < 2:
-            continue
-        inner = [not x.isdigit() for x in w]  # grams hold no all-digit words
-        edge = [x not in _STOP and ok for x, ok in zip(w, inner, strict=True)]
-        found += [f"{a} {b}" for a, b, x, y in zip(w, w[1:], edge, edge[1:]) if x and y]
-        threes = zip(w, w[1:], w[2:], edge, inner[1:], edge[2:])
-        found += [f"{a} {b} {c}" for a, b, c, x, i, y in threes if x and y and i]
-        fours = zip(w, w[1:], w[2:], w[3:], edge, inner[1:], inner[2:], edge[3:])
-        found += [f"{a} {b} {c} {d}" for a, b, c, d, x, i, j, y in fours if x and y and i and j]
+    w = _WORD_OR_BREAK.findall(_SENTENCE_BREAK.sub("\n", low))
+    inner = [x != "\n" and not x.isdigit() for x in w]  # grams hold no all-digit words
+    edge = [ok and x not in _STOP for x, ok in zip(w, inner, strict=True)]
+    found = [f"{a} {b}" for a, b, x, y in zip(w, w[1:], edge, edge[1:]) if x and y]
+    threes = zip(w, w[1:], w[2:], edge, inner[1:], edge[2:])
+    found += [f"{a} {b} {c}" for a, b, c, x, i, y in threes if x and y and i]
+    fours = zip(w, w[1:], w[2:], w[3:], edge, inner[1:], inner[2:], edge[3:])
+    found += [f"{a} {b} {c} {d}" for a, b, c, d, x, i, j, y in fours if x and y and i and j]
     return found
 
 
@@ -218,44 +224,52 @@ def mmr_order(relevance: np.ndarray, vectors: np.ndarray, top_n: int, diversity:
     return chosen
 
 
-def select_diverse(candidates: DataFrame, top_n: int, diversity: float) -> DataFrame:
-    """Maximal marginal relevance per page. candidates: run_id, page, gram, place, entries (sparse
-    vector), page_vector on the first row at least; at most a few hundred per page by
-    construction (the n-gram limit)."""
-
-    def pick(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("place")
-        vectors = np.zeros((len(page), DIMS))
-        for i, entries in enumerate(page["entries"]):
-            for e in entries:
-                vectors[i, e["bucket"]] = e["weight"]
-        target = np.asarray(page["page_vector"].iloc[0], dtype=float)
-        chosen = mmr_order(vectors @ target, vectors, top_n, diversity)
-        return pd.DataFrame(
-            {
-                "run_id": page["run_id"].iloc[0],
-                "page": page["page"].iloc[0],
-                "phrase": page["gram"].to_numpy()[chosen],
-                "place": range(1, len(chosen) + 1),
-            }
-        )
+@lru_cache(maxsize=1 << 16)
+def _bucket(word: str) -> int:
+    stem = word[:-1] if word.endswith("s") and len(word) > 3 else word
+    return hashlib.md5(stem.encode(), usedforsecurity=False).digest()[-1]
 
-    return candidates.groupBy("run_id", "page").applyInPandas(
-        pick, "run_id string, page string, phrase string, place int"
-    )
+
+def gram_vectors(grams: list[str]) -> np.ndarray:
+    """`hashed_entries` of grams as the rows of a matrix."""
+    vectors = np.zeros((len(grams), DIMS))
+    at = [(i, _bucket(w)) for i, gram in enumerate(grams) for w in gram.split(" ") if w not in _STOP]
+    np.add.at(vectors, tuple(np.array(at, int).reshape(-1, 2).T), 1.0)
+    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, norms, out=vectors, where=norms > 0)
+
+
+def _diverse_grams(batches: Iterator[pa.RecordBatch], pool: int, top_n: int, diversity: float) -> Iterator[pa.RecordBatch]:
+    """run_id, page, lower-case texts and the page's vector -> its maximal marginal relevance phrases, chosen
+    from its most frequent grams."""
+    for batch in batches:
+        rows, phrases, places = [], [], []
+        for row, (texts, target) in enumerate(zip(batch.column("texts"), batch.column("page_vector"), strict=True)):
+            grams = most_frequent(_gram_counts(texts.as_py()), pool)
+            vectors = gram_vectors(grams)
+            chosen = mmr_order(vectors @ target.values.to_numpy(), vectors, top_n, diversity) if grams else []
+            rows += [row] * len(chosen)
+            phrases += [grams[i] for i in chosen]
+            places += range(1, len(chosen) + 1)
+        of = pa.array(rows, pa.int64())
+        columns = [batch.column("run_id").take(of), batch.column("page").take(of)]
+        columns += [pa.array(phrases, pa.string()), pa.array(places, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["run_id", "page", "phrase", "place"])
 
 
 def page_phrases(docs: DataFrame, t: Thresholds) -> DataFrame:
-    """Relevant, diverse phrases of each page: n-grams, hashed vectors, then the selection."""
+    """Relevant, diverse phrases of each page: n-grams, hashed vectors, then the selection, all where the
+    texts of the page are, as its grams are several times its text."""
     pages = docs.select(
         F.col("run_id").cast("string").alias("run_id"),
         F.col("page").cast("string").alias("page"),
         "text",
     )
-    grams = ngrams(pages, t.phrase_pool).withColumn("entries", hashed_entries(F.col("gram")))
     vectors = page_vectors(pages, t).withColumnRenamed("vector", "page_vector")
-    return select_diverse(
-        grams.join(vectors, ["run_id", "page"]), t.page_phrases, t.mmr_diversity
+    pool, top_n, diversity = t.phrase_pool, t.page_phrases, t.mmr_diversity
+    return page_texts(pages).join(vectors, ["run_id", "page"]).mapInArrow(
+        lambda batches: _diverse_grams(batches, pool, top_n, diversity),
+        "run_id string, page string, phrase string, place int",
     )
 
 
